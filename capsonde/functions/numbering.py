@@ -64,7 +64,8 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
     """One row per distinct value of a group with its tie count and mean rank.
 
     Ties collapse in the map-side aggregate first, so a value held by a third of all rows
-    is one row by the time it is sorted.
+    is one row by the time it is sorted. `value` must be stored, not recomputed: the bucket
+    totals are joined back on it.
     """
     ties = (
         df.withColumn("_b", value_bucket(F.col(value).cast("double")))
@@ -75,17 +76,8 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
         Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
     lower = ties.withColumn("_below", F.coalesce(F.sum("n_ties").over(in_bucket), F.lit(0)))
-    # The bucket total is carried on the bucket's first row, so one running sum over the
-    # bucket heads gives every base without sorting the members again.
-    sizes = lower.groupBy(*keys, "_b").agg(
-        F.sum("n_ties").alias("_n"),
-        F.collect_list(F.struct(F.col(value), "n_ties", "_below")).alias("_rows"),
-    )
+    sizes = ties.groupBy(*keys, "_b").agg(F.sum("n_ties").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    based = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return based.select(*keys, "_base", F.inline("_rows")).select(
-        *keys,
-        value,
-        "n_ties",
-        (F.col("_base") + F.col("_below") + (F.col("n_ties") + 1) / F.lit(2.0)).alias(name),
-    )
+    base = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rank = F.col("_base") + F.col("_below") + (F.col("n_ties") + F.lit(1)) / F.lit(2.0).cast("double")
+    return lower.join(base, [*keys, "_b"]).select(*keys, value, "n_ties", rank.alias(name))

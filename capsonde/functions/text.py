@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as the source data defines it: the Unicode set plus the four ASCII separators.
-WS = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # Fixed value: words which carry no meaning in a capability name.
 LABEL_STOPWORDS = ["and", "to", "of", "the", "in", "for", "with", "from", "on"]
