@@ -23,7 +23,7 @@ def count_wins(
 ) -> DataFrame:
     """Rows (keys[, part], wins, n_pos, n_neg); negatives are shared by all parts of a group.
 
-    Parts with no positive, and groups with no negative, keep a zero count.
+    A part appears when it has a positive; a group without negatives reports n_neg 0.
     """
     parts = [part] if part else []
     is_pos = F.col(positive)
@@ -34,27 +34,31 @@ def count_wins(
         .groupBy(*keys, "_b", "_s", *parts)
         .agg(F.count_if("_y").alias("_p"), F.count_if(~F.col("_y")).alias("_q"))
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_s")
-    up_to = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*keys, "_b", "_s")
-    beaten = F.sum("_q").over(up_to) - F.sum("_q").over(same) * F.lit(0.5)
+    in_bucket = Window.partitionBy(*keys, "_b")
+    up_to = in_bucket.orderBy("_s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Without parts a score is one row of its bucket, and a bucket one row of its group.
+    tied = F.sum("_q").over(Window.partitionBy(*keys, "_b", "_s")) if part else F.col("_q")
+    beaten = F.sum("_q").over(up_to) - tied * F.lit(0.5)
     by_bucket = (
         ties.withColumn("_w", F.col("_p") * beaten)
         .groupBy(*keys, "_b", *parts)
         .agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
     )
     group = Window.partitionBy(*keys)
-    ordered = group.orderBy("_b")
-    upto_bucket = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    this_bucket = Window.partitionBy(*keys, "_b")
-    lower = F.sum("_q").over(upto_bucket) - F.sum("_q").over(this_bucket)
-    lifted = by_bucket.withColumn("_w", F.col("_w") + F.col("_p") * lower).withColumn(
-        "_n", F.sum("_q").over(group)
+    up_to_bucket = group.orderBy("_b").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum("_q").over(in_bucket) if part else F.col("_q")
+    below = F.sum("_q").over(up_to_bucket) - own
+    lifted = by_bucket.withColumn("_w", F.col("_w") + F.col("_p") * below)
+    if not part:
+        return lifted.groupBy(*keys).agg(
+            F.sum("_w").alias("wins"), F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg")
+        )
+    return (
+        lifted.withColumn("_n", F.sum("_q").over(group))
+        .groupBy(*keys, part)
+        .agg(F.sum("_w").alias("wins"), F.sum("_p").alias("n_pos"), F.max("_n").alias("n_neg"))
+        .filter(F.col(part).isNotNull())
     )
-    out = lifted.groupBy(*keys, *parts).agg(
-        F.sum("_w").alias("wins"), F.sum("_p").alias("n_pos"), F.max("_n").alias("n_neg")
-    )
-    return out.filter(F.col(part).isNotNull()) if part else out
 
 
 def auc_of(wins: Column, n_pos: Column, n_neg: Column) -> Column:

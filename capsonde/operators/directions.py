@@ -44,12 +44,19 @@ def with_roles(
     if cuts is None:
         roles = roles.withColumn("half", none)
     else:
-        cut = cuts.agg(
+        by_capability = cuts.agg(
             F.map_from_entries(F.collect_list(F.struct("cluster_id", "half_cut")))
         ).scalar()
-        roles = roles.withColumn(
-            "half",
-            F.filter("clusters", lambda c: draw_key(seed, c, F.col("uid")) <= F.get(F.array(cut), F.lit(0))[c]),
+        roles = (
+            roles.withColumn("_cuts", by_capability)
+            .withColumn(
+                "half",
+                F.filter(
+                    "clusters",
+                    lambda c: draw_key(seed, c, F.col("uid")) <= F.try_element_at(F.col("_cuts"), c),
+                ),
+            )
+            .drop("_cuts")
         )
     return hidden.join(roles, "uid")
 
@@ -201,3 +208,17 @@ def diff_mean_directions(
     for more in out[1:]:
         result = result.unionByName(more)
     return result
+
+
+def standardise(hidden: DataFrame, texts: DataFrame) -> DataFrame:
+    """standardised vectors `z`, for callers who need them materialised.
+
+    The probes never do: they standardise the direction instead.
+    """
+    none = texts.sparkSession.createDataFrame([], "cluster_id string, uid string, part string")
+    rows = with_roles(hidden, texts, none)
+    scaling = standardiser(group_moments(rows)).select(*LAYER, "mu", "sd")
+    z = V.divide(V.subtract(F.col("h"), F.col("mu")), F.col("sd"))
+    return rows.join(broadcast_if_small(scaling, 1 << 18), LAYER).select(
+        *LAYER, "uid", "dataset_id", "clusters", z.alias("z")
+    )
