@@ -38,3 +38,82 @@ def probe_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"),
     )
+
+
+def thousandths(total) -> "F.Column":
+    """An integer sum as a score in [0, 1) with three exact places."""
+    return (total % 1000) / F.lit(1000.0)
+
+
+def method_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide method table: seven models, four depths, twenty capabilities, some scores missing."""
+    grouped = table(spark, sf, "lineitem").groupBy(
+        F.format_string("m%d", "l_linenumber").alias("tag"),
+        (8 * (1 + F.col("l_suppkey") % 4)).cast("int").alias("layer"),
+        F.format_string("cap%d", F.col("l_partkey") % 20).alias("cluster_id"),
+    )
+    return grouped.agg(
+        thousandths(F.sum("l_orderkey")).alias("diffmean"),
+        thousandths(F.sum("l_partkey")).alias("pca"),
+        F.when(F.sum("l_orderkey") % 17 != 0, thousandths(F.sum("l_suppkey"))).alias("lr"),
+    )
+
+
+def fold_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Best-layer fold scores of ten models; one mapping in nine scores low everywhere."""
+    line = table(spark, sf, "lineitem")
+    cap, ds = F.col("l_partkey") % 20, F.col("l_suppkey") % 25
+    total = F.sum("l_orderkey")
+    return (
+        line.groupBy((F.col("l_orderkey") % 10).alias("m"), cap.alias("c"), ds.alias("d"))
+        .agg(total.alias("s"))
+        .select(
+            F.format_string("m%d", "m").alias("tag"),
+            F.format_string("cap%d", "c").alias("cluster_id"),
+            F.format_string("d%d", "d").alias("dataset_id"),
+            (
+                F.when((F.col("c") + F.col("d")) % 9 == 0, 300 + F.col("s") % 301)
+                .otherwise(400 + F.col("s") % 601) / F.lit(1000.0)
+            ).alias("auc"),
+        )
+    )
+
+
+def manual_removals(spark: SparkSession, sf: str) -> DataFrame:
+    """Hand-listed mappings: the large parts' (capability, dataset) pairs of one brand."""
+    return (
+        table(spark, sf, "part")
+        .filter((F.col("p_brand") == "Brand#2") & (F.col("p_size") >= 45))
+        .select(
+            F.format_string("cap%d", F.col("p_partkey") % 20).alias("cluster_id"),
+            F.format_string("d%d", F.col("p_size") % 25).alias("dataset_id"),
+        )
+        .distinct()
+    )
+
+
+def dataset_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark records matched to datasets, each naming one or two capabilities."""
+    c = table(spark, sf, "customer")
+    one = F.format_string("First skill (cap%d)", F.col("c_custkey") % 20)
+    two = F.format_string("Second skill (cap%d)", (F.col("c_custkey") * 7 + 3) % 20)
+    return c.select(
+        F.col("c_name").alias("benchmark"),
+        F.col("c_custkey").alias("pos"),
+        F.when(F.col("c_nationkey") % 2 == 0, F.array(one, two)).otherwise(F.array(one)).alias("clusters"),
+        F.when(F.col("c_custkey") % 13 != 0, F.format_string("d%d", F.col("c_custkey") % 25)).alias("match"),
+        F.lit(None).cast("string").alias("note"),
+    )
+
+
+def tagged_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as texts: each source is a dataset with two capability tags."""
+    n = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
+    return table(spark, sf, "documents").select(
+        F.concat_ws("::", "source", "doc_id").alias("uid"),
+        F.format_string("d%d", n).alias("dataset_id"),
+        F.array(
+            F.format_string("cap%d", n % 9), F.format_string("cap%d", 9 + (n * 7) % 11)
+        ).alias("clusters"),
+        "text",
+    )

@@ -302,8 +302,8 @@ def e11(spark, sf):
 
 
 @query("d15_tier_counts", with_ctes(*Q.LOBO, body="""
-SELECT layer, count(*) AS n_lobo, count_if(m >= 0.8) AS strong,
-       count_if(m >= 0.65 AND m < 0.8) AS moderate, count_if(m < 0.65) AS weak,
+SELECT layer, count(*) AS n_lobo, count(*) FILTER (WHERE m >= 0.8) AS strong,
+       count(*) FILTER (WHERE m >= 0.65 AND m < 0.8) AS moderate, count(*) FILTER (WHERE m < 0.65) AS weak,
        round(avg(m), 6) AS mean_median
 FROM (SELECT layer, cluster_id, CAST(round_even(median(auc), 3) AS DOUBLE) AS m
       FROM lobo_auc GROUP BY ALL) GROUP BY ALL"""))
