@@ -37,7 +37,10 @@ def norm_name(c: Column) -> Column:
 
 
 def title_of(name: Column) -> Column:
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    """A snake_case name in title case; a letter after a digit starts a word too."""
+    # The mark opens a word after a digit for initcap and is taken out again.
+    spaced = F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), "([0-9])(?=[a-z])", "$1\x01 ")
+    return F.replace(F.initcap(spaced), F.lit("\x01 "), F.lit(""))
 
 
 def or_else(*cols: Column) -> Column:
@@ -48,17 +51,23 @@ def or_else(*cols: Column) -> Column:
 def strip_fence(c: Column) -> Column:
     """Remove one Markdown code fence around the whole text."""
     text = strip(F.coalesce(c, F.lit("")))
-    opened = F.regexp_replace(text, rf"\A```(?:json)?{WS}*", "")
-    return F.when(
-        text.startswith("```"), F.regexp_replace(opened, rf"{WS}*```\z", "")
-    ).otherwise(text)
+    fenced = rf"\A```(?:json)?{WS}*+(.*?)(?:{WS}*```)?\z"
+    return F.regexp_replace(text, f"(?s){fenced}", "$1")
 
 
 def parse_json_text(c: Column) -> Column:
     """VARIANT of a judged reply; null when neither the text nor its {...} part parses."""
     body = strip_fence(c)
-    inner = F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(F.try_parse_json(body), F.try_parse_json(inner))
+    return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.regexp_extract(body, r"(?s)\{.*\}", 0)))
+
+
+def once(c: Column) -> Column:
+    """Evaluate a costly expression in a generator of one row.
+
+    Filters and projections above read its result. Left as a plain column it would be copied
+    into each of them by the optimizer.
+    """
+    return F.explode(F.array(c))
 
 
 def head_tail(c: Column, max_tokens: int = 1024, reserve: int = 40) -> Column:

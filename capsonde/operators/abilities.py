@@ -58,8 +58,7 @@ def usable(raw: DataFrame, keep_no_contrast: bool = False, keep_narrow: bool = F
 
 def field_values(raw: DataFrame) -> DataFrame:
     """Long form (name, field, value, k, order) of everything which is counted per ability."""
-    name = norm_name(F.col("ability_name"))
-    none = F.lit(None).cast("string")
+    raw = raw.withColumn("ability_name", norm_name(F.col("ability_name")))
 
     def single(field: str, value: Column, keep_empty: bool) -> Column:
         row = F.array(F.struct(
@@ -78,18 +77,16 @@ def field_values(raw: DataFrame) -> DataFrame:
             F.lit(KEPT[field]).alias("k"), i.alias("item"),
         ))
 
-    display = or_else(F.col("display_name"), title_of(name))
+    display = or_else(F.col("display_name"), title_of(F.col("ability_name")))
     family = F.coalesce(F.nullif(F.col("representation_family"), F.lit("")), F.col("source_family"))
     rows = F.concat(
         single("display_name", display, True),
         single("representation_family", family, True),
         *[single(f, F.col(f), False) for f in TEXT_FIELDS],
         *[items(f) for f in LIST_FIELDS],
-        *[single(f, F.coalesce(F.col(f), none), True) for f in COUNT_FIELDS],
-    )
-    return raw.select(
-        name.alias("ability_name"), "pos", "ability_index", F.inline(rows)
+        *[single(f, F.col(f), True) for f in COUNT_FIELDS],
     )
+    return raw.select("ability_name", "pos", "ability_index", F.inline(rows))
 
 
 def ability_values(raw: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from capsonde.functions.numbering import position_bucket, row_number_by
 from capsonde.functions.scalars import top_list
-from capsonde.functions.text import compact, parse_json_text
+from capsonde.functions.text import compact, once, parse_json_text
 
 # List lengths and text limits of the evidence shown to the judge.
 TOP_LISTS = {
@@ -131,11 +131,10 @@ def parse_replies(results: DataFrame) -> DataFrame:
 
     A reply which is valid JSON but no object is rejected too (H12).
     """
-    reply = parse_json_text(F.col("response_text"))
     ok = F.coalesce("status", F.lit("")) == "ok"
     return (
-        results.withColumn("reply", F.when(ok, reply))
-        .withColumn("fields", F.try_variant_get("reply", "$", "map<string,variant>"))
+        results.select("*", once(F.when(ok, parse_json_text(F.col("response_text")))).alias("reply"))
+        .select("*", once(F.try_variant_get("reply", "$", "map<string,variant>")).alias("fields"))
         .withColumn(
             "outcome",
             F.when(~ok, "request_error").when(F.col("fields").isNull(), "parse_error").otherwise("parsed"),

@@ -117,3 +117,104 @@ def tagged_documents(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("clusters"),
         "text",
     )
+
+
+def judge_results(spark: SparkSession, sf: str) -> DataFrame:
+    """One judged reply per document, in eight shapes: plain, fenced, embedded, broken, ..."""
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id")
+    shape = k % 8
+    own = F.when(shape != 6, F.concat(F.lit("j"), k.cast("string")))
+    none = F.lit(None).cast("string")
+    first = F.struct(
+        F.concat("source", F.when(k % 3 == 0, " Skill").when(k % 3 == 1, "-skill").otherwise("_SKILL!")).alias("ability_name"),
+        F.when(k % 4 != 1, F.upper("source")).alias("display_name"),
+        F.when(k % 2 == 0, F.col("lang")).alias("representation_family"),
+        F.col("text").alias("definition"),
+        F.concat(F.lit("state "), F.col("lang")).alias("positive_state"),
+        F.when(k % 5 == 0, "narrow").when(k % 5 <= 2, "cross_benchmark").alias("generality"),
+        F.when(k % 7 == 0, "no").otherwise("yes").alias("contrast_pair_feasibility"),
+        F.array(F.col("lang"), F.concat(F.lit("b"), (k % 10).cast("string"))).alias("source_benchmark_examples"),
+    )
+    second = F.struct(
+        F.concat("lang", F.lit(" fluency")).alias("ability_name"),
+        none.alias("display_name"),
+        none.alias("representation_family"),
+        F.concat(F.lit("fluency in "), F.col("lang")).alias("definition"),
+        none.alias("positive_state"),
+        F.lit("family_specific").alias("generality"),
+        none.alias("contrast_pair_feasibility"),
+        F.array(F.col("source")).alias("source_benchmark_examples"),
+    )
+    found = F.when(shape != 5, F.when(k % 3 == 0, F.array(first, second)).otherwise(F.array(first)))
+    fits = F.array(*[F.lit(x) for x in ("keep", "split", "merge", "drop")])
+    reply = F.to_json(F.struct(
+        own.alias("cluster_id"),
+        F.when(shape != 6, F.col("lang")).alias("family"),
+        F.when(shape != 6, F.get(fits, (k % 4).cast("int"))).alias("representation_fit"),
+        (k % 5 + 1).alias("fit_score"),
+        found.alias("latent_abilities"),
+    ))
+    text = (
+        F.when(shape == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```")))
+        .when(shape == 2, F.concat(F.lit("Here is my judgment: "), reply, F.lit(" That is all.")))
+        .when(shape == 3, F.lit('{"representation_fit": "keep", "fit_score":'))
+        .when(shape == 4, F.concat(F.lit("["), reply, F.lit("]")))
+        .when(shape == 7, F.concat(F.lit("\n```\n"), reply, F.lit("\n```\n")))
+        .otherwise(reply)
+    )
+    failed = k % 11 == 5
+    return d.select(
+        k.alias("pos"),
+        F.concat(F.lit("r"), k.cast("string")).alias("cluster_id"),
+        F.col("source").alias("family"),
+        F.col("n_chars").alias("size"),
+        F.when(failed, "error").otherwise("ok").alias("status"),
+        F.when(~failed, text).alias("response_text"),
+        F.when(failed, "timed out").alias("error"),
+    )
+
+
+def mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as capability mentions: the brand is the cluster, the key the file order."""
+    p = table(spark, sf, "part")
+    return p.select(
+        F.col("p_partkey").alias("pos"),
+        F.col("p_brand").alias("cluster_id"),
+        F.concat(F.lit("Paper "), F.col("p_size").cast("string")).alias("paper_title"),
+        F.col("p_name").alias("benchmark_name"),
+        F.col("p_type").alias("task_name"),
+        F.col("p_name").alias("canonical_name"),
+        F.repeat(F.concat("p_name", F.lit("  of\t"), "p_type", F.lit("\n")), 40).alias("definition"),
+        F.col("p_type").alias("cognitive_operation"),
+        F.lit(None).cast("string").alias("surface_task"),
+        F.col("p_name").alias("evaluated_behavior"),
+        F.array("p_type").alias("agentic_dimensions"),
+        F.lit(None).cast("array<string>").alias("domain_metadata"),
+        F.when(F.col("p_size") > 25, "high").otherwise("low").alias("confidence"),
+    )
+
+
+def clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands as clusters with their part types by count; every brand of the nations' range."""
+    p = table(spark, sf, "part")
+    types = p.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    lists = types.groupBy("p_brand").agg(
+        F.sum("n").alias("size"),
+        F.transform(
+            F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p_type"))),
+            lambda e: F.struct(e["p_type"].alias("name"), (-e["m"]).alias("count")),
+        ).alias("pairs"),
+    )
+    brands = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("pos"),
+        F.format_string("Brand#%d", F.col("n_nationkey") + 5).alias("p_brand"),
+        F.format_string("family_%d", F.col("n_regionkey")).alias("family"),
+    )
+    return brands.join(lists, "p_brand", "left").select(
+        "pos", F.col("p_brand").alias("cluster_id"), "family", F.coalesce("size", F.lit(0)).alias("size"),
+        *[F.col("pairs").alias(c) for c in (
+            "top_capability_names", "top_operation_terms", "top_agentic_dimensions", "top_domains",
+            "top_target_model_types", "top_benchmarks", "top_tasks",
+        )],
+    )
