@@ -53,10 +53,10 @@ def shard_of(df: DataFrame, pos: str, n_shards: int, name: str = "shard") -> Dat
     """Shard number by row position modulo n, over the order of an integer position."""
     keyed = df.withColumn("_all", F.lit(0))
     numbered = row_number_by(
-        keyed, ["_all"], [F.col(pos)], position_bucket(F.col(pos)), "_rn"
+        keyed, ["_all"], [F.col(pos)], position_bucket(F.col(pos)), "_row"
     )
-    return numbered.withColumn(name, F.pmod(F.col("_rn") - 1, F.lit(n_shards)).cast("int")).drop(
-        "_rn", "_all"
+    return numbered.withColumn(name, F.pmod(F.col("_row") - 1, F.lit(n_shards)).cast("int")).drop(
+        "_row", "_all"
     )
 
 

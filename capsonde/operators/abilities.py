@@ -97,23 +97,31 @@ def ability_values(raw: DataFrame) -> DataFrame:
     ).drop("k")
 
 
+def ability_sources(raw: DataFrame) -> DataFrame:
+    """D3: distinct (ability, source cluster) pairs with their members, in long form.
+
+    A common ability may come from any number of clusters, so they are not one row's list.
+    """
+    return raw.groupBy(
+        norm_name(F.col("ability_name")).alias("ability_name"), "source_cluster_id"
+    ).agg(F.count(F.lit(1)).alias("mention_count"))
+
+
 def source_counts(raw: DataFrame) -> DataFrame:
     """Members and source clusters; the count takes a missing cluster as one value."""
-    per_source = raw.groupBy(
-        norm_name(F.col("ability_name")).alias("ability_name"), "source_cluster_id"
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    named = F.col("source_cluster_id").isNotNull() & (F.col("source_cluster_id") != "")
-    return per_source.groupBy("ability_name").agg(
+    return ability_sources(raw).groupBy("ability_name").agg(
         F.count(F.lit(1)).alias("source_cluster_count"),
-        F.array_sort(F.collect_list(F.when(named, F.col("source_cluster_id")))).alias("source_clusters"),
-        F.sum("_n").alias("mention_count"),
+        F.sum("mention_count").alias("mention_count"),
     )
 
 
 def build_final(
     raw: DataFrame, keep_no_contrast: bool = False, keep_narrow: bool = False
 ) -> DataFrame:
-    """One row per merged ability, sorted by family, source clusters and name (G1)."""
+    """One row per merged ability, sorted by family, source clusters and name (G1).
+
+    `ability_sources` lists the clusters behind each row.
+    """
     members = usable(raw, keep_no_contrast, keep_narrow)
     values = ability_values(members)
 

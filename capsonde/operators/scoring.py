@@ -39,17 +39,12 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 class LayerDirections:
     """The directions of one (model, layer), indexed by what a row may be scored for."""
 
-    def __init__(self, table: pa.Table):
-        self.ids = table["dir_id"].to_numpy()
-        self.weights = matrix_of(table["w"])
-        self.shift = table["shift"].to_numpy()
+    def __init__(self, ids, weights, shift, names):
+        self.ids, self.weights, self.shift = ids, weights, shift
         self.by_fold: dict[tuple, int] = {}
         self.half: dict[str, int] = {}
         self.of_cluster: dict[str, list[int]] = {}
-        rows = zip(
-            table["kind"].to_pylist(), table["cluster_id"].to_pylist(), table["hold"].to_pylist()
-        )
-        for i, (kind, cluster, hold) in enumerate(rows):
+        for i, (kind, cluster, hold) in enumerate(names):
             if kind == "spec":
                 continue
             self.of_cluster.setdefault(cluster, []).append(i)
@@ -77,15 +72,18 @@ class LayerDirections:
         return row, direction, products[line, column]
 
 
-def _by_layer(directions: DataFrame) -> dict[tuple, LayerDirections]:
+def _share(directions: DataFrame):
+    """Broadcast of the directions of each (tag, layer) as plain arrays; size checked above."""
     table = directions.select(
         *LAYER, "kind", "cluster_id", "hold", "dir_id", "w", "shift"
     ).toArrow()
     keys = list(zip(table["tag"].to_pylist(), table["layer"].to_pylist()))
-    return {
-        key: LayerDirections(table.filter(pa.array([k == key for k in keys])))
-        for key in sorted(set(keys))
-    }
+    arrays = {}
+    for key in set(keys):
+        t = table.filter(pa.array([k == key for k in keys]))
+        names = list(zip(*(t[c].to_pylist() for c in ("kind", "cluster_id", "hold"))))
+        arrays[key] = (t["dir_id"].to_numpy(), matrix_of(t["w"]), t["shift"].to_numpy(), names)
+    return directions.sparkSession.sparkContext.broadcast(arrays)
 
 
 def _layer_slices(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -95,12 +93,13 @@ def _layer_slices(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch
 
 
 def _score_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(_by_layer(directions))
+    shared = _share(directions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = {key: LayerDirections(*arrays) for key, arrays in shared.value.items()}
         for batch in batches:
             for key, part in _layer_slices(batch):
-                model = shared.value.get(key)
+                model = models.get(key)
                 if model is None:
                     continue
                 h = matrix_of(part["h"])
@@ -192,7 +191,7 @@ def projection_sums(
 
 
 def _sums_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(_by_layer(directions))
+    shared = _share(directions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list] = {}
@@ -207,10 +206,10 @@ def _sums_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
 
         for batch in batches:
             for key, part in _layer_slices(batch):
-                model = shared.value.get(key)
-                if model is None:
+                if key not in shared.value:
                     continue
-                products = matrix_of(part["h"]) @ model.weights.T - model.shift
+                _, weights, shift, _ = shared.value[key]
+                products = matrix_of(part["h"]) @ weights.T - shift
                 add(key, None, products)
                 members: dict[str, list[int]] = {}
                 for i, clusters in enumerate(part["clusters"].to_pylist()):
@@ -219,7 +218,7 @@ def _sums_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
                 for cluster, index in members.items():
                     add(key, cluster, products[index])
         for (key, cluster), (n, total, squares) in sums.items():
-            ids = shared.value[key].ids
+            ids = shared.value[key][0]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),

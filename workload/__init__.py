@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["probe_queries", "report_queries", "judge_queries"]
+MODULES = ["probe_queries", "report_queries", "judge_queries", "corpus_queries"]
 
 
 def all_queries():

@@ -218,3 +218,75 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
             "top_target_model_types", "top_benchmarks", "top_tasks",
         )],
     )
+
+
+def dataset_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as raw dataset rows: four shapes by source, and two kinds of repeating ones."""
+    d = table(spark, sf, "documents")
+    n = F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 4
+    shaped = (
+        F.when(n == 0, F.to_json(F.struct("doc_id", F.col("text").alias("Question"), "lang")))
+        .when(n == 1, F.to_json(F.struct(
+            F.col("text").alias("Text"), F.concat(F.lit("About "), "lang", F.lit(" in "), "source").alias("context"))))
+        .when(n == 2, F.to_json(F.struct(
+            F.col("text").alias("prompt"),
+            F.expr("parse_json(concat('[\"', lang, '\", 7, \"', source, '\"]'))").alias("options"))))
+        .otherwise(F.to_json(F.struct("doc_id", F.col("text").alias("body"), F.col("lang").alias("note"))))
+    )
+    premise = F.concat(F.lit("One premise for every row of "), "source", F.lit(" to be judged"))
+    nli = F.to_json(F.struct(
+        premise.alias("premise"), F.col("text").alias("hypothesis"), F.col("lang").alias("label")))
+    thin = F.to_json(F.struct(
+        F.concat(F.lit("Which language is this: "), "lang", F.lit("? Answer in full.")).alias("question")))
+    each = F.array(
+        F.struct(F.col("source").alias("dataset_id"), shaped.alias("row_json")),
+        F.struct(F.concat(F.lit("nli/"), "source").alias("dataset_id"), nli.alias("row_json")),
+        F.struct(F.concat(F.lit("thin/"), "lang").alias("dataset_id"), thin.alias("row_json")),
+    )
+    return d.select(F.col("doc_id").alias("row_idx"), F.inline(each)).select(
+        "dataset_id", "row_idx", "row_json"
+    )
+
+
+def experiment_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Capabilities with their datasets; one source failed, one has no file."""
+    sources = table(spark, sf, "documents").select("source").distinct()
+    langs = table(spark, sf, "documents").select("lang").distinct()
+    n = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
+    dataset = F.struct(
+        F.col("dataset").alias("hf_dataset"),
+        F.when(F.col("dataset") == "src19", "error").otherwise("ok").alias("status"),
+        F.when(F.col("dataset") != "src18", F.concat("dataset", F.lit(".jsonl"))).otherwise("").alias("file"),
+    )
+    named = sources.select(
+        F.explode(F.array("source", F.concat(F.lit("nli/"), "source"))).alias("dataset"),
+        F.array(F.format_string("cap%d", n % 9), F.format_string("cap%d", 9 + (n * 7) % 11)).alias("c"),
+    ).unionByName(
+        langs.select(F.concat(F.lit("thin/"), "lang").alias("dataset"), F.array(F.lit("cap0")).alias("c"))
+    )
+    return (
+        named.select("dataset", F.explode("c").alias("cluster_id"))
+        .groupBy("cluster_id").agg(F.collect_list(dataset).alias("datasets"))
+        .withColumn("cluster_name", F.concat(F.lit("skill "), "cluster_id"))
+    )
+
+
+def chat_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation as one row holding its list of turns and two nested values."""
+    c = table(spark, sf, "conversations")
+    turns = F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))),
+        lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")),
+    )
+    return (
+        c.groupBy("conv_id").agg(turns.alias("messages"))
+        .select(
+            F.col("conv_id").alias("row_idx"),
+            F.lit("chat").alias("dataset_id"),
+            F.to_json(F.struct(
+                "conv_id", "messages",
+                F.struct(F.struct(F.lit("x").alias("b"), F.struct(F.lit("lost").alias("c")).alias("d")).alias("a"),
+                         F.lit(3).alias("n"), F.lit("y").alias("e")).alias("meta"),
+            )).alias("row_json"),
+        )
+    )

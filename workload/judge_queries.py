@@ -302,17 +302,23 @@ def d3(spark, sf):
     return A.ability_values(A.usable(raw))
 
 
+@query("d3_ability_sources", with_ctes(JUDGED, RAW, USABLE, body="""
+SELECT name AS ability_name, source_cluster_id, count(*) AS mention_count FROM usable GROUP BY ALL"""))
+def d3_sources(spark, sf):
+    raw = refinement.refine(I.judge_results(spark, sf)).raw_abilities
+    return A.ability_sources(A.usable(raw))
+
+
 @query("d4_source_cluster_counts", with_ctes(JUDGED, RAW, USABLE, body="""
 SELECT name AS ability_name,
        count(DISTINCT source_cluster_id) + CAST(bool_or(source_cluster_id IS NULL) AS INTEGER) AS source_cluster_count,
-       array_to_string(list_sort(list(DISTINCT source_cluster_id)), ',') AS source_clusters, count(*) AS mention_count
+       count(*) AS mention_count
 FROM (SELECT name, CASE WHEN pos % 6 <> 1 THEN source_cluster_id END AS source_cluster_id FROM usable)
 GROUP BY ALL"""))
 def d4(spark, sf):
     raw = A.usable(refinement.refine(I.judge_results(spark, sf)).raw_abilities)
     some = F.when(F.col("pos") % 6 != 1, F.col("source_cluster_id"))
-    counts = A.source_counts(raw.withColumn("source_cluster_id", some))
-    return counts.withColumn("source_clusters", F.array_join("source_clusters", ","))
+    return A.source_counts(raw.withColumn("source_cluster_id", some))
 
 
 FINAL = with_ctes(JUDGED, RAW, USABLE, FIELD_VALUES, body="""
