@@ -1,6 +1,23 @@
+"""Lens probes: read hidden states as token scores and test capability words per fold."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capsonde.functions.text import label_words
+from capsonde.operators import selection as X
+from capsonde.operators.scoring import matrix_of
+from capsonde.session import materialize
+
+LAYER = ["tag", "layer"]
+CARRIED = ["dataset_id", "clusters", "neg_train", "neg_test"]
+
 
 def lens_layers(models: DataFrame, key: str) -> DataFrame:
     """The captured depths a lens can read, all but the deepest, with their lens layer."""
@@ -8,3 +25,149 @@ def lens_layers(models: DataFrame, key: str) -> DataFrame:
     return models.select(key, F.explode(readable).alias("layer")).select(
         key, "layer", (F.col("layer") - 1).alias("lens_layer")
     )
+
+
+def whole_word_candidates(verbalizers: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """B16, whole: words which are one ordinary token after a blank, in word order, each once."""
+    words = verbalizers.select("name", F.posexplode("words").alias("word_no", "word"))
+    tokens = vocabulary.filter(~F.col("is_special")).select("token_id", "text")
+    return (
+        words.join(tokens, F.concat(F.lit(" "), "word") == F.col("text"))
+        .groupBy("name", "token_id").agg(F.min("word_no").alias("order"))
+    )
+
+
+def fragment_candidates(names: DataFrame, vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
+    """B16, fragment: tokens which are a label word, else the word's pieces; in token order.
+
+    `pieces` (word, token_id) lists the tokens a word breaks into, alone or after a blank.
+    """
+    words = names.select("name", F.explode(label_words(F.col("name"))).alias("word")).distinct()
+    spelled = words.select(
+        "name", "word", F.explode(F.array("word", F.concat(F.lit(" "), "word"))).alias("text")
+    )
+    exact = spelled.join(vocabulary.select("text", "token_id", "is_special"), "text").drop("text")
+    split_up = (
+        words.join(exact.select("name", "word"), ["name", "word"], "left_anti")
+        .join(pieces, "word")
+        .join(vocabulary.select("token_id", "is_special"), "token_id")
+        .select("name", "word", "token_id", "is_special")
+    )
+    return (
+        exact.unionByName(split_up).filter(~F.col("is_special"))
+        .select("name", "token_id").distinct()
+        .withColumn("order", F.col("token_id"))
+    )
+
+
+def candidate_coverage(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Capabilities with candidates, and the fewest, mean and most per capability."""
+    counts = names.select("name").join(
+        candidates.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name", "left"
+    ).select("name", F.coalesce("n", F.lit(0)).alias("n"))
+    return counts.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("n") > 0).alias("covered"),
+        F.min("n").alias("fewest"),
+        F.avg("n").alias("mean"),
+        F.max("n").alias("most"),
+    )
+
+
+def require_coverage(names: DataFrame, candidates: DataFrame) -> None:
+    missing = names.select("name").join(candidates, "name", "left_anti").limit(20)
+    uncovered = [r["name"] for r in missing.collect()]
+    if uncovered:
+        raise ValueError(f"capabilities without a valid candidate: {uncovered}")
+
+
+@dataclass(frozen=True)
+class Lens:
+    """Readout of a model: one transport matrix per layer, final norm and token rows."""
+
+    jacobians: dict[int, np.ndarray]
+    unembed: np.ndarray
+    token_ids: list[int]
+    norm_weight: np.ndarray
+    eps: float = 1e-6
+    softcap: float | None = None
+    zero_centered: bool = False
+
+    def plain(self) -> tuple:
+        gain = 1.0 + self.norm_weight if self.zero_centered else self.norm_weight
+        return self.jacobians, self.unembed, gain, self.eps, self.softcap
+
+
+def _logits(h, jacobian, unembed, gain, eps, softcap) -> np.ndarray:
+    moved = h @ jacobian.T
+    moved = moved / np.sqrt((moved * moved).mean(axis=1, keepdims=True) + eps) * gain
+    logits = moved @ unembed.T
+    return softcap * np.tanh(logits / softcap) if softcap is not None else logits
+
+
+def token_scores(
+    rows: DataFrame, lens: Lens, candidates: DataFrame | None = None
+) -> DataFrame:
+    """F16: lens score of tokens as parallel arrays `features`, `values` beside each row.
+
+    With `candidates` (cluster_id, token_id) a row only carries the tokens of capabilities
+    it has a role in. The lens and the candidate lists are model parameters and taxonomy.
+    """
+    spark = rows.sparkSession
+    kept = [c for c in rows.columns if c != "h"]
+    schema = rows.select(*kept).schema.add("features", "array<int>").add("values", "array<double>")
+    column = {t: i for i, t in enumerate(lens.token_ids)}
+    wanted = None
+    if candidates is not None:
+        wanted = {}
+        for r in candidates.select("cluster_id", "token_id").toLocalIterator():
+            wanted.setdefault(r["cluster_id"], []).append(column[r["token_id"]])
+    shared = spark.sparkContext.broadcast((*lens.plain(), np.asarray(lens.token_ids), wanted))
+    roles = ["clusters", "neg_train", "neg_test"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        jacobians, unembed, gain, eps, softcap, ids, wanted = shared.value
+        everything = np.arange(len(ids))
+        for batch in batches:
+            layers = batch["layer"].to_numpy()
+            for layer in np.unique(layers):
+                part = batch.filter(pa.array(layers == layer))
+                logits = _logits(matrix_of(part["h"]), jacobians[int(layer)], unembed, gain, eps, softcap)
+                if wanted is None:
+                    picks = [everything] * len(part)
+                else:
+                    lists = zip(*(part[r].to_pylist() for r in roles))
+                    picks = [
+                        np.unique([t for clusters in row for c in clusters for t in wanted.get(c, ())]).astype(int)
+                        for row in lists
+                    ]
+                row = np.repeat(np.arange(len(part)), [len(p) for p in picks])
+                token = np.concatenate(picks) if len(part) else everything[:0]
+                offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part[c] for c in kept]
+                    + [
+                        pa.ListArray.from_arrays(offsets, pa.array(ids[token], pa.int32())),
+                        pa.ListArray.from_arrays(offsets, pa.array(logits[row, token])),
+                    ],
+                    names=[*kept, "features", "values"],
+                )
+
+    readable = rows.filter(F.col("layer").isin(list(lens.jacobians)))
+    return readable.mapInArrow(run, schema)
+
+
+def lens_lobo(
+    rows: DataFrame, lens: Lens, candidates: DataFrame, fold_table: DataFrame, split: DataFrame
+) -> DataFrame:
+    """F17/F18 per fold: the capability's best training token and its held-out AUC.
+
+    `candidates` (cluster_id, token_id, order). Layers share one split (`split`).
+    """
+    read = rows.select(*LAYER, "uid", *CARRIED, "h")
+    scores = X.role_scores(materialize(token_scores(read, lens, candidates)))
+    own = candidates.select("cluster_id", F.col("token_id").alias("feature"), "order")
+    scores = scores.join(own.drop("order"), ["cluster_id", "feature"])
+    aucs = X.train_aucs(scores, fold_table, split).join(own, ["cluster_id", "feature"])
+    chosen = materialize(X.best_features(aucs, either_sign=False))
+    return X.held_out_aucs(scores, chosen, fold_table, split)
