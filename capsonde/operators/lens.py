@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capsonde.functions.text import label_words
 from capsonde.operators import selection as X
@@ -115,7 +116,9 @@ def token_scores(
     """
     spark = rows.sparkSession
     kept = [c for c in rows.columns if c != "h"]
-    schema = rows.select(*kept).schema.add("features", "array<int>").add("values", "array<double>")
+    schema = rows.select(*kept).schema.add("features", T.ArrayType(T.IntegerType())).add(
+        "values", T.ArrayType(T.DoubleType())
+    )
     column = {t: i for i, t in enumerate(lens.token_ids)}
     wanted = None
     if candidates is not None:

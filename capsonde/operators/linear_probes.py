@@ -160,7 +160,7 @@ def _fit_in_tasks(rows, scaling, held: dict[str, list[str]], methods) -> DataFra
     }
     shared = spark.sparkContext.broadcast((scales, held))
 
-    def fit(key, group: pa.Table) -> pa.Table:
+    def fit(key, group):
         tag, layer, cluster = (k.as_py() for k in key)
         scales, held = shared.value
         mu, sd = scales[tag, layer]

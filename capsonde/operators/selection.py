@@ -55,7 +55,7 @@ def with_zeros(wins: Column, present_pos: Column, all_pos: Column, zero_neg: Col
 
 
 def train_aucs(scores: DataFrame, fold_table: DataFrame, split: DataFrame) -> DataFrame:
-    """training AUC of every present feature in every fold."""
+    """per fold the training AUC of every feature which one of its training rows has."""
     keys = [*LAYER, "cluster_id", "feature"]
     training = scores.filter(F.col("role").isin("pos", "train"))
     wins = count_wins(
@@ -80,6 +80,7 @@ def train_aucs(scores: DataFrame, fold_table: DataFrame, split: DataFrame) -> Da
         whole.join(fold_table.select("cluster_id", "hold", "n_train"), "cluster_id")
         .join(negative_sizes(split).filter("neg_train > 0 AND neg_test > 0"), "cluster_id")
         .join(by_dataset, [*keys, "hold"], "left")
+        .filter((held_in > 0) | (F.col("present_neg") > 0))
         .select(
             *LAYER, "cluster_id", "hold", "feature",
             auc_of(total, F.col("n_train"), F.col("neg_train")).alias("train_auc"),

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capsonde.operators import selection as X
 from capsonde.operators.scoring import matrix_of
@@ -36,7 +37,9 @@ def encode(
     of features, one pass each; a row then comes back once per block.
     """
     kept = [c for c in rows.columns if c != "h"]
-    schema = rows.select(*kept).schema.add("features", "array<int>").add("values", "array<double>")
+    schema = rows.select(*kept).schema.add("features", T.ArrayType(T.IntegerType())).add(
+        "values", T.ArrayType(T.DoubleType())
+    )
     read = rows.filter(F.col("layer").isin(list(encoders)))
     width = max(e.w_enc.shape[1] for e in encoders.values())
     size = sum(e.w_enc.size for e in encoders.values()) * 8

@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["probe_queries", "report_queries", "judge_queries", "corpus_queries"]
+MODULES = [
+    "probe_queries", "report_queries", "judge_queries", "corpus_queries", "method_queries",
+]
 
 
 def all_queries():

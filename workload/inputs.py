@@ -290,3 +290,74 @@ def chat_rows(spark: SparkSession, sf: str) -> DataFrame:
             )).alias("row_json"),
         )
     )
+
+
+def _vectors(spark: SparkSession, sf: str, start: int, stop: int):
+    """Rows of the embedding table used as model weights: a fixed-size parameter."""
+    import numpy as np
+
+    e = table(spark, sf, "embeddings").filter(F.col("vec_id").between(start, stop - 1))
+    return np.array([r["embedding"] for r in e.orderBy("vec_id").collect()], dtype=np.float64)
+
+
+SAE_FEATURES, LENS_TOKENS = 16, 8
+
+
+def sae_encoders(spark: SparkSession, sf: str):
+    """Layer 3: sixteen features, thresholds rising from 0; bias .01."""
+    import numpy as np
+
+    from capsonde.operators.sparse import Encoder
+
+    w = _vectors(spark, sf, 0, SAE_FEATURES).T
+    return {3: Encoder(w, np.full(SAE_FEATURES, 0.01), 0.02 * np.arange(SAE_FEATURES))}
+
+
+def lens(spark: SparkSession, sf: str):
+    """Layer 3: a 64 x 64 transport, eight tokens, a zero-centred norm and a soft cap."""
+    import numpy as np
+
+    from capsonde.operators.lens import Lens
+
+    v = _vectors(spark, sf, 0, 64 + LENS_TOKENS + 1)
+    return Lens(
+        jacobians={3: v[:64]}, unembed=v[64:72], token_ids=[100 + i for i in range(LENS_TOKENS)],
+        norm_weight=np.abs(v[72]), eps=1e-6, softcap=30.0, zero_centered=True,
+    )
+
+
+def lens_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Two or three tokens per capability, in a stated order."""
+    label = table(spark, sf, "embeddings").select("label").distinct()
+    caps = label.select(
+        F.format_string("cap%d", "label").alias("cluster_id"),
+        F.array(*[(F.col("label") + k) % LENS_TOKENS + 100 for k in (0, 3, 5)]).alias("t"),
+    )
+    pars = label.select(
+        F.format_string("par%d", F.col("label") % 2).alias("cluster_id"),
+        F.array(*[F.col("label") % 2 + 100 + k for k in (0, 2)]).alias("t"),
+    ).distinct()
+    return caps.unionByName(pars).select(
+        "cluster_id", F.posexplode("t").alias("order", "token_id")
+    )
+
+
+def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of part names as tokens: even lengths after a blank, others only in pieces."""
+    p = table(spark, sf, "part")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    whole = words.filter(F.length("w") % 2 == 0).select(F.concat(F.lit(" "), "w").alias("text"))
+    pieces = words.select(
+        F.explode(F.array(F.substring("w", 1, 2), F.expr("substring(w, 3)"))).alias("text")
+    )
+    tokens = whole.unionByName(pieces).distinct()
+    return tokens.select(
+        F.pmod(F.crc32("text"), F.lit(1000003)).cast("int").alias("token_id"), "text",
+        (F.length("text") == 1).alias("is_special"),
+    )
+
+
+def word_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    each = words.select("word", F.explode(F.array(F.substring("word", 1, 2), F.expr("substring(word, 3)"))).alias("text"))
+    return each.join(vocabulary(spark, sf).select("text", "token_id"), "text").select("word", "token_id")
