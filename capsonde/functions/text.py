@@ -15,8 +15,18 @@ LABEL_STOPWORDS = ["and", "to", "of", "the", "in", "for", "with", "from", "on"]
 ELISION = "\n...\n"
 
 
+# The same set as characters, for trimming without a regular expression.
+WS_CHARS = "".join(
+    chr(i)
+    for i in (
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+        *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    )
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:
@@ -51,8 +61,13 @@ def or_else(*cols: Column) -> Column:
 def strip_fence(c: Column) -> Column:
     """Remove one Markdown code fence around the whole text."""
     text = strip(F.coalesce(c, F.lit("")))
-    fenced = rf"\A```(?:json)?{WS}*+(.*?)(?:{WS}*```)?\z"
-    return F.regexp_replace(text, f"(?s){fenced}", "$1")
+    opened = F.regexp_replace(text, rf"\A```(?:json)?{WS}*", "")
+    closed = F.substring(opened, F.lit(1), F.char_length(opened) - 3)
+    return (
+        F.when(~text.startswith("```"), text)
+        .when(opened.endswith("```"), F.rtrim(closed, F.lit(WS_CHARS)))
+        .otherwise(opened)
+    )
 
 
 def parse_json_text(c: Column) -> Column:

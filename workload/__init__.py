@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "probe_queries", "report_queries", "judge_queries", "corpus_queries", "method_queries",
+    "flow_queries",
 ]
 
 
