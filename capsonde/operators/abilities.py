@@ -27,23 +27,26 @@ LIST_FIELDS = [f for f, k in KEPT.items() if k == 12]
 COUNT_FIELDS = [f for f, k in KEPT.items() if k is None]
 
 
-def most_common(
-    df: DataFrame, keys: list[str], value: str, order: Column, k: Column | int | None
-) -> DataFrame:
-    """The k commonest values of each group with count and rank; first seen wins a tie.
-
-    Values are counted map-side; only a group's distinct values are ranked.
-    """
-    counted = df.groupBy(*keys, value).agg(
+def counted_values(df: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
+    """Distinct values of each group with their count and first place, combined map-side."""
+    return df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("count"), F.min(order).alias("_first")
     )
-    rank = F.row_number().over(
-        Window.partitionBy(*keys).orderBy(F.col("count").desc(), F.col("_first"))
-    )
-    ranked = counted.withColumn("rank", rank)
-    if k is not None:
-        ranked = ranked.filter(F.col("rank") <= k)
-    return ranked.drop("_first")
+
+
+def ranked_values(counted: DataFrame, keys: list[str], k: int | None) -> DataFrame:
+    """The k first values of each group by count, first seen winning a tie.
+
+    With a literal k every task cuts its groups to k rows before they are shuffled.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.col("count").desc(), F.col("_first"))
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    return (ranked if k is None else ranked.filter(F.col("rank") <= k)).drop("_first")
+
+
+def most_common(df: DataFrame, keys: list[str], value: str, order: Column, k: int | None) -> DataFrame:
+    """The k commonest values of each group with count and rank; first seen wins a tie."""
+    return ranked_values(counted_values(df, keys, value, order), keys, k)
 
 
 def usable(raw: DataFrame, keep_no_contrast: bool = False, keep_narrow: bool = False) -> DataFrame:
@@ -63,7 +66,7 @@ def field_values(raw: DataFrame) -> DataFrame:
     def single(field: str, value: Column, keep_empty: bool) -> Column:
         row = F.array(F.struct(
             F.lit(field).alias("field"), value.alias("value"),
-            F.lit(KEPT[field] or (1 << 30)).alias("k"), F.lit(0).alias("item"),
+            F.lit(KEPT[field]).cast("int").alias("k"), F.lit(0).alias("item"),
         ))
         if keep_empty:
             return row
@@ -74,7 +77,7 @@ def field_values(raw: DataFrame) -> DataFrame:
         listed = F.coalesce(F.col(field), F.array().cast("array<string>"))
         return F.transform(listed, lambda v, i: F.struct(
             F.lit(field).alias("field"), v.alias("value"),
-            F.lit(KEPT[field]).alias("k"), i.alias("item"),
+            F.lit(KEPT[field]).cast("int").alias("k"), i.alias("item"),
         ))
 
     display = or_else(F.col("display_name"), title_of(F.col("ability_name")))
@@ -90,11 +93,21 @@ def field_values(raw: DataFrame) -> DataFrame:
 
 
 def ability_values(raw: DataFrame) -> DataFrame:
-    """D3 in long form: the kept values of every field of every ability, with their counts."""
-    order = F.struct("pos", "ability_index", "item")
-    return most_common(
-        field_values(raw), ["ability_name", "field", "k"], "value", order, F.col("k")
-    ).drop("k")
+    """D3 in long form: the kept values of every field of every ability, with their counts.
+
+    The limit of a field is no grouping key, so both branches read one shuffled aggregate.
+    Fields without a limit hold the few words which the reply shape allows.
+    """
+    keys = ["ability_name", "field"]
+    counted = field_values(raw).groupBy(*keys, "value").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.min(F.struct("pos", "ability_index", "item")).alias("_first"),
+        F.max("k").alias("k"),
+    )
+    most = max(k for k in KEPT.values() if k)
+    limited = ranked_values(counted.filter(F.col("k").isNotNull()), keys, most)
+    whole = ranked_values(counted.filter(F.col("k").isNull()), keys, None)
+    return limited.filter(F.col("rank") <= F.col("k")).unionByName(whole).drop("k")
 
 
 def ability_sources(raw: DataFrame) -> DataFrame:

@@ -226,21 +226,20 @@ def _score_diff_mean(train: DataFrame, test: DataFrame) -> DataFrame:
         for r in train.groupBy("label").agg(V.vector_mean(vector_to_array("x")).alias("m")).collect()
     }
     gap = means[1.0] - means[0.0]
-    return _project(test, gap / (np.linalg.norm(gap) + 1e-8))
-
-
-def _project(df: DataFrame, v: np.ndarray) -> DataFrame:
-    weights = F.array(*[F.lit(float(a)) for a in v])
-    return df.withColumn("score", V.dot(vector_to_array("x"), weights))
+    unit = gap / (np.linalg.norm(gap) + 1e-8)
+    direction = train.sparkSession.createDataFrame([(unit.tolist(),)], "v array<double>").scalar()
+    return test.withColumn("_v", direction).withColumn(
+        "score", V.dot(vector_to_array("x"), F.col("_v"))
+    )
 
 
 def _score_logistic(train: DataFrame, test: DataFrame) -> DataFrame:
-    n = train.count()
     model = LogisticRegression(
-        featuresCol="x", labelCol="label", regParam=1.0 / (LR_C * n), elasticNetParam=0.0,
-        standardization=False, maxIter=LR_MAX_ITER, tol=1e-10,
+        featuresCol="x", labelCol="label", regParam=1.0 / (LR_C * train.count()),
+        elasticNetParam=0.0, standardization=False, maxIter=LR_MAX_ITER, tol=1e-10,
     ).fit(train)
-    return _project(test, model.coefficients.toArray())
+    margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
+    return model.transform(test).withColumn("score", margin)
 
 
 def _score_pca(train: DataFrame, test: DataFrame) -> DataFrame | None:
@@ -248,19 +247,19 @@ def _score_pca(train: DataFrame, test: DataFrame) -> DataFrame | None:
     k = min(PCA_K, n - 1, d)
     if k < 1:
         return None
-    axes = PCA(k=k, inputCol="x", outputCol="pc").fit(train).pc.toArray().T
-    scored = train.select(
-        (F.col("label") > 0).alias("_y"),
-        F.posexplode(F.array(*[
-            V.dot(vector_to_array("x"), F.array(*[F.lit(float(a)) for a in axis])) for axis in axes
-        ])).alias("component", "score"),
+    model = PCA(k=k, inputCol="x", outputCol="pc").fit(train)
+    scored = model.transform(train).select(
+        (F.col("label") > 0).alias("_y"), F.posexplode(vector_to_array("pc")).alias("component", "score")
     )
     aucs = {
         r["component"]: r["auc"]
         for r in rank_sum_auc(scored, ["component"], "score", "_y").collect()
     }
     best = max(range(k), key=lambda i: (max(aucs[i], 1.0 - aucs[i]), -i))
-    return _project(test, axes[best] if aucs[best] >= 0.5 else -axes[best])
+    side = 1.0 if aucs[best] >= 0.5 else -1.0
+    return model.transform(test).withColumn(
+        "score", F.get(vector_to_array("pc"), F.lit(best)) * F.lit(side)
+    )
 
 
 _SCORERS = {"diffmean": _score_diff_mean, "pca": _score_pca, "lr": _score_logistic}

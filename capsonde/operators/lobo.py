@@ -10,7 +10,7 @@ from capsonde.operators import directions as D
 from capsonde.operators import sampling as S
 from capsonde.operators.auc import rank_sum_auc
 from capsonde.operators.scoring import number_directions, projection_sums, score_rows
-from capsonde.session import BROADCAST_LIMIT, materialize
+from capsonde.session import BROADCAST_LIMIT, broadcast_if_small, materialize
 
 LAYER = D.LAYER
 
@@ -50,11 +50,12 @@ class Protocol:
         chosen = self.directions.filter(F.col("kind").isin(*kinds))
         return score_rows(self.rows, chosen, self.limit)
 
-    def aucs(self, *kinds: str) -> DataFrame:
-        """AUC per direction with its keys."""
-        auc = rank_sum_auc(self.scores(*kinds), ["dir_id"], "score", "positive")
+    def aucs(self, *kinds: str, scores: DataFrame | None = None) -> DataFrame:
+        """AUC per direction with its keys, from a new scan or from scores at hand."""
+        scores = self.scores(*kinds) if scores is None else scores
+        auc = rank_sum_auc(scores, ["dir_id"], "score", "positive")
         keys = self.directions.select("dir_id", *LAYER, "kind", "cluster_id", "hold")
-        return auc.join(keys, "dir_id").drop("dir_id")
+        return auc.join(keys.filter(F.col("kind").isin(*kinds)), "dir_id").drop("dir_id")
 
 
 def lobo_folds(protocol: Protocol) -> DataFrame:
@@ -77,14 +78,23 @@ def within_auc(protocol: Protocol) -> DataFrame:
     return protocol.aucs("within").drop("kind", "hold")
 
 
-def length_confound(protocol: Protocol) -> DataFrame:
+def length_confound(protocol: Protocol, scores: DataFrame | None = None) -> DataFrame:
     """|Spearman| of projection against log length over the test negatives.
 
     Test negatives are capped per dataset by the sampler, so a group's windows sort a number
     of rows set by the number of datasets.
     """
-    lengths = protocol.texts.select("uid", F.log1p(F.col("n_chars").cast("double")).alias("_len"))
-    scored = protocol.scores("full").filter(~F.col("positive")).join(lengths, "uid")
+    sampled = broadcast_if_small(protocol.split.select("uid").distinct(), 256)
+    lengths = protocol.texts.join(sampled, "uid", "left_semi").select(
+        "uid", F.log1p(F.col("n_chars").cast("double")).alias("_len")
+    )
+    full = protocol.of_kind("full")
+    scores = protocol.scores("full") if scores is None else scores
+    scored = (
+        scores.filter(~F.col("positive"))
+        .join(full.select("dir_id"), "dir_id", "left_semi")
+        .join(lengths, "uid")
+    )
 
     def ranked(column: str):
         group = Window.partitionBy("dir_id")
@@ -97,7 +107,7 @@ def length_confound(protocol: Protocol) -> DataFrame:
     rho = F.try_divide(
         F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")
     )
-    keys = protocol.directions.select("dir_id", *LAYER, "cluster_id")
+    keys = full.select("dir_id", *LAYER, "cluster_id")
     return (
         ranks.groupBy("dir_id")
         .agg(F.abs(rho).alias("len_r"), F.count(F.lit(1)).alias("n_neg"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsonde.functions.numbering import hash_bucket, row_number_by
+from capsonde.functions.numbering import hash_bucket
 from capsonde.functions.scalars import draw_key
+from capsonde.session import broadcast_if_small
 
 # Fixed values of the protocol.
 NEGATIVES_PER_DATASET = 30
@@ -97,14 +98,25 @@ def half_cuts(texts: DataFrame, seed: int = 0) -> DataFrame:
     A text is in the training half when its own hash does not exceed the cut, so a
     capability's half is tested row by row, with one short row per capability to look up.
     """
-    keyed = members(texts).withColumn("_key", draw_key(seed, F.col("cluster_id"), F.col("uid")))
-    ranked = row_number_by(
-        keyed, ["cluster_id"], [F.col("_key"), F.col("uid")], hash_bucket(F.col("_key"))
+    keyed = members(texts).select(
+        "cluster_id", draw_key(seed, F.col("cluster_id"), F.col("uid")).alias("_key")
+    ).withColumn("_b", hash_bucket(F.col("_key")))
+    bins = keyed.groupBy("cluster_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("cluster_id")
+    upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    half = F.floor(F.col("n_pos") / 2)
+    # Only the bucket which holds the middle row is sorted.
+    middle = (
+        bins.withColumn("n_pos", F.sum("_n").over(group))
+        .withColumn("_upto", F.sum("_n").over(upto))
+        .filter((F.col("_upto") >= half) & (F.col("_upto") - F.col("_n") < half))
+        .select("cluster_id", "_b", "n_pos", (half - F.col("_upto") + F.col("_n")).alias("_place"))
     )
-    size = members(texts).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_pos"))
+    inside = Window.partitionBy("cluster_id", "_b").orderBy("_key")
     return (
-        ranked.join(size, "cluster_id")
-        .filter(F.col("rn") == F.floor(F.col("n_pos") / 2))
+        keyed.join(broadcast_if_small(middle, 128), ["cluster_id", "_b"])
+        .withColumn("_rn", F.row_number().over(inside))
+        .filter(F.col("_rn") == F.col("_place"))
         .select("cluster_id", F.col("_key").alias("half_cut"), "n_pos")
     )
 

@@ -41,11 +41,15 @@ def at_layers(df: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def layer_sweep(protocol: L.Protocol) -> tuple[DataFrame, DataFrame]:
-    """Fold AUCs, and cells with within, LOBO and length scores rounded as published."""
-    aucs = materialize(protocol.aucs("lobo", "within"))
+    """Fold AUCs, and cells with within, LOBO and length scores rounded as published.
+
+    All scores come from one scan of the hidden states and are written once.
+    """
+    scores = materialize(protocol.scores("lobo", "within", "full"))
+    aucs = materialize(protocol.aucs("lobo", "within", scores=scores))
     folds = aucs.filter("kind = 'lobo' AND auc IS NOT NULL").drop("kind")
     within = aucs.filter("kind = 'within'").drop("kind", "hold")
-    lengths = L.length_confound(protocol).select(
+    lengths = L.length_confound(protocol, scores).select(
         *LAYER, "cluster_id", round_binary(F.col("len_r")).alias("len_r")
     )
     cells = (

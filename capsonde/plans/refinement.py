@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from capsonde.operators import abilities as A
 from capsonde.operators import judging as J
+from capsonde.session import materialize
 
 
 @dataclass(frozen=True)
@@ -32,8 +33,13 @@ def prompts(
     return rows.join(done.select("cluster_id").distinct(), "cluster_id", "left_anti") if done is not None else rows
 
 
-def refine(results: DataFrame, keep_no_contrast: bool = False, keep_narrow: bool = False) -> Refinement:
+def refine(
+    results: DataFrame, keep_no_contrast: bool = False, keep_narrow: bool = False, store: bool = False
+) -> Refinement:
+    """`store` writes the parsed replies once, for callers who read several outputs."""
     parsed = J.parse_replies(results)
+    if store:
+        parsed = materialize(parsed)
     judged = J.judgments(parsed)
     raw = J.abilities(judged)
     return Refinement(

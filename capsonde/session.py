@@ -18,6 +18,8 @@ def build_session(app: str = "capsonde", master: str | None = None, **conf: str)
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Vector sums keep one buffer per group; past this many a task sorts its rows instead.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "1024")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -18,6 +19,8 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-"),
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

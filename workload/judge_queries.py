@@ -360,7 +360,7 @@ SELECT (SELECT count(*) FROM judged WHERE outcome = 'parsed') AS judgments,
        (SELECT count(*) FROM raw) AS raw_abilities,
        (SELECT count(DISTINCT name) FROM usable) AS final_abilities"""))
 def j4(spark, sf):
-    r = refinement.refine(I.judge_results(spark, sf))
+    r = refinement.refine(I.judge_results(spark, sf), store=True)
     outputs = ["judgments", "rejects", "raw_abilities", "final_abilities"]
     sizes = None
     for o in outputs:
