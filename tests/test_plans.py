@@ -52,8 +52,8 @@ def test_moments_combine_before_the_shuffle(spark):
 
 @pytest.mark.parametrize("make", [
     lambda s: S.negative_candidates(I.probe_texts(s, SF), I.NEGATIVES),
-    lambda s: P.sample_texts(s.range(9).select(F.col("id").alias("row_idx"), (F.col("id") % 2).alias("dataset_id"))),
-    lambda s: P.cap_rows(s.range(9).select(F.col("id").alias("row_idx"), (F.col("id") % 2).alias("dataset_id"))),
+    lambda s: P.sample_texts(s.range(10**6).select(F.col("id").alias("row_idx"), (F.col("id") % 2).alias("dataset_id"))),
+    lambda s: P.cap_rows(s.range(10**6).select(F.col("id").alias("row_idx"), (F.col("id") % 2).alias("dataset_id"))),
     lambda s: A.most_common(I.table(s, SF, "part"), ["p_brand"], "p_name", F.col("p_partkey"), 3),
 ])
 def test_top_k_windows_cut_before_the_shuffle(spark, make):
