@@ -99,9 +99,8 @@ def assembled(fields: Column, prim: Column, ctx: Column, opt: Column, sec: Colum
 
     options = F.concat(F.lit("Options:\n"), F.substring(part(opt), 1, OPTIONS_CHARS))
     body = F.concat_ws("\n\n", F.substring(part(ctx), 1, CONTEXT_CHARS), part(prim), options)
-    text = strip(F.substring(body, 1, MAX_CHARS))
-    more = F.concat(text, F.lit("\n\n"), F.substring(part(sec), 1, SECONDARY_CHARS))
-    return F.coalesce(strip(more), text)
+    more = F.concat(F.lit("\n\n"), F.substring(part(sec), 1, SECONDARY_CHARS))
+    return strip(F.concat(strip(F.substring(body, 1, MAX_CHARS)), F.coalesce(more, F.lit(""))))
 
 
 def assemble_rows(rows: DataFrame, roles: DataFrame) -> DataFrame:
@@ -198,6 +197,7 @@ def build_probe_texts(
     rows: DataFrame, clusters: DataFrame, most: int = MAX_PER_DATASET, seed: int = 0
 ) -> Corpus:
     """Rows (dataset_id, row_idx, row_json) and dataset tags to tagged, deduplicated texts."""
+    clusters = materialize(clusters)
     rows = rows.join(broadcast_if_small(clusters.select("dataset_id"), 256), "dataset_id", "left_semi")
     roles = materialize(
         field_roles(with_fields(first_rows(rows))).withColumn("sec", F.lit(None).cast("string"))

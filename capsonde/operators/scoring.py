@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.functions import vectors as V
@@ -36,60 +36,95 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
+def list_rows(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row number of every element of a list column, and the elements, without Python objects."""
+    lengths = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(column)), lengths), column.flatten()
+
+
+def fold_key(kind: str, cluster: Column, hold: Column | None = None) -> Column:
+    """One number for (kind, capability, held-out dataset), the same on rows and directions."""
+    parts = [F.lit(kind), cluster] + ([hold] if hold is not None else [])
+    return F.xxhash64(*parts)
+
+
+def _positive_keys() -> Column:
+    """What a text is a test positive for: its own dataset's folds, and its second halves."""
+    held_out = F.transform("clusters", lambda c: fold_key("lobo", c, F.col("dataset_id")))
+    second = F.transform(
+        F.filter("clusters", lambda c: ~F.array_contains("half", c)),
+        lambda c: fold_key("within", c),
+    )
+    return F.concat(held_out, second)
+
+
 class LayerDirections:
-    """The directions of one (model, layer), indexed by what a row may be scored for."""
+    """The directions of one (model, layer), found by fold key or by capability."""
 
-    def __init__(self, ids, weights, shift, names):
+    def __init__(self, ids, weights, shift, keys, clusters):
         self.ids, self.weights, self.shift = ids, weights, shift
-        self.by_fold: dict[tuple, int] = {}
-        self.half: dict[str, int] = {}
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
         self.of_cluster: dict[str, list[int]] = {}
-        for i, (kind, cluster, hold) in enumerate(names):
-            if kind == "spec":
-                continue
+        for i, cluster in enumerate(clusters):
             self.of_cluster.setdefault(cluster, []).append(i)
-            if kind == "lobo":
-                self.by_fold[cluster, hold] = i
-            elif kind == "within":
-                self.half[cluster] = i
-
-    def as_positive(self, dataset: str, clusters: list[str], half: list[str]) -> list[int]:
-        held_out = [self.by_fold[c, dataset] for c in clusters if (c, dataset) in self.by_fold]
-        return held_out + [self.half[c] for c in clusters if c in self.half and c not in half]
-
-    def as_negative(self, clusters: list[str]) -> list[int]:
-        return [i for c in clusters for i in self.of_cluster.get(c, ())]
-
-    def project(self, h: np.ndarray, wanted: list[list[int]]):
-        """Scores of the wanted directions only: (row, direction, score) arrays."""
-        row = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
-        if not len(row):
-            return row, row, np.empty(0)
-        direction = np.concatenate([np.asarray(w, dtype=np.int64) for w in wanted])
-        used, column = np.unique(direction, return_inverse=True)
-        rows, line = np.unique(row, return_inverse=True)
-        products = h[rows] @ self.weights[used].T - self.shift[used]
-        return row, direction, products[line, column]
+
+    def score_keys(self, h: np.ndarray, column: pa.Array):
+        """(row, direction, score) where a row's key names a direction here."""
+        row, flat = list_rows(column)
+        key = flat.to_numpy(zero_copy_only=False)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[place] == key
+        row, direction = row[hit], self.order[place[hit]]
+        by_direction = np.argsort(direction, kind="stable")
+        row, direction = row[by_direction], direction[by_direction]
+        score = np.empty(len(row))
+        used, start = np.unique(direction, return_index=True)
+        for d, lo, hi in zip(used, start, [*start[1:], len(row)]):
+            score[lo:hi] = h[row[lo:hi]] @ self.weights[d] - self.shift[d]
+        return row, direction, score
+
+    def score_clusters(self, h: np.ndarray, column: pa.Array):
+        """(row, direction, score) for every direction of a row's capabilities."""
+        lengths = np.diff(column.offsets.to_numpy())
+        sampled = np.flatnonzero(lengths)
+        lists = column.take(pa.array(sampled)).to_pylist()
+        wanted = [[i for c in clusters for i in self.of_cluster.get(c, ())] for clusters in lists]
+        line = np.repeat(np.arange(len(sampled)), [len(w) for w in wanted])
+        direction = np.array([i for w in wanted for i in w], dtype=np.int64)
+        products = h[sampled] @ self.weights.T - self.shift
+        return sampled[line], direction, products[line, direction]
 
 
 def _share(directions: DataFrame):
     """Broadcast of the directions of each (tag, layer) as plain arrays; size checked above."""
+    key = (
+        F.when(F.col("kind") == "lobo", fold_key("lobo", F.col("cluster_id"), F.col("hold")))
+        .when(F.col("kind") == "within", fold_key("within", F.col("cluster_id")))
+        .otherwise(F.xxhash64("kind", "cluster_id"))
+    )
     table = directions.select(
-        *LAYER, "kind", "cluster_id", "hold", "dir_id", "w", "shift"
+        *LAYER, "cluster_id", "dir_id", "w", "shift", key.alias("key")
     ).toArrow()
-    keys = list(zip(table["tag"].to_pylist(), table["layer"].to_pylist()))
+    layers = list(zip(table["tag"].to_pylist(), table["layer"].to_pylist()))
     arrays = {}
-    for key in set(keys):
-        t = table.filter(pa.array([k == key for k in keys]))
-        names = list(zip(*(t[c].to_pylist() for c in ("kind", "cluster_id", "hold"))))
-        arrays[key] = (t["dir_id"].to_numpy(), matrix_of(t["w"]), t["shift"].to_numpy(), names)
+    for layer in set(layers):
+        t = table.filter(pa.array([k == layer for k in layers]))
+        arrays[layer] = (
+            t["dir_id"].to_numpy(), matrix_of(t["w"]), t["shift"].to_numpy(),
+            t["key"].to_numpy(), t["cluster_id"].to_pylist(),
+        )
     return directions.sparkSession.sparkContext.broadcast(arrays)
 
 
 def _layer_slices(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    keys = list(zip(batch["tag"].to_pylist(), batch["layer"].to_pylist()))
-    for key in sorted(set(keys)):
-        yield key, batch.filter(pa.array([k == key for k in keys]))
+    tags = batch["tag"].dictionary_encode()
+    layers = batch["layer"].to_numpy()
+    code = tags.indices.to_numpy().astype(np.int64) << 32 | layers
+    for c in np.unique(code):
+        key = (tags.dictionary[int(c >> 32)].as_py(), int(c & 0xFFFFFFFF))
+        here = code == c
+        yield key, batch if here.all() else batch.filter(pa.array(here))
 
 
 def _score_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
@@ -99,33 +134,26 @@ def _score_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
         models = {key: LayerDirections(*arrays) for key, arrays in shared.value.items()}
         for batch in batches:
             for key, part in _layer_slices(batch):
-                model = models.get(key)
-                if model is None:
+                if key not in models:
                     continue
-                h = matrix_of(part["h"])
-                uid = part["uid"]
-                positives = [
-                    model.as_positive(d, c, f)
-                    for d, c, f in zip(
-                        part["dataset_id"].to_pylist(),
-                        part["clusters"].to_pylist(),
-                        part["half"].to_pylist(),
-                    )
-                ]
-                negatives = [model.as_negative(c) for c in part["neg_test"].to_pylist()]
-                for wanted, positive in ((positives, True), (negatives, False)):
-                    row, direction, score = model.project(h, wanted)
+                model, h = models[key], matrix_of(part["h"])
+                for positive, (row, direction, score) in (
+                    (True, model.score_keys(h, part["positive_keys"])),
+                    (False, model.score_clusters(h, part["neg_test"])),
+                ):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(model.ids[direction], pa.int64()),
-                            uid.take(pa.array(row, pa.int64())),
+                            part["uid"].take(pa.array(row, pa.int64())),
                             pa.array(np.full(len(row), positive)),
                             pa.array(score, pa.float64()),
                         ],
                         names=["dir_id", "uid", "positive", "score"],
                     )
 
-    needed = rows.select(*LAYER, "uid", "dataset_id", "clusters", "half", "neg_test", "h")
+    needed = rows.select(
+        *LAYER, "uid", _positive_keys().alias("positive_keys"), "neg_test", "h"
+    )
     return needed.mapInArrow(run, SCORES)
 
 
@@ -143,7 +171,7 @@ def _score_by_join(rows: DataFrame, directions: DataFrame) -> DataFrame:
     )
     negatives = rows.select(
         *LAYER, "uid", "h", F.explode("neg_test").alias("cluster_id")
-    ).join(d.filter("kind <> 'spec'"), [*LAYER, "cluster_id"])
+    ).join(d, [*LAYER, "cluster_id"])
     yes, no = F.lit(True).alias("positive"), F.lit(False).alias("positive")
     return (
         held_out.select(*out, yes, score)
@@ -162,8 +190,10 @@ def score_rows(
 ) -> DataFrame:
     """Test scores of every direction: held-out or second-half positives, test negatives.
 
-    `rows` comes from `with_roles`, `directions` from `number_directions`.
+    `rows` comes from `with_roles`, `directions` from `number_directions`; its `spec` kind has
+    no test of its own.
     """
+    directions = directions.filter(F.col("kind") != "spec")
     if direction_bytes(directions) <= limit:
         return _score_in_workers(rows, directions)
     return _score_by_join(rows, directions)
@@ -208,15 +238,14 @@ def _sums_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
             for key, part in _layer_slices(batch):
                 if key not in shared.value:
                     continue
-                _, weights, shift, _ = shared.value[key]
+                _, weights, shift, *_ = shared.value[key]
                 products = matrix_of(part["h"]) @ weights.T - shift
                 add(key, None, products)
-                members: dict[str, list[int]] = {}
-                for i, clusters in enumerate(part["clusters"].to_pylist()):
-                    for c in clusters:
-                        members.setdefault(c, []).append(i)
-                for cluster, index in members.items():
-                    add(key, cluster, products[index])
+                row, tags = list_rows(part["clusters"])
+                tags = tags.dictionary_encode()
+                code = tags.indices.to_numpy()
+                for c in np.unique(code):
+                    add(key, tags.dictionary[int(c)].as_py(), products[row[code == c]])
         for (key, cluster), (n, total, squares) in sums.items():
             ids = shared.value[key][0]
             yield pa.RecordBatch.from_arrays(
