@@ -41,24 +41,18 @@ def with_roles(
         .withColumn("neg_train", F.coalesce("neg_train", none))
         .withColumn("neg_test", F.coalesce("neg_test", none))
     )
+    rows = hidden.join(roles, "uid")
     if cuts is None:
-        roles = roles.withColumn("half", none)
-    else:
-        by_capability = cuts.agg(
-            F.map_from_entries(F.collect_list(F.struct("cluster_id", "half_cut")))
-        ).scalar()
-        roles = (
-            roles.withColumn("_cuts", by_capability)
-            .withColumn(
-                "half",
-                F.filter(
-                    "clusters",
-                    lambda c: draw_key(seed, c, F.col("uid")) <= F.try_element_at(F.col("_cuts"), c),
-                ),
-            )
-            .drop("_cuts")
-        )
-    return hidden.join(roles, "uid")
+        return rows.withColumn("half", none)
+    # Tested on the joined rows: below the join, Spark would infer a filter from the key.
+    by_capability = cuts.agg(
+        F.map_from_entries(F.collect_list(F.struct("cluster_id", "half_cut")))
+    ).scalar()
+    first_half = F.filter(
+        "clusters",
+        lambda c: draw_key(seed, c, F.col("uid")) <= F.try_element_at(F.col("_cuts"), c),
+    )
+    return rows.withColumn("_cuts", by_capability).withColumn("half", first_half).drop("_cuts")
 
 
 def group_moments(rows: DataFrame) -> DataFrame:

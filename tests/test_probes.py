@@ -16,6 +16,7 @@ from capsonde.operators import reports as R
 from capsonde.operators import sampling as S
 from capsonde.operators import selection as X
 from capsonde.operators import sparse as Z
+from capsonde.session import materialize
 from capsonde.operators.lens import Lens, fragment_candidates, lens_lobo, require_coverage, whole_word_candidates
 
 DIM, CAP = 6, 4
@@ -142,6 +143,18 @@ def test_half_cuts(tables):
         assert cuts[c] == keys[len(keys) // 2 - 1]
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_half_flags_on_the_joined_rows(tables, protocol, stored):
+    hidden, texts = tables
+    cuts = S.half_cuts(texts)
+    rows = D.with_roles(hidden, texts, protocol.split, materialize(cuts) if stored else cuts)
+    got = {r["uid"]: sorted(r["half"]) for r in rows.filter("layer = 1").collect()}
+    for c in CLUSTERS:
+        keys = sorted((md5(0, c, u), u) for u in H if c in TAGS[u])
+        first = {u for _, u in keys[: len(keys) // 2]}
+        assert {u for u, half in got.items() if c in half} == first
+
+
 def test_folds(protocol):
     got = {(r["cluster_id"], r["hold"]): (r["n_train"], r["n_test"]) for r in protocol.folds.collect()}
     assert got == {(c, h): (len(a), len(b)) for c, h, a, b in brute_folds()}
