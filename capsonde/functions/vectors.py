@@ -38,13 +38,6 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x / length)
 
 
-def vector_moments(h: Column) -> Column:
-    """Struct (count, mean, variance) of dense vectors, combined map-side in the JVM."""
-    return Summarizer.metrics("count", "mean", "variance").summary(
-        array_to_vector(h.cast("array<double>"))
-    )
-
-
 def vector_sum(a: Column) -> Column:
     return vector_to_array(Summarizer.sum(array_to_vector(a)))
 
@@ -55,14 +48,6 @@ def vector_mean(a: Column, weight: Column | None = None) -> Column:
     return vector_to_array(Summarizer.mean(array_to_vector(a), weight.cast("double")))
 
 
-def population_variance(moments: Column) -> Column:
-    """Summarizer reports the sample variance; the probes use the population one (H8)."""
-    n = moments["count"].cast("double")
-    return F.transform(
-        vector_to_array(moments["variance"]), lambda x: x * (n - F.lit(1.0)) / n
-    )
-
-
 def stream_mean(streams: Column) -> Column:
     """Element-wise mean over parallel residual streams (ARRAY<ARRAY<FLOAT>>)."""
     first = F.transform(F.element_at(streams, 1), lambda x: x.cast("double"))

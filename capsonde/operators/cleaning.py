@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsonde.functions.scalars import MODERATE, round_binary
@@ -16,6 +16,13 @@ REMOVED_NOTE = "removed_by_probe_cleaning"
 
 MAPPING = ["cluster_id", "dataset_id"]
 
+# Fixed value: mappings removed by hand, whatever the votes say.
+MANUAL_REMOVALS = [("cap071", "Putnam-AXIOM/putnam-axiom-dataset-ICML-2025-522")]
+
+
+def manual_removals(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MANUAL_REMOVALS, "cluster_id string, dataset_id string")
+
 
 def votes(fold_aucs: DataFrame, summary: DataFrame, bar: float = MODERATE) -> DataFrame:
     """Per mapping, models whose capability generalises and those finding it suspect.
@@ -58,11 +65,11 @@ def cleaning_log(voted: DataFrame, manual: DataFrame) -> DataFrame:
 
 
 def _by_dataset(removed: DataFrame) -> DataFrame:
-    """One short row per touched dataset: at most as many entries as there are capabilities."""
-    return broadcast_if_small(
-        removed.groupBy("dataset_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("_bad")),
-        4096,
+    """One row per touched dataset: at most as many entries as there are capabilities."""
+    listed = removed.groupBy("dataset_id").agg(
+        F.array_sort(F.collect_set("cluster_id")).alias("_bad")
     )
+    return broadcast_if_small(listed, 128, sized_by=removed)
 
 
 def patch_texts(texts: DataFrame, removed: DataFrame) -> DataFrame:

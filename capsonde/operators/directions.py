@@ -8,11 +8,15 @@ into the direction: a raw vector is scored as `dot(h, w) - shift`.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.functions import vectors as V
+from capsonde.functions.arrow import layer_slices, list_rows, matrix_of
 from capsonde.functions.scalars import draw_key
 from capsonde.session import broadcast_if_small
 
@@ -37,7 +41,7 @@ def with_roles(
     none = F.array().cast("array<string>")
     roles = (
         texts.select("uid", "dataset_id", F.array_sort("clusters").alias("clusters"))
-        .join(broadcast_if_small(by_uid, 4096), "uid", "left")
+        .join(broadcast_if_small(by_uid, 128, sized_by=split), "uid", "left")
         .withColumn("neg_train", F.coalesce("neg_train", none))
         .withColumn("neg_test", F.coalesce("neg_test", none))
     )
@@ -55,47 +59,98 @@ def with_roles(
     return rows.withColumn("_cuts", by_capability).withColumn("half", first_half).drop("_cuts")
 
 
-def group_moments(rows: DataFrame) -> DataFrame:
-    """Count, mean and population variance of every group the directions need.
+GROUP = "kind string, cluster_id string, dataset_id string, clusters array<string>"
+PARTIAL = "tag string, layer int, g string, n bigint, mean array<double>, var array<double>"
+OPEN_GROUPS = 2048
 
-    kind `own`: a dataset's texts of one tag set; `train`, `test`: a capability's sampled
-    negatives; `half`: the training half of its positives. A vector feeds its own group once
-    however many tags it has.
-    """
+
+def _groups() -> Column:
+    """The groups a row belongs to, as JSON keys: its dataset and tags, and its sampled roles."""
     def entries(kind: str, column: str) -> Column:
         return F.transform(
             column,
-            lambda c: F.struct(
-                F.lit(kind).alias("kind"),
-                c.alias("cluster_id"),
-                F.lit(None).cast("string").alias("dataset_id"),
-                F.lit(None).cast("array<string>").alias("clusters"),
-            ),
+            lambda c: F.to_json(F.struct(F.lit(kind).alias("kind"), c.alias("cluster_id"))),
         )
 
-    own = F.array(
-        F.struct(
-            F.lit("own").alias("kind"),
-            F.lit(None).cast("string").alias("cluster_id"),
-            F.col("dataset_id"),
-            F.col("clusters"),
-        )
+    own = F.to_json(F.struct(F.lit("own").alias("kind"), "dataset_id", "clusters"))
+    return F.concat(
+        F.array(own), entries("train", "neg_train"), entries("test", "neg_test"), entries("half", "half")
     )
-    groups = F.concat(
-        own, entries("train", "neg_train"), entries("test", "neg_test"), entries("half", "half")
-    )
-    return (
-        rows.select(*LAYER, "h", F.explode(groups).alias("g"))
-        .groupBy(*LAYER, "g")
-        .agg(V.vector_moments(F.col("h")).alias("m"))
-        .select(
-            *LAYER,
-            "g.*",
-            F.col("m.count").alias("n"),
-            vector_to_array("m.mean").alias("mean"),
-            V.population_variance(F.col("m")).alias("var"),
+
+
+class _Moments:
+    """Running count, mean and squared deviations of one group."""
+
+    def __init__(self, width: int):
+        self.n, self.mean, self.m2 = 0, np.zeros(width), np.zeros(width)
+
+    def add(self, x: np.ndarray) -> None:
+        n, mean = len(x), x.mean(axis=0)
+        both, gap = self.n + n, mean - self.mean
+        self.m2 += ((x - mean) ** 2).sum(axis=0) + gap * gap * (self.n * n / both)
+        self.mean += gap * (n / both)
+        self.n = both
+
+
+def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Moments of the groups of one task; far more groups than usual are emitted in between."""
+    def emit(open_groups: dict) -> pa.RecordBatch:
+        keys, moments = list(open_groups), list(open_groups.values())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in keys], pa.string()),
+                pa.array([k[1] for k in keys], pa.int32()),
+                pa.array([k[2] for k in keys], pa.string()),
+                pa.array([m.n for m in moments], pa.int64()),
+                pa.array([m.mean for m in moments], pa.list_(pa.float64())),
+                pa.array([m.m2 / m.n for m in moments], pa.list_(pa.float64())),
+            ],
+            names=["tag", "layer", "g", "n", "mean", "var"],
         )
+
+    open_groups: dict[tuple, _Moments] = {}
+    for batch in batches:
+        for key, part in layer_slices(batch):
+            h = matrix_of(part["h"])
+            row, groups = list_rows(part["groups"])
+            groups = groups.dictionary_encode()
+            code = groups.indices.to_numpy()
+            by_group = np.argsort(code, kind="stable")
+            row, code = row[by_group], code[by_group]
+            used, start = np.unique(code, return_index=True)
+            for c, lo, hi in zip(used, start, [*start[1:], len(row)]):
+                name = (*key, groups.dictionary[int(c)].as_py())
+                if name not in open_groups:
+                    open_groups[name] = _Moments(h.shape[1])
+                open_groups[name].add(h[row[lo:hi]])
+        if len(open_groups) > OPEN_GROUPS:
+            yield emit(open_groups)
+            open_groups.clear()
+    if open_groups:
+        yield emit(open_groups)
+
+
+def group_moments(rows: DataFrame) -> DataFrame:
+    """Count, mean and population variance of every group the directions need.
+
+    kind `own`: a dataset's texts of one tag set; `train`, `test`: a capability's sampled
+    negatives; `half`: the training half of its positives. A vector crosses to Python once
+    and feeds its own group once however many tags it has; a task's partial moments, one row
+    per group, are all that is shuffled.
+    """
+    partial = rows.select(*LAYER, _groups().alias("groups"), "h").mapInArrow(
+        _partial_moments, PARTIAL
+    )
+    second = F.zip_with("var", "mean", lambda v, m: v + m * m)
+    merged = partial.groupBy(*LAYER, "g").agg(
+        F.sum("n").alias("n"),
+        V.vector_mean(F.col("mean"), F.col("n")).alias("mean"),
+        V.vector_mean(second, F.col("n")).alias("_second"),
     )
+    variance = F.zip_with("_second", "mean", lambda q, m: F.greatest(q - m * m, F.lit(0.0)))
+    return merged.select(
+        *LAYER, F.from_json("g", GROUP).alias("g"), "n", "mean", variance.alias("var")
+    ).select(*LAYER, "g.*", "n", "mean", "var")
 
 
 def standardiser(moments: DataFrame) -> DataFrame:

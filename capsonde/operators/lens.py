@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capsonde.functions.arrow import matrix_of
 from capsonde.functions.text import label_words
 from capsonde.operators import selection as X
-from capsonde.operators.scoring import matrix_of
 from capsonde.session import materialize
 
 LAYER = ["tag", "layer"]

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.functions import vectors as V
+from capsonde.functions.arrow import matrix_of
 from capsonde.operators.auc import rank_sum_auc
-from capsonde.operators.scoring import matrix_of
 from capsonde.session import materialize
 
 LAYER = ["tag", "layer"]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.functions import vectors as V
+from capsonde.functions.arrow import layer_slices, list_rows, matrix_of
 from capsonde.operators.directions import LAYER
 from capsonde.session import BROADCAST_LIMIT, materialize
 
@@ -28,20 +29,6 @@ def number_directions(directions: DataFrame) -> DataFrame:
     return materialize(directions.withColumn("dir_id", F.monotonically_increasing_id()))
 
 
-def matrix_of(column: pa.Array) -> np.ndarray:
-    """Equal-length Arrow lists as a 2-D array."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64, copy=False)
-
-
-def list_rows(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Row number of every element of a list column, and the elements, without Python objects."""
-    lengths = np.diff(column.offsets.to_numpy())
-    return np.repeat(np.arange(len(column)), lengths), column.flatten()
-
-
 def fold_key(kind: str, cluster: Column, hold: Column | None = None) -> Column:
     """One number for (kind, capability, held-out dataset), the same on rows and directions."""
     parts = [F.lit(kind), cluster] + ([hold] if hold is not None else [])
@@ -117,23 +104,13 @@ def _share(directions: DataFrame):
     return directions.sparkSession.sparkContext.broadcast(arrays)
 
 
-def _layer_slices(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    tags = batch["tag"].dictionary_encode()
-    layers = batch["layer"].to_numpy()
-    code = tags.indices.to_numpy().astype(np.int64) << 32 | layers
-    for c in np.unique(code):
-        key = (tags.dictionary[int(c >> 32)].as_py(), int(c & 0xFFFFFFFF))
-        here = code == c
-        yield key, batch if here.all() else batch.filter(pa.array(here))
-
-
 def _score_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
     shared = _share(directions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = {key: LayerDirections(*arrays) for key, arrays in shared.value.items()}
         for batch in batches:
-            for key, part in _layer_slices(batch):
+            for key, part in layer_slices(batch):
                 if key not in models:
                     continue
                 model, h = models[key], matrix_of(part["h"])
@@ -235,7 +212,7 @@ def _sums_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for key, part in _layer_slices(batch):
+            for key, part in layer_slices(batch):
                 if key not in shared.value:
                     continue
                 _, weights, shift, *_ = shared.value[key]

@@ -56,13 +56,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(
-    df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT
+    df: DataFrame,
+    row_bytes: int,
+    limit: int = BROADCAST_LIMIT,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Hint a broadcast only when rows x row_bytes is proven to stay under the limit.
 
     Counting stops one row past the limit. Beyond it the frame comes back unhinted and
-    the join is a shuffle join, which AQE may split by skew.
+    the join is a shuffle join, which AQE may split by skew. A frame whose rows hold lists
+    is sized by the table the lists were collected from.
     """
+    counted = df if sized_by is None else sized_by
     most = max(limit // row_bytes, 1)
-    rows = df.limit(most + 1).count()
+    rows = counted.limit(most + 1).count()
     return F.broadcast(df) if rows <= most else df

@@ -1,4 +1,10 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Registered queries against their SQL on the smallest tables.
+
+The probe queries, which numpy tests cover too, are left to `python -m workload.check`
+unless ORACLES=all.
+"""
+
+import os
 
 import pytest
 
@@ -8,6 +14,11 @@ from workload.registry import ORACLES
 
 SF = "/root/testdata/sf0.001"
 QUERIES = all_queries()
+PROBES = ("f", "b21", "d11", "d15", "e11", "e13", "i2")
+CHOSEN = [
+    n for n in sorted(QUERIES)
+    if os.environ.get("ORACLES") == "all" or n == "f6_lobo_diff_mean" or not n.startswith(PROBES)
+]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +30,7 @@ def test_every_oracle_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", CHOSEN)
 def test_query(spark, con, name):
     ok, note = compare(spark, SF, con, name, QUERIES[name], ORACLES.get(name))
     assert ok, note

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsonde.functions.numbering import average_rank
-from capsonde.functions.scalars import round_binary, tier
+from capsonde.functions.scalars import tier
 from capsonde.operators import directions as D
 from capsonde.operators import lobo as L
 from capsonde.operators import reports as R
