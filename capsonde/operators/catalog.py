@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsonde.functions.text import file_name, query_variants
+from capsonde.session import broadcast_if_small, materialize
 
 # Fixed values.
 TOP_PER_CLUSTER = 6
@@ -127,10 +128,13 @@ def manifest(matches: DataFrame, chosen: DataFrame, rows: DataFrame) -> DataFram
         .groupBy("dataset_id").agg(F.array_sort(F.collect_list("c")).alias("clusters"))
     )
     counted = matched.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_benchmarks"))
-    sizes = rows.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("row_idx")
+    sizes = materialize(
+        rows.groupBy("dataset_id").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("row_idx")
+        )
     )
-    heads = rows.join(sizes.select("dataset_id", "row_idx"), ["dataset_id", "row_idx"]).select(
+    first = broadcast_if_small(sizes.drop("n_rows"), 128)
+    heads = rows.join(first, ["dataset_id", "row_idx"]).select(
         "dataset_id", F.array_sort(F.json_object_keys("row_json")).alias("columns")
     )
     found = F.col("split").isNotNull()

@@ -53,9 +53,12 @@ def cap_rows(rows: DataFrame, most: int = MAX_ROWS) -> DataFrame:
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
-    """The first row of each dataset; datasets without rows vanish."""
-    first = rows.groupBy("dataset_id").agg(F.min("row_idx").alias("row_idx"))
-    return rows.join(first, ["dataset_id", "row_idx"], "left_semi")
+    """The first row of each dataset; datasets without rows vanish.
+
+    Its number is found without reading the row text, and no other row is shuffled.
+    """
+    first = materialize(rows.groupBy("dataset_id").agg(F.min("row_idx").alias("row_idx")))
+    return rows.join(broadcast_if_small(first, 128), ["dataset_id", "row_idx"], "left_semi")
 
 
 def _named(fields: Column, names: list[str]) -> Column:
