@@ -188,15 +188,15 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     found = docs.select(F.explode(pieces).alias("p")).select("p.*").where("kind <> ''")
     odd = attempts(found, key)
     # Only texts with such an entity have rows here; their number follows the rate of collisions.
-    where = docs.select(F.xxhash64(text).alias("_h"), F.sha1(F.col(text).cast("binary")).alias("_s"), F.explode(F.array_distinct(pieces)).alias("p"))
-    exceptions = where.select("_h", "_s", "p.*").join(odd, ["kind", "value"]).distinct().groupBy("_h", "_s").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("_odd"))
+    where = docs.select(F.xxhash64(text).alias("__h"), F.sha1(F.col(text).cast("binary")).alias("__s"), F.explode(F.array_distinct(pieces)).alias("p"))
+    exceptions = where.select("__h", "__s", "p.*").join(odd, ["kind", "value"]).distinct().groupBy("__h", "__s").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__odd"))
     exceptions = stored(exceptions, "exceptions")
-    keyed = docs.withColumns({"_h": F.xxhash64(text), "_s": F.sha1(F.col(text).cast("binary"))})
-    joined = keyed.join(exceptions, ["_h", "_s"], "left")
+    keyed = docs.withColumns({"__h": F.xxhash64(text), "__s": F.sha1(F.col(text).cast("binary"))})
+    joined = keyed.join(exceptions, ["__h", "__s"], "left")
 
     def replaced(p: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at("_odd", F.concat_ws("|", p["kind"], p["value"])), F.lit(0))
+        attempt = F.coalesce(F.try_element_at("__odd", F.concat_ws("|", p["kind"], p["value"])), F.lit(0))
         return surrogate(p["kind"], p["value"], attempt, key)
 
     gaps = F.split(F.col(text), ENTITY, -1)

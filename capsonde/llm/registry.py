@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsonde.llm import decontamination, formatting, jaccard_join, pii, quality, topk
+from capsonde.llm import (
+    decontamination, formatting, jaccard_join, lm_scoring, pii, quality, repeat_dedup, sampled_encoding,
+    substring_dedup, topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,3 +225,58 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) d LEFT J
 """)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+# -- 6 ------------------------------------------------------------------------------------------
+
+
+@query("op6_substring_dedup", """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS p
+  FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 11 AS BIGINT))) AS i FROM words WHERE len(w) >= 13)),
+firsts AS (SELECT p, min(doc_id) AS least FROM windows GROUP BY p),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS word
+  FROM windows JOIN firsts USING (p) WHERE least < doc_id),
+every AS (SELECT doc_id, unnest(w) AS one, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS word FROM words),
+left_over AS (SELECT doc_id, count(*) AS n, string_agg(one, ' ' ORDER BY word) AS kept FROM every ANTI JOIN gone USING (doc_id, word) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN left_over USING (doc_id)
+""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring_dedup.duplicate_words(table(spark, sf, "documents").select("doc_id", "text"))
+    return substring_dedup.without_spans(found).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# -- 9 ------------------------------------------------------------------------------------------
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeat_dedup.duplicate_bytes(table(spark, sf, "documents").select("doc_id", "text"))
+    return repeat_dedup.without_spans(found).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# -- 2 ------------------------------------------------------------------------------------------
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op2_sampled_encoding")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return sampled_encoding.encode(docs, PIECES).drop("text")
+
+
+# -- 5 ------------------------------------------------------------------------------------------
+
+
+@query("op5_masked_lm_scoring")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs, lm_scoring.train(docs)).drop("text")
