@@ -22,7 +22,7 @@ from capsonde.llm import tokens as W
 from capsonde.llm.fm_index import FmIndex
 
 WINDOW = 13
-SHARD_BYTES = 16 << 20  # of document text in one index
+SHARD_BYTES = 2 << 20  # of document text in one index
 BLOCK_WORDS = 1 << 20  # of benchmark text searched in one pass: bounds what each task is sent
 SHARE = 20  # contaminated: at least one word in SHARE is hit
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +27,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-@lru_cache(maxsize=8)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, 2**bits + 1 of each."""
-    inverse = pow(BASE, -1, 1 << 64)
-    out = []
-    for base in (BASE, inverse):
-        p = np.ones((1 << bits) + 1, np.uint64)
-        p[1:] = np.uint64(base)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(16, int(n).bit_length()))
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64, more than n of each; the longest are kept."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        kept = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full((1 << max(16, int(n).bit_length())) + 1, base, np.uint64)
+            p[0] = 1
+            kept.append(np.multiply.accumulate(p, out=p))
+        _POWERS[:] = kept
+    return _POWERS
 
 
 def mix(h: np.ndarray) -> np.ndarray:
