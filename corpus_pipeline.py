@@ -34,9 +34,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are in no group. Of rows that repeat a doc_id and a text one stays.
     Rows with a null doc_id can't be told apart and stay, one for each text.
     """
-    groups = jaccard_join.similarity_components(docs)
+    groups = stored(jaccard_join.similarity_components(docs), "groups")
     gone = stored(groups.where("component_id < doc_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti")
+    # Texts are only compared where a doc_id, or none, stands in several rows.
+    often = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__often"))
+    often = stored(often, "repeated-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("__often"))
+    one = kept.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(often, same, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
