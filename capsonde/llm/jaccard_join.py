@@ -6,8 +6,8 @@ share, and keeps the others with their document frequencies. Overlaps of a pair
 every fragment separately and summed. Documents with equal sets form one class from the start.
 
 Candidates share one of their rarest n-grams (prefix filter, singles counted in). A list of classes
-around an n-gram is not turned into pairs: all are first compared with the one that has the fewest
-n-grams of its own, and afterwards only members of different components are paired.
+around an n-gram is not turned into pairs: all are first compared with the most typical one, whose
+n-grams are the most frequent, and afterwards only members of different components are paired.
 """
 
 from __future__ import annotations
@@ -173,21 +173,43 @@ def needed(n1: Column, n2: Column, percent: int) -> Column:
 
 
 def prefix_postings(shared: DataFrame, percent: int) -> DataFrame:
-    """(gram, class, n, m): each class's rarest n-grams; m counts the n-grams it shares at all."""
+    """(gram, class, n, m, place, typical): each class's rarest n-grams in the order of frequency.
+
+    m counts the n-grams it shares at all, place is the n-gram's in the order (singles come
+    first), typical is the mean frequency of the class's n-grams.
+    """
     whole = shared.groupBy("class").agg(
         F.first("n").alias("n"), F.sum(F.size("grams")).alias("m"),
+        F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("total"),
         F.flatten(F.collect_list(F.arrays_zip("counts", "grams"))).alias("g"),
     )
-    # The prefix has n - needed + 1 n-grams; the n - m singles come first in the order.
+    # The prefix has n - needed + 1 n-grams, of which n - m are singles.
     slots = F.col("m") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    rare = F.slice(F.sort_array("g"), 1, F.col("slots").cast("int"))
+    rare = F.slice(F.sort_array("g"), 1, F.col("slots").cast("int"))["grams"]
     return whole.withColumn("slots", slots).where("slots > 0").select(
-        F.explode(rare["grams"]).alias("gram"), "class", "n", "m")
+        "class", "n", "m", ((F.col("total") + F.col("n") - F.col("m")) / F.col("n")).alias("typical"),
+        F.posexplode(rare).alias("i", "gram"),
+    ).withColumn("place", F.col("n") - F.col("m") + F.col("i")).drop("i")
 
 
 def pairable(percent: int) -> Column:
+    """What two classes must fulfil where they meet first in the order of n-grams.
+
+    Their overlap is at most what either shares at all, and at most what is left of either from
+    there on; later meetings of the same two prove nothing, so they may fail.
+    """
+    need = F.ceil((F.col("n1") + F.col("n2")) * percent / F.lit(100 + percent))
+    return (
+        (F.least("m1", "m2") >= need) & (F.least("n1", "n2") >= need)
+        & (F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= need)
+    )
+
+
+def prefixes_allow(percent: int) -> Column:
+    """Overlap is at most that of the prefixes p1 and p2 and the longer rest."""
     need = F.ceil((F.col("n1") + F.col("n2")) * percent / F.lit(100 + percent))
-    return (F.least("m1", "m2") >= need) & (F.least("n1", "n2") >= need)
+    rest = F.greatest(F.ceil(F.col("n1") * percent / F.lit(100)), F.ceil(F.col("n2") * percent / F.lit(100))) - 1
+    return F.size(F.array_intersect("p1", "p2")) + rest >= need
 
 
 def overlaps(pairs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -206,16 +228,15 @@ def linked(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
 
 def side(postings: DataFrame, i: int, *more: str) -> DataFrame:
     name = "a" if i == 1 else "b"
-    return postings.select("gram", F.col("class").alias(name), F.col("n").alias(f"n{i}"), F.col("m").alias(f"m{i}"),
-                           *[F.col(c).alias(f"{c}{i}") for c in more])
+    return postings.select("gram", F.col("class").alias(name), *[F.col(c).alias(f"{c}{i}") for c in ("n", "m", "place", *more)])
 
 
 def link_classes(shared: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the classes which have a link."""
     postings = stored(prefix_postings(shared, percent), "postings")
     hubs = postings.groupBy("gram").agg(
-        F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "class", "n", "m")).alias("hub"), F.count("*").alias("k"),
-    ).where("k > 1").select("gram", "hub.class", "hub.n", "hub.m")
+        F.min(F.struct((-F.col("typical")).alias("t"), "class", "n", "m", "place")).alias("hub"), F.count("*").alias("k"),
+    ).where("k > 1").select("gram", "hub.class", "hub.n", "hub.m", "hub.place")
     stars = side(hubs, 1).join(side(postings, 2), "gram").where(F.col("a") != F.col("b")).where(pairable(percent))
     stars = stored(stars.select("a", "b", "n1", "n2").distinct(), "star-pairs")
     links = stored(linked(stars, shared, percent), "links")
@@ -223,9 +244,11 @@ def link_classes(shared: DataFrame, percent: int) -> DataFrame:
     labelled = postings.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn(
         "root", F.coalesce("root", "class"))
     mixed = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    open_ = stored(labelled.join(mixed, "gram", "left_semi"), "open-postings")
-    cross = side(open_, 1, "root").join(side(open_, 2, "root"), "gram").where(
-        (F.col("a") < F.col("b")) & (F.col("root1") != F.col("root2"))).where(pairable(percent))
+    open_ = labelled.join(mixed, "gram", "left_semi")
+    prefix = postings.groupBy("class").agg(F.collect_list("gram").alias("p"))
+    open_ = stored(open_.join(prefix, "class"), "open-postings")
+    cross = side(open_, 1, "root", "p").join(side(open_, 2, "root", "p"), "gram").where(
+        (F.col("a") < F.col("b")) & (F.col("root1") != F.col("root2"))).where(pairable(percent) & prefixes_allow(percent))
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = stored(cross.select("a", "b", "n1", "n2").distinct().join(done, ["a", "b"], "left_anti"), "cross-pairs")
     more = stored(linked(cross, shared, percent), "links")
