@@ -27,6 +27,7 @@ SHINGLE = 5
 PERCENT = 80
 UNIT = 2 << 20  # n-grams that a task holds before it sends them off
 FRAGMENT = 3 << 19  # n-grams in one fragment, about
+PIECES = 8  # parts that a pair's overlap is counted in
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,10 +214,17 @@ def prefixes_allow(percent: int) -> Column:
 
 
 def overlaps(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with `overlap`: counted in every fragment apart, then summed."""
-    left = shared.select(F.col("class").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = shared.select(F.col("class").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select(
+    """pairs (a, b, ...) with `overlap`: counted in every piece apart, then summed.
+
+    A piece is a PIECES-th of the fragments, so that a pair has as many rows at any input size.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    pieces = stored(
+        shared.join(wanted, "class", "left_semi").groupBy("class", (F.col("fragment") % PIECES).alias("piece"))
+        .agg(F.flatten(F.collect_list("grams")).alias("grams")), "pieces")
+    left = pieces.select(F.col("class").alias("a"), "piece", F.col("grams").alias("ga"))
+    right = pieces.select(F.col("class").alias("b"), "piece", F.col("grams").alias("gb"))
+    partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "piece"]).select(
         "a", "b", F.size(F.array_intersect("ga", "gb")).alias("part"))
     return pairs.join(partial.groupBy("a", "b").agg(F.sum("part").alias("overlap")), ["a", "b"])
 

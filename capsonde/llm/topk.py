@@ -2,10 +2,11 @@
 
 Vectors are grouped by length into buckets, longest first, and packed into blocks. Every query
 first meets the blocks of the longest bucket, which gives it a k-th best score so far. That score
-over (query length x a bucket's longest vector) is the cosine which a vector there must exceed:
+over (query length x a bucket's longest vector) is the cosine which a vector there must reach:
 above one, the bucket is left out; a high one lets few coordinates decide (coordinate pruning by
 Cauchy-Schwarz on the rest), a low one only the vectors' lengths. What remains is multiplied out.
-Bounds never drop a vector which could still tie with the k-th score.
+A task goes on with a block of queries through its buckets, and the scores rise as it goes. Bounds
+never drop a vector which could still tie with the k-th score.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048  # vectors in one block
+QUERY_BLOCK = 256
 LEVELS = 8  # buckets in a halving of the length
 FOCUS = 8  # coordinates looked at first
 LOCAL_COSINE = 0.5  # from here on coordinates prune better than lengths
@@ -57,7 +59,7 @@ def pack(vectors: DataFrame, parts: int) -> DataFrame:
             number += 1
             return pa.RecordBatch.from_pylist([{
                 "dim": key[0], "bucket": key[1], "block": int(ids.min()), "n": len(ids), "longest": float(lengths.max()),
-                "ids": ids.tobytes(), "data": data.tobytes(),
+                "ids": ids.tobytes(), "data": packed(data),
             }], schema)
 
         for batch in batches:
@@ -84,54 +86,97 @@ def pack(vectors: DataFrame, parts: int) -> DataFrame:
     return vectors.select("vid", "v", "dim", "length", "bucket").coalesce(parts).mapInArrow(run, PACKED)
 
 
-def block_scores(
-    qids: np.ndarray, q: np.ndarray, theta: np.ndarray, vids: np.ndarray, v: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one block for each query, of those scores which are at least theta."""
-    q_length, v_length = np.sqrt((q.astype(np.float64) ** 2).sum(1)), np.sqrt((v.astype(np.float64) ** 2).sum(1))
-    safe = q_length.max(initial=0) * v_length.max(initial=0) < EXACT / 4
-    kind = np.float64 if safe else np.int64
-    qf, vf = q.astype(kind), v.astype(kind)
-    slack = 1.0 + 1e-9
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cosine = theta / (q_length * v_length.max(initial=0))
-    out: list = [[], [], []]
-    for i in np.flatnonzero(~(cosine > slack)):
-        t = theta[i]
-        bound = q_length[i] * v_length
-        if cosine[i] >= LOCAL_COSINE:
-            first = np.argsort(-np.abs(qf[i]), kind="stable")[:FOCUS]
-            part = (vf[:, first] @ qf[i, first]).astype(np.float64)
-            q_rest = np.sqrt(max(0.0, q_length[i] ** 2 - float((q[i, first].astype(np.float64) ** 2).sum())))
-            v_rest = np.sqrt(np.maximum(0.0, v_length**2 - (v[:, first].astype(np.float64) ** 2).sum(1)))
-            bound = np.minimum(bound, part + q_rest * v_rest + 1e-6 * (1.0 + np.abs(part)))
-        left = np.flatnonzero((bound * slack + 1e-6 >= t) & (vids != qids[i]))
-        scores = (vf[left] @ qf[i]).astype(np.int64)
-        left, scores = left[scores >= t], scores[scores >= t]
-        best = np.lexsort((vids[left], -scores))[:k]
-        out[0].append(np.full(len(best), qids[i]))
-        out[1].append(vids[left[best]])
-        out[2].append(scores[best])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+class Running:
+    """The k best so far of a block of queries, and the score that each must reach."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, theta: np.ndarray, k: int):
+        self.ids, self.q, self.theta, self.k = ids, q, theta.copy(), k
+        self.length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+        self.rows, self.found, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+
+    def meet(self, vids: np.ndarray, v: np.ndarray) -> None:
+        length = np.sqrt((v.astype(np.float64) ** 2).sum(1))
+        order = np.argsort(-length, kind="stable")
+        vids, v, length = vids[order], v[order], length[order]
+        safe = self.length.max(initial=0) * length.max(initial=0) < EXACT / 4
+        kind = np.float64 if safe else np.int64
+        q, v = self.q.astype(kind), v.astype(kind)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(self.theta > 0, self.theta / self.length, -np.inf) * (1 - 1e-9)
+        cosine = need / length.max(initial=0) if len(length) and length[0] else np.full(len(need), -np.inf)
+        hits: list = []
+        for i in np.flatnonzero((cosine <= 1) & (cosine >= LOCAL_COSINE)):
+            left = self.by_coordinates(q[i], self.length[i], v, length, self.theta[i])
+            hits.append((np.full(len(left), i), left, (v[left] @ q[i]).astype(np.int64)))
+        low = np.flatnonzero(cosine < LOCAL_COSINE)
+        if len(low):
+            # Lengths fall along the block: what is too short for every query is its end.
+            reach = int(np.searchsorted(-length, -need[low].min(), "right"))
+            scores = q[low] @ v[:reach].T
+            row, left = np.nonzero(scores >= self.theta[low][:, None])
+            hits.append((low[row], left, scores[row, left].astype(np.int64)))
+        if hits:
+            rows, left, scores = (np.concatenate(x) for x in zip(*hits, strict=True))
+            kept = (scores >= self.theta[rows]) & (vids[left] != self.ids[rows])
+            self.merge(rows[kept], vids[left][kept], scores[kept])
+
+    @staticmethod
+    def by_coordinates(q: np.ndarray, q_length: float, v: np.ndarray, length: np.ndarray, theta: float) -> np.ndarray:
+        """Vectors whose product can reach theta, by the query's largest coordinates and the rest's lengths."""
+        first = np.argsort(-np.abs(q), kind="stable")[:FOCUS]
+        part = (v[:, first] @ q[first]).astype(np.float64)
+        q_rest = np.sqrt(max(0.0, q_length**2 - float((q[first].astype(np.float64) ** 2).sum())))
+        v_rest = np.sqrt(np.maximum(0.0, length**2 - (v[:, first].astype(np.float64) ** 2).sum(1)))
+        bound = np.minimum(q_length * length, part + q_rest * v_rest)
+        return np.flatnonzero(bound + 1e-6 * (1.0 + np.abs(part) + q_rest * v_rest) >= theta)
+
+    def merge(self, rows: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+        rows, found, scores = (np.concatenate(x) for x in ((self.rows, rows), (self.found, found), (self.scores, scores)))
+        order = np.lexsort((found, -scores, rows))
+        rows, found, scores = rows[order], found[order], scores[order]
+        first = np.searchsorted(rows, np.arange(len(self.ids)))
+        kept = np.arange(len(rows)) - first[rows] < self.k
+        self.rows, self.found, self.scores = rows[kept], found[kept], scores[kept]
+        last = np.searchsorted(self.rows, np.arange(len(self.ids)), "right") - 1
+        full = np.bincount(self.rows, minlength=len(self.ids)) >= self.k
+        self.theta[full] = np.maximum(self.theta[full], self.scores[last[full]])
 
 
 def score_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """Blocks of queries beside blocks of vectors: (query_id, vec_id, score) of each block's best."""
+    """Blocks of queries, each beside its blocks of vectors, longest first: (query_id, vec_id, score)."""
+
+    def done(state: Running) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(state.ids[state.rows]), pa.array(state.found), pa.array(state.scores)], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch[c][r].as_py() for c in ("dim", "ids", "data", "q_ids", "q_data", "q_theta")}
-                found = block_scores(
-                    np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_data"], np.int64).reshape(-1, row["dim"]),
-                    np.frombuffer(row["q_theta"], np.float64),
-                    np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.int64).reshape(-1, row["dim"]), k,
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+                row = {c: batch[c][r].as_py() for c in ("dim", "ids", "data", "q_ids")}
+                if row["q_ids"] != current:
+                    if state:
+                        yield done(state)
+                    current = row["q_ids"]
+                    state = Running(np.frombuffer(current, np.int64), unpacked(batch["q_data"][r].as_py(), row["dim"], len(current) // 8),
+                                    np.frombuffer(batch["q_theta"][r].as_py(), np.float64), k)
+                state.meet(np.frombuffer(row["ids"], np.int64), unpacked(row["data"], row["dim"], len(row["ids"]) // 8))
+        if state:
+            yield done(state)
 
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """Integer vectors in the narrowest of 16, 32 and 64 bits that holds them."""
+    top = max(int(rows.max(initial=0)), -int(rows.min(initial=0)) - 1)
+    return rows.astype(np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64).tobytes()
+
+
+def unpacked(data: bytes, dim: int, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{len(data) // (dim * n)}").reshape(n, dim).astype(np.int64)
+
+
 def best(scores: DataFrame, k: int) -> DataFrame:
     """The k highest scores of each query, ties to the smaller vec_id; equal rows count once each."""
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
@@ -155,12 +200,12 @@ def pack_queries(queries: DataFrame, parts: int) -> DataFrame:
             flat, offsets = batch["v"].flatten().to_numpy(), batch["v"].offsets.to_numpy()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                for i in range(0, len(at), BLOCK):
-                    part = at[i : i + BLOCK]
+                for i in range(0, len(at), QUERY_BLOCK):
+                    part = at[i : i + QUERY_BLOCK]
                     rows = flat[(offsets[part] - offsets[0])[:, None] + np.arange(dim)]
                     theta = batch["theta"].to_numpy()[part]
                     yield pa.RecordBatch.from_pylist([{
-                        "q_dim": int(dim), "q_ids": batch["vid"].to_numpy()[part].tobytes(), "q_data": rows.tobytes(),
+                        "q_dim": int(dim), "q_ids": batch["vid"].to_numpy()[part].tobytes(), "q_data": packed(rows),
                         "q_theta": theta.tobytes(), "q_reach": reach(rows, theta),
                     }], schema)
 
@@ -210,6 +255,7 @@ def top_k(
 
 
 def meet(blocks: DataFrame, queries: DataFrame, parts: int) -> DataFrame:
-    """Every block of queries beside the blocks that its thresholds leave open, spread evenly."""
+    """Every block of queries with the vector blocks that its thresholds leave open, longest first."""
     on = (F.col("dim") == F.col("q_dim")) & (F.col("longest") >= F.col("q_reach"))
-    return blocks.join(queries, on).repartition(parts, "block", F.xxhash64("q_ids"))
+    joined = blocks.join(queries, on).withColumn("q_block", F.xxhash64("q_dim", "q_ids"))
+    return joined.repartition(parts, "q_block").sortWithinPartitions("q_block", F.desc("bucket"), "block")
