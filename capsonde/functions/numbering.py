@@ -19,10 +19,17 @@ def hash_bucket(hash_hex: Column, digits: int = 3) -> Column:
 
 
 def value_bucket(x: Column) -> Column:
-    """Order-preserving bucket of a double: 64 steps per power of two, on either side of 0."""
+    """Order-preserving bucket of a double: 64 steps per power of two, on either side of 0.
+
+    Infinities have the outermost buckets; NaN and null have none.
+    """
     octave = F.floor(F.log2(F.abs(x)) * STEPS_PER_OCTAVE)
     step = octave + F.lit(1100 * STEPS_PER_OCTAVE)
-    return F.when(x == 0, F.lit(0)).otherwise(F.when(x > 0, step).otherwise(-step)).cast("int")
+    far = F.lit(2200 * STEPS_PER_OCTAVE)
+    return (
+        F.when(F.isnan(x), None).when(x == 0, F.lit(0)).when(x == float("inf"), far)
+        .when(x == float("-inf"), -far).when(x > 0, step).otherwise(-step).cast("int")
+    )
 
 
 def position_bucket(pos: Column, width: int = 1 << 18) -> Column:
@@ -60,15 +67,25 @@ def shard_of(df: DataFrame, pos: str, n_shards: int, name: str = "shard") -> Dat
     )
 
 
+def ranked(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value has a place in the order: neither NaN nor null."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
+def positions(df: DataFrame, order: list[Column], bucket: Column, name: str = "position") -> DataFrame:
+    """Every row's one-based place in the whole table's order."""
+    return row_number_by(df.withColumn("_all", F.lit(0)), ["_all"], order, bucket, name).drop("_all")
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
     """One row per distinct value of a group with its tie count and mean rank.
 
     Ties collapse in the map-side aggregate first, so a value held by a third of all rows
     is one row by the time it is sorted. `value` must be stored, not recomputed: the bucket
-    totals are joined back on it.
+    totals are joined back on it. Infinities rank outermost; NaN and null are left out.
     """
     ties = (
-        df.withColumn("_b", value_bucket(F.col(value).cast("double")))
+        ranked(df, value).withColumn("_b", value_bucket(F.col(value).cast("double")))
         .groupBy(*keys, "_b", value)
         .agg(F.count(F.lit(1)).alias("n_ties"))
     )

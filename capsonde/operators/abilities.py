@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capsonde.functions.numbering import positions
 from capsonde.functions.text import norm_name, or_else, title_of
 
 # How many of the commonest values each field keeps; None keeps them all.
@@ -159,6 +160,15 @@ def build_final(
         listed("contrast_pair_feasibility", "contrast_pair_feasibility"),
         listed("behavioral_scorer_feasibility", "behavioral_scorer_feasibility"),
     )
-    return merged.join(source_counts(members), "ability_name").orderBy(
-        "representation_family", F.col("source_cluster_count").desc(), "display_name"
-    )
+    return merged.join(source_counts(members), "ability_name").orderBy(*final_order())
+
+
+def final_order() -> list[Column]:
+    """G1: family, then the most source clusters, then name."""
+    return [F.col("representation_family"), F.col("source_cluster_count").desc(), F.col("display_name")]
+
+
+def numbered_final(final: DataFrame) -> DataFrame:
+    """Final abilities with their `position` in that order; names settle ties."""
+    family = F.coalesce("representation_family", F.lit(""))
+    return positions(final, [*final_order(), F.col("ability_name")], family)

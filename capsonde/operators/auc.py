@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsonde.functions.numbering import value_bucket
+from capsonde.functions.numbering import ranked, value_bucket
 
 
 def count_wins(
@@ -23,13 +23,14 @@ def count_wins(
 ) -> DataFrame:
     """Rows (keys[, part], wins, n_pos, n_neg); negatives are shared by all parts of a group.
 
-    A part appears when it has a positive; a group without negatives reports n_neg 0.
+    A part appears when it has a positive; a group without negatives reports n_neg 0. Rows whose
+    score is NaN or null count on neither side; infinite scores rank outermost.
     """
     parts = [part] if part else []
     is_pos = F.col(positive)
     part_of = [F.when(is_pos, F.col(p)).alias(p) for p in parts]
     ties = (
-        scored.select(*keys, *part_of, F.col(score).cast("double").alias("_s"), is_pos.alias("_y"))
+        ranked(scored, score).select(*keys, *part_of, F.col(score).cast("double").alias("_s"), is_pos.alias("_y"))
         .withColumn("_b", value_bucket(F.col("_s")))
         .groupBy(*keys, "_b", "_s", *parts)
         .agg(F.count_if("_y").alias("_p"), F.count_if(~F.col("_y")).alias("_q"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capsonde.functions.numbering import positions
 from capsonde.functions.text import file_name, query_variants
 from capsonde.session import broadcast_if_small, materialize
 
@@ -37,10 +38,20 @@ def benchmark_targets(selection: DataFrame, mentions: DataFrame) -> DataFrame:
             F.get("_c", F.lit(0))["pos"].alias("first_pos"),
             F.get("_c", F.lit(0))["rank"].alias("first_rank"),
         )
-        .orderBy(F.col("mentions").desc(), "first_pos", "first_rank")
+        .orderBy(*target_order())
     )
 
 
+def target_order() -> list[Column]:
+    """Most mentions first, then the order of clusters and of benchmarks in them."""
+    return [F.col("mentions").desc(), F.col("first_pos"), F.col("first_rank")]
+
+
+def numbered_targets(targets: DataFrame) -> DataFrame:
+    """Targets with their `position` in that order."""
+    return positions(targets, target_order(), -F.col("mentions"))
+
+
 def benchmark_titles(kept: DataFrame, mentions: DataFrame) -> DataFrame:
     """The first few distinct paper titles per benchmark, sorted."""
     title = F.substring(F.coalesce("paper_title", F.lit("")), 1, TITLE_CHARS)

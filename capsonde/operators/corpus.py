@@ -46,6 +46,11 @@ def dataset_clusters(experiment: DataFrame) -> DataFrame:
     )
 
 
+def tagged_rows(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Rows of the datasets that some capability is mapped to."""
+    return rows.join(broadcast_if_small(clusters.select("dataset_id"), 256), "dataset_id", "left_semi")
+
+
 def cap_rows(rows: DataFrame, most: int = MAX_ROWS) -> DataFrame:
     """The first rows of each dataset in source order."""
     order = Window.partitionBy("dataset_id").orderBy("row_idx")
@@ -201,7 +206,7 @@ def build_probe_texts(
 ) -> Corpus:
     """Rows (dataset_id, row_idx, row_json) and dataset tags to tagged, deduplicated texts."""
     clusters = materialize(clusters)
-    rows = rows.join(broadcast_if_small(clusters.select("dataset_id"), 256), "dataset_id", "left_semi")
+    rows = tagged_rows(rows, clusters)
     roles = materialize(
         field_roles(with_fields(first_rows(rows))).withColumn("sec", F.lit(None).cast("string"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from capsonde.functions.arrow import matrix_of
 from capsonde.functions.text import label_words
 from capsonde.operators import selection as X
-from capsonde.session import materialize
+from capsonde.session import BROADCAST_LIMIT, materialize
 
 LAYER = ["tag", "layer"]
 CARRIED = ["dataset_id", "clusters", "neg_train", "neg_test"]
@@ -84,7 +84,7 @@ def require_coverage(names: DataFrame, candidates: DataFrame) -> None:
 
 @dataclass(frozen=True)
 class Lens:
-    """Readout of a model: one transport matrix per layer, final norm and token rows."""
+    """Readout of one model: one transport matrix per layer, final norm and token rows."""
 
     jacobians: dict[int, np.ndarray]
     unembed: np.ndarray
@@ -94,9 +94,9 @@ class Lens:
     softcap: float | None = None
     zero_centered: bool = False
 
-    def plain(self) -> tuple:
+    def plain(self, layer: int) -> tuple:
         gain = 1.0 + self.norm_weight if self.zero_centered else self.norm_weight
-        return self.jacobians, self.unembed, gain, self.eps, self.softcap
+        return self.jacobians[layer], self.unembed, gain, self.eps, self.softcap
 
 
 def _logits(h, jacobian, unembed, gain, eps, softcap) -> np.ndarray:
@@ -107,68 +107,89 @@ def _logits(h, jacobian, unembed, gain, eps, softcap) -> np.ndarray:
 
 
 def token_scores(
-    rows: DataFrame, lens: Lens, candidates: DataFrame | None = None
+    rows: DataFrame, lenses: dict[str, Lens], candidates: DataFrame | None = None,
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """F16: lens score of tokens as parallel arrays `features`, `values` beside each row.
 
+    `lenses` is keyed by tag; rows of other models, and of layers that a lens lacks, drop out.
+    Every (tag, layer) is a pass over its own rows with that layer's matrix, whose size is checked.
     With `candidates` (cluster_id, token_id) a row only carries the tokens of capabilities
     it has a role in. The lens and the candidate lists are model parameters and taxonomy.
     """
-    spark = rows.sparkSession
     kept = [c for c in rows.columns if c != "h"]
     schema = rows.select(*kept).schema.add("features", T.ArrayType(T.IntegerType())).add(
         "values", T.ArrayType(T.DoubleType())
     )
-    column = {t: i for i, t in enumerate(lens.token_ids)}
-    wanted = None
+    lists: list[tuple[str, int]] | None = None
     if candidates is not None:
+        lists = [tuple(r) for r in candidates.select("cluster_id", "token_id").toLocalIterator()]
+    out = None
+    for tag, lens in sorted(lenses.items()):
+        for layer in sorted(lens.jacobians):
+            own = rows.filter((F.col("tag") == tag) & (F.col("layer") == layer))
+            part = own.mapInArrow(_reader(own, lens, layer, lists, kept, limit), schema)
+            out = part if out is None else out.unionByName(part)
+    return rows.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _reader(rows: DataFrame, lens: Lens, layer: int, lists, kept: list[str], limit: int):
+    wanted = None
+    if lists is not None:
+        column = {t: i for i, t in enumerate(lens.token_ids)}
         wanted = {}
-        for r in candidates.select("cluster_id", "token_id").toLocalIterator():
-            wanted.setdefault(r["cluster_id"], []).append(column[r["token_id"]])
-    shared = spark.sparkContext.broadcast((*lens.plain(), np.asarray(lens.token_ids), wanted))
+        for cluster, token in lists:
+            if token in column:
+                wanted.setdefault(cluster, []).append(column[token])
+    jacobian, unembed, *rest = lens.plain(layer)
+    if jacobian.nbytes + unembed.nbytes > limit:
+        raise ValueError(f"layer {layer}: weights take {jacobian.nbytes + unembed.nbytes} bytes, over the limit of {limit}")
+    shared = rows.sparkSession.sparkContext.broadcast((jacobian, unembed, *rest, np.asarray(lens.token_ids), wanted))
     roles = ["clusters", "neg_train", "neg_test"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        jacobians, unembed, gain, eps, softcap, ids, wanted = shared.value
+        jacobian, unembed, gain, eps, softcap, ids, wanted = shared.value
         everything = np.arange(len(ids))
         for batch in batches:
-            layers = batch["layer"].to_numpy()
-            for layer in np.unique(layers):
-                part = batch.filter(pa.array(layers == layer))
-                logits = _logits(matrix_of(part["h"]), jacobians[int(layer)], unembed, gain, eps, softcap)
-                if wanted is None:
-                    picks = [everything] * len(part)
-                else:
-                    lists = zip(*(part[r].to_pylist() for r in roles))
-                    picks = [
-                        np.unique([t for clusters in row for c in clusters for t in wanted.get(c, ())]).astype(int)
-                        for row in lists
-                    ]
-                row = np.repeat(np.arange(len(part)), [len(p) for p in picks])
-                token = np.concatenate(picks) if len(part) else everything[:0]
-                offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part[c] for c in kept]
-                    + [
-                        pa.ListArray.from_arrays(offsets, pa.array(ids[token], pa.int32())),
-                        pa.ListArray.from_arrays(offsets, pa.array(logits[row, token])),
-                    ],
-                    names=[*kept, "features", "values"],
-                )
-
-    readable = rows.filter(F.col("layer").isin(list(lens.jacobians)))
-    return readable.mapInArrow(run, schema)
+            if not batch.num_rows:
+                continue
+            logits = _logits(matrix_of(batch["h"]), jacobian, unembed, gain, eps, softcap)
+            if wanted is None:
+                picks = [everything] * len(batch)
+            else:
+                picks = [
+                    np.unique([t for clusters in row for c in clusters for t in wanted.get(c, ())]).astype(int)
+                    for row in zip(*(batch[r].to_pylist() for r in roles))
+                ]
+            row = np.repeat(np.arange(len(batch)), [len(p) for p in picks])
+            token = np.concatenate(picks)
+            offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch[c] for c in kept]
+                + [
+                    pa.ListArray.from_arrays(offsets, pa.array(ids[token], pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(logits[row, token])),
+                ],
+                names=[*kept, "features", "values"],
+            )
+
+    return run
 
 
 def lens_lobo(
-    rows: DataFrame, lens: Lens, candidates: DataFrame, fold_table: DataFrame, split: DataFrame
+    rows: DataFrame, lenses: dict[str, Lens], candidates: DataFrame, fold_table: DataFrame, split: DataFrame
 ) -> DataFrame:
     """F17/F18 per fold: the capability's best training token and its held-out AUC.
 
-    `candidates` (cluster_id, token_id, order). Layers share one split (`split`).
+    `candidates` (cluster_id, token_id, order). Layers share one split (`split`). A capability
+    with folds but without candidates is an error (D17).
     """
+    require_coverage(
+        fold_table.select(F.col("cluster_id").alias("name")).distinct(),
+        candidates.select(F.col("cluster_id").alias("name")),
+    )
     read = rows.select(*LAYER, "uid", *CARRIED, "h")
-    scores = X.role_scores(materialize(token_scores(read, lens, candidates)))
+    scores = X.role_scores(materialize(token_scores(read, lenses, candidates)))
     own = candidates.select("cluster_id", F.col("token_id").alias("feature"), "order")
     scores = scores.join(own.drop("order"), ["cluster_id", "feature"])
     aucs = X.train_aucs(scores, fold_table, split).join(own, ["cluster_id", "feature"])

@@ -1,28 +1,26 @@
-"""PCA, logistic and diff-mean directions under one leave-one-dataset-out protocol.
+"""PCA and logistic directions under the leave-one-dataset-out protocol of F6.
 
-A capability's folds share its positives and its sampled negatives, so they are fitted
-together from one group of rows. Group sizes are known from the text table beforehand: those
-under a limit are fitted by numpy inside a task, larger ones fold by fold with Spark ML, whose
-fits are distributed over rows. No group above the limit is ever collected.
+Every fold (model, layer, capability, held-out dataset) is a group of its own: its training rows,
+at most `fit_rows` of them by hash order, are fitted in one task, and the directions come out.
+Held-out rows never enter a group; they are projected by a join and ranked like any other scores.
+Diff-mean is F6's own direction, which needs no rows at all beyond the moments.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsonde.functions import vectors as V
 from capsonde.functions.arrow import matrix_of
+from capsonde.operators import lobo as L
 from capsonde.operators.auc import rank_sum_auc
 from capsonde.session import materialize
 
 LAYER = ["tag", "layer"]
-CELL = "tag string, layer int, cluster_id string, hold string, method string, auc double"
+FOLD = [*LAYER, "cluster_id", "hold"]
 METHODS = ("diffmean", "pca", "lr")
 
 # Fixed values of the protocol.
@@ -30,39 +28,52 @@ PCA_K = 10
 LR_C = 0.1
 LR_MAX_ITER = 300
 
-GROUP_LIMIT = 512 << 20
+FIT_ROWS = 20_000  # labelled rows of one fit, at most
 
 
-def auc_np(pos: np.ndarray, neg: np.ndarray) -> float:
-    neg = np.sort(neg)
-    wins = np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")
-    return float(wins.sum() / (2.0 * len(pos) * len(neg)))
+def column_aucs(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """AUC of every column at once, from mean ranks."""
+    n = len(scores)
+    order = scores.argsort(axis=0, kind="stable")
+    ordered = np.take_along_axis(scores, order, axis=0)
+    at = np.arange(n)[:, None]
+    new = np.vstack([np.ones((1, scores.shape[1]), bool), ordered[1:] != ordered[:-1]])
+    last = np.vstack([new[1:], np.ones((1, scores.shape[1]), bool)])
+    first_tie = np.maximum.accumulate(np.where(new, at, 0), axis=0)
+    last_tie = np.minimum.accumulate(np.where(last, at, n)[::-1], axis=0)[::-1]
+    ranks = np.empty(scores.shape)
+    np.put_along_axis(ranks, order, (first_tie + last_tie) / 2 + 1, axis=0)
+    n_pos = int(y.sum())
+    return (ranks[y].sum(axis=0) - n_pos * (n_pos + 1) / 2) / (n_pos * (n - n_pos))
 
 
-def pca_direction(x: np.ndarray, y: np.ndarray, k: int = PCA_K) -> np.ndarray | None:
-    """Of the first components the one with the best training AUC, turned to the positives."""
+def pca_fit(x: np.ndarray, y: np.ndarray, k: int = PCA_K) -> tuple[np.ndarray, float] | None:
+    """The leading component which separates the training rows best, turned to the positives.
+
+    Beside it the residual of its eigenvalue equation, relative to the largest eigenvalue.
+    """
     k = min(k, len(x) - 1, x.shape[1])
-    if k < 1:
+    if k < 1 or y.all() or not y.any():
         return None
-    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-    best, top = None, -1.0
-    for axis in axes[:k]:
-        v = axis / (np.linalg.norm(axis) + 1e-8)
-        s = x @ v
-        a = auc_np(s[y], s[~y])
-        v, a = (v, a) if a >= 0.5 else (-v, 1.0 - a)
-        if a > top:
-            best, top = v, a
-    return best
-
-
-def logistic_direction(
+    centred = x - x.mean(axis=0)
+    size, axes = np.linalg.svd(centred, full_matrices=False)[1:]
+    aucs = column_aucs(x @ axes[:k].T, y)
+    best = int(np.maximum(aucs, 1 - aucs).argmax())
+    axis = axes[best]
+    residual = np.abs(centred.T @ (centred @ axis) - size[best] ** 2 * axis).max() / max(size[0] ** 2, 1e-300)
+    return (axis if aucs[best] >= 0.5 else -axis), float(residual)
+
+
+def logistic_fit(
     x: np.ndarray, y: np.ndarray, c: float = LR_C, max_iter: int = LR_MAX_ITER, tol: float = 1e-10
-) -> np.ndarray:
-    """Weights of an L2-penalised logistic fit with a free intercept, by Newton steps.
+) -> tuple[np.ndarray, float] | None:
+    """Weights of an L2-penalised logistic fit with a free intercept, by Newton steps, and the
+    largest entry of the gradient where they end.
 
     The optimum lies in the span of the rows, so wide data are first rotated into it.
     """
+    if y.all() or not y.any():
+        return None
     basis = None
     if x.shape[1] > len(x):
         basis, r = np.linalg.qr(x.T)
@@ -74,11 +85,14 @@ def logistic_direction(
     def loss(w):
         return 0.5 * (ridge * w) @ w + c * np.logaddexp(0.0, -side * (z @ w)).sum()
 
+    def slope(w):
+        p = 0.5 * (1.0 + np.tanh(0.5 * (z @ w)))
+        return p, ridge * w + c * z.T @ (p - y)
+
     w = np.zeros(z.shape[1])
     now = loss(w)
     for _ in range(max_iter):
-        p = 0.5 * (1.0 + np.tanh(0.5 * (z @ w)))
-        gradient = ridge * w + c * z.T @ (p - y)
+        p, gradient = slope(w)
         if np.abs(gradient).max() < tol:
             break
         curve = (z * (c * p * (1.0 - p) + 1e-12)[:, None]).T @ z + np.diag(ridge)
@@ -88,19 +102,15 @@ def logistic_direction(
         w, now = w - size * step, min(trial, now)
         if size <= 1e-8:
             break
-    return basis @ w[:-1] if basis is not None else w[:-1]
-
+    gap = float(np.abs(slope(w)[1]).max())
+    return (basis @ w[:-1] if basis is not None else w[:-1]), gap
 
-def diff_mean_direction(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    gap = x[y].mean(axis=0) - x[~y].mean(axis=0)
-    return gap / (np.linalg.norm(gap) + 1e-8)
 
+FITS = {"pca": pca_fit, "lr": logistic_fit}
 
-FITS = {"diffmean": diff_mean_direction, "pca": pca_direction, "lr": logistic_direction}
 
-
-def protocol_rows(rows: DataFrame) -> DataFrame:
-    """One row per (capability, role): members as `pos`, sampled negatives as `train`, `test`."""
+def protocol_rows(rows: DataFrame, scaling: DataFrame) -> DataFrame:
+    """Standardised rows, one per (capability, role): members as `pos`, negatives as `train`, `test`."""
     def entries(role: str, column: str):
         return F.transform(
             column, lambda c: F.struct(c.alias("cluster_id"), F.lit(role).alias("role"))
@@ -109,157 +119,92 @@ def protocol_rows(rows: DataFrame) -> DataFrame:
     roles = F.concat(
         entries("pos", "clusters"), entries("train", "neg_train"), entries("test", "neg_test")
     )
-    return rows.select(*LAYER, "dataset_id", "h", F.inline(roles))
-
-
-def group_sizes(fold_table: DataFrame, split: DataFrame) -> DataFrame:
-    """Rows of each capability with folds: its positives and its sampled negatives."""
-    pos = fold_table.groupBy("cluster_id").agg(
-        F.max(F.col("n_train") + F.col("n_test")).alias("n_pos"),
-        F.sort_array(F.collect_list("hold")).alias("holds"),
+    z = V.divide(V.subtract(F.col("h"), F.col("mu")), F.col("sd")).alias("z")
+    scaled = rows.join(scaling.select(*LAYER, "mu", "sd"), LAYER).select(
+        *LAYER, "uid", "dataset_id", z, "clusters", "neg_train", "neg_test")
+    return scaled.select(*LAYER, "uid", "dataset_id", "z", F.inline(roles))
+
+
+def fold_rows(rows: DataFrame, fold_table: DataFrame) -> DataFrame:
+    """Every row of every fold: `fit` marks training rows, `positive` members."""
+    joined = rows.join(fold_table.select("cluster_id", "hold"), "cluster_id")
+    held = (F.col("role") == "pos") & (F.col("dataset_id") == F.col("hold"))
+    return joined.select(
+        *FOLD, "uid", "z", (F.col("role") == "pos").alias("positive"),
+        (~held & (F.col("role") != "test")).alias("fit"),
     )
-    neg = split.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n_neg"),
-        F.count_if(F.col("part") == "train").alias("n_neg_train"),
-        F.count_if(F.col("part") == "test").alias("n_neg_test"),
-    )
-    return pos.join(neg.filter("n_neg_train > 0 AND n_neg_test > 0"), "cluster_id")
-
 
-def lobo_methods(
-    rows: DataFrame,
-    scaling: DataFrame,
-    fold_table: DataFrame,
-    split: DataFrame,
-    methods: tuple[str, ...] = METHODS,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """F19 per fold: (tag, layer, cluster_id, hold, method, auc), same rows for all methods."""
-    width = rows.agg(F.max(F.size("h")).alias("d")).first()["d"] or 1
-    sizes = materialize(
-        group_sizes(fold_table, split).withColumn(
-            "bytes", (F.col("n_pos") + F.col("n_neg")) * F.lit(8 * width)
-        )
-    )
-    fits = sizes.filter(F.col("bytes") <= limit).select("cluster_id", "holds")
-    held = {r["cluster_id"]: list(r["holds"]) for r in fits.toLocalIterator()}
-    out = _fit_in_tasks(rows, scaling, held, methods)
-    for r in sizes.filter(F.col("bytes") > limit).select("cluster_id", "holds").collect():
-        for hold in r["holds"]:
-            out = out.unionByName(
-                _fit_distributed(rows, scaling, r["cluster_id"], hold, methods)
-            )
-    return out
 
+def fit_directions(training: DataFrame, methods: tuple[str, ...], fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(fold, method, v, n_fit, residual); a fold without both labels has no direction.
 
-def _fit_in_tasks(rows, scaling, held: dict[str, list[str]], methods) -> DataFrame:
-    spark = rows.sparkSession
-    scales = {
-        (r["tag"], r["layer"]): (np.array(r["mu"]), np.array(r["sd"]))
-        for r in scaling.select(*LAYER, "mu", "sd").toLocalIterator()
-    }
-    shared = spark.sparkContext.broadcast((scales, held))
+    `residual` is how far v is from solving its method's equations.
+    """
+    by_hash = Window.partitionBy(*FOLD).orderBy(F.xxhash64("uid"), "uid", "positive")
+    bounded = training.withColumn("_rn", F.row_number().over(by_hash)).filter(F.col("_rn") <= fit_rows)
 
     def fit(key, group):
-        tag, layer, cluster = (k.as_py() for k in key)
-        scales, held = shared.value
-        mu, sd = scales[tag, layer]
-        x = (matrix_of(group["h"]) - mu) / sd
-        role = np.array(group["role"].to_pylist())
-        dataset = np.array(group["dataset_id"].to_pylist())
-        pos, train, test = role == "pos", role == "train", role == "test"
-        cells = []
-        for hold in held[cluster]:
-            held_out = pos & (dataset == hold)
-            used = (pos & ~held_out) | train
-            for method in methods:
-                v = FITS[method](x[used], pos[used])
-                if v is not None:
-                    auc = auc_np(x[held_out] @ v, x[test] @ v)
-                    cells.append((tag, layer, cluster, hold, method, auc))
-        names = ["tag", "layer", "cluster_id", "hold", "method", "auc"]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64()]
-        columns = list(zip(*cells)) if cells else [[]] * len(names)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-
-    grouped = protocol_rows(rows).filter(F.col("cluster_id").isin(list(held)))
-    return grouped.groupBy(*LAYER, "cluster_id").applyInArrow(fit, CELL)
-
-
-def _fit_distributed(rows, scaling, cluster: str, hold: str, methods) -> DataFrame:
-    """One fold of an oversized capability, layer by layer, with Spark ML."""
-    wanted = protocol_rows(rows).filter(F.col("cluster_id") == cluster)
-    z = V.divide(V.subtract(F.col("h"), F.col("mu")), F.col("sd"))
-    fold = materialize(
-        wanted.join(scaling.select(*LAYER, "mu", "sd"), LAYER).select(
-            *LAYER, "role",
-            ((F.col("role") == "pos") & (F.col("dataset_id") == hold)).alias("held"),
-            (F.col("role") == "pos").cast("double").alias("label"),
-            array_to_vector(z).alias("x"),
-        )
-    )
-    training = ~F.col("held") & (F.col("role") != "test")
-    testing = F.col("held") | (F.col("role") == "test")
-    out = None
-    for key in fold.select(*LAYER).distinct().collect():
-        here = fold.filter((F.col("tag") == key["tag"]) & (F.col("layer") == key["layer"]))
-        train, test = here.filter(training), here.filter(testing)
+        x, y = matrix_of(group["z"]), np.array(group["positive"].to_pylist())
+        order = np.lexsort((y, np.array(group["uid"].to_pylist())))
+        x, y = x[order], y[order]
+        out = {c: [] for c in ("method", "v", "n_fit", "residual")}
         for method in methods:
-            scored = _SCORERS[method](train, test)
-            if scored is None:
-                continue
-            auc = rank_sum_auc(
-                scored.withColumn("_y", F.col("label") > 0).withColumn("_g", F.lit(0)), ["_g"], "score", "_y"
-            )
-            cell = auc.select(
-                F.lit(key["tag"]).alias("tag"), F.lit(key["layer"]).alias("layer"),
-                F.lit(cluster).alias("cluster_id"), F.lit(hold).alias("hold"),
-                F.lit(method).alias("method"), "auc",
-            )
-            out = cell if out is None else out.unionByName(cell)
-    return out
+            fitted = FITS[method](x, y)
+            if fitted is not None:
+                for c, value in zip(out, (method, fitted[0].tolist(), len(x), fitted[1]), strict=True):
+                    out[c].append(value)
+        n = len(out["method"])
+        keys = {c: pa.array([k.as_py()] * n, k.type) for c, k in zip(FOLD, key, strict=True)}
+        kinds = (pa.string(), pa.list_(pa.float64()), pa.int64(), pa.float64())
+        return pa.table(keys | {c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
+    schema = "tag string, layer int, cluster_id string, hold string, method string, v array<double>, n_fit long, residual double"
+    return bounded.select(*FOLD, "uid", "positive", "z").groupBy(*FOLD).applyInArrow(fit, schema)
+
+
+def method_directions(
+    protocol: L.Protocol, scaling: DataFrame, methods: tuple[str, ...], rows: DataFrame | None = None,
+    fit_rows: int = FIT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Fitted directions, and the rows that each is tested on."""
+    folded = fold_rows(protocol_rows(protocol.rows if rows is None else rows, scaling), protocol.folds)
+    directions = materialize(fit_directions(folded.filter("fit"), methods, fit_rows))
+    return directions, folded.filter("NOT fit")
 
-def _score_diff_mean(train: DataFrame, test: DataFrame) -> DataFrame:
-    means = {
-        r["label"]: np.array(r["m"])
-        for r in train.groupBy("label").agg(V.vector_mean(vector_to_array("x")).alias("m")).collect()
-    }
-    gap = means[1.0] - means[0.0]
-    unit = gap / (np.linalg.norm(gap) + 1e-8)
-    direction = train.sparkSession.createDataFrame([(unit.tolist(),)], "v array<double>").scalar()
-    return test.withColumn("_v", direction).withColumn(
-        "score", V.dot(vector_to_array("x"), F.col("_v"))
-    )
 
+def lobo_methods(
+    protocol: L.Protocol, scaling: DataFrame, methods: tuple[str, ...] = METHODS,
+    rows: DataFrame | None = None, fit_rows: int = FIT_ROWS,
+) -> DataFrame:
+    """F19 per fold: (tag, layer, cluster_id, hold, method, auc), same rows for all methods.
 
-def _score_logistic(train: DataFrame, test: DataFrame) -> DataFrame:
-    model = LogisticRegression(
-        featuresCol="x", labelCol="label", regParam=1.0 / (LR_C * train.count()),
-        elasticNetParam=0.0, standardization=False, maxIter=LR_MAX_ITER, tol=1e-10,
-    ).fit(train)
-    margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
-    return model.transform(test).withColumn("score", margin)
+    `rows` narrows the protocol's rows, to one layer of each model say. At most `fit_rows` training
+    rows of a fold are fitted, the first by hash; all held-out rows count.
+    """
+    fitted = tuple(m for m in methods if m in FITS)
+    rows = protocol.rows if rows is None else rows
+    out = None
+    if fitted:
+        directions, held = method_directions(protocol, scaling, fitted, rows, fit_rows)
+        scored = held.join(directions, FOLD).select(
+            *FOLD, "method", "positive", V.dot(F.col("z"), F.col("v")).alias("score"))
+        auc = rank_sum_auc(materialize(scored), [*FOLD, "method"], "score", "positive")
+        out = auc.filter(F.col("auc").isNotNull()).select(*FOLD, "method", "auc")
+    if "diffmean" in methods:
+        layers = rows.select(*LAYER).distinct()
+        own = L.lobo_folds(protocol).join(layers, LAYER, "left_semi").select(
+            *FOLD, F.lit("diffmean").alias("method"), "auc")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def _score_pca(train: DataFrame, test: DataFrame) -> DataFrame | None:
-    n, d = train.count(), len(train.first()["x"])
-    k = min(PCA_K, n - 1, d)
-    if k < 1:
-        return None
-    model = PCA(k=k, inputCol="x", outputCol="pc").fit(train)
-    scored = model.transform(train).select(
-        (F.col("label") > 0).alias("_y"), F.posexplode(vector_to_array("pc")).alias("component", "score")
-    )
-    aucs = {
-        r["component"]: r["auc"]
-        for r in rank_sum_auc(scored, ["component"], "score", "_y").collect()
-    }
-    best = max(range(k), key=lambda i: (max(aucs[i], 1.0 - aucs[i]), -i))
-    side = 1.0 if aucs[best] >= 0.5 else -1.0
-    return model.transform(test).withColumn(
-        "score", F.get(vector_to_array("pc"), F.lit(best)) * F.lit(side)
-    )
+def method_comparison(cells: DataFrame, texts_per_capability: DataFrame) -> DataFrame:
+    """one row per (model, layer, capability): median fold AUC of every method, and its datasets.
 
+    `texts_per_capability` is (cluster_id, n_datasets). Filter `cells` for a fixed layer.
+    """
+    from capsonde.operators.reports import wide_methods
 
-_SCORERS = {"diffmean": _score_diff_mean, "pca": _score_pca, "lr": _score_logistic}
+    medians = L.fold_summary(cells, [*LAYER, "cluster_id", "method"]).withColumn("auc", F.col("lobo_med"))
+    wide = wide_methods(medians, list(METHODS))
+    return wide.join(texts_per_capability.select("cluster_id", "n_datasets"), "cluster_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ class Protocol:
     ):
         self.texts, self.limit, self.min_rows = texts, limit, min_rows
         self.split = materialize(S.negative_split(texts, per_dataset, per_positive, seed))
-        self.folds = S.folds(texts, min_rows)
+        self.folds = materialize(S.folds(texts, min_rows))
         cuts = S.half_cuts(texts, seed) if "within" in kinds else None
         self.rows = D.with_roles(hidden, texts, self.split, cuts, seed)
         self.moments = materialize(D.group_moments(self.rows))
@@ -82,11 +84,13 @@ def length_confound(protocol: Protocol, scores: DataFrame | None = None) -> Data
     """|Spearman| of projection against log length over the test negatives.
 
     Test negatives are capped per dataset by the sampler, so a group's windows sort a number
-    of rows set by the number of datasets.
+    of rows set by the number of datasets. Lengths are the texts' own, or their `n_chars`.
     """
     sampled = broadcast_if_small(protocol.split.select("uid").distinct(), 256)
+    known = "n_chars" in protocol.texts.columns
+    n_chars = F.col("n_chars") if known else F.char_length("text")
     lengths = protocol.texts.join(sampled, "uid", "left_semi").select(
-        "uid", F.log1p(F.col("n_chars").cast("double")).alias("_len")
+        "uid", F.log1p(n_chars.cast("double")).alias("_len")
     )
     full = protocol.of_kind("full")
     scores = protocol.scores("full") if scores is None else scores
@@ -116,10 +120,15 @@ def length_confound(protocol: Protocol, scores: DataFrame | None = None) -> Data
     )
 
 
-def transfer_matrix(protocol: Protocol) -> DataFrame:
-    """mean z-scored projection of capability `cluster_id`'s texts on `direction`."""
-    spec = protocol.of_kind("spec")
-    sums = projection_sums(protocol.rows, spec, protocol.limit)
+def transfer_matrix(
+    protocol: Protocol, narrow: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    """mean z-scored projection of capability `cluster_id`'s texts on `direction`.
+
+    `narrow` picks rows and directions, by (tag, layer) say, before anything is projected.
+    """
+    spec = narrow(protocol.of_kind("spec"))
+    sums = projection_sums(narrow(protocol.rows), spec, protocol.limit)
     mean = F.col("total") / F.col("n")
     whole = sums.filter(F.col("cluster_id").isNull()).select(
         "dir_id",

@@ -2,46 +2,116 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.functions import vectors as V
-from capsonde.session import materialize
+from capsonde.functions.arrow import matrix_of
 
 LAYER = ["tag", "layer"]
 
 
-def pooled_vectors(hidden: DataFrame, texts: DataFrame) -> DataFrame:
+def _own(moments: DataFrame) -> DataFrame:
+    """Moments of each dataset's texts of one tag set, once for every capability."""
+    own = moments.filter("kind = 'own'")
+    return own.select(*LAYER, "dataset_id", F.explode("clusters").alias("cluster_id"), F.col("mean").alias("m"), "n")
+
+
+def member_means(moments: DataFrame) -> DataFrame:
+    """Mean vector of a capability's texts, from `group_moments`; no vector is read again."""
+    return _own(moments).groupBy(*LAYER, "cluster_id").agg(V.vector_mean(F.col("m"), F.col("n")).alias("mean"))
+
+
+def pooled_vectors(moments: DataFrame) -> DataFrame:
     """Per capability the mean over its datasets of each dataset's mean vector."""
-    tagged = hidden.join(texts.select("uid", "dataset_id", "clusters"), "uid")
-    sums = tagged.groupBy(*LAYER, "dataset_id", "clusters").agg(
-        V.vector_mean(F.col("h").cast("array<double>")).alias("m"), F.count(F.lit(1)).alias("n")
-    )
-    by_dataset = (
-        sums.select(*LAYER, "dataset_id", F.explode("clusters").alias("cluster_id"), "m", "n")
-        .groupBy(*LAYER, "cluster_id", "dataset_id")
-        .agg(V.vector_mean(F.col("m"), F.col("n")).alias("m"))
-    )
+    by_dataset = _own(moments).groupBy(*LAYER, "cluster_id", "dataset_id").agg(
+        V.vector_mean(F.col("m"), F.col("n")).alias("m"))
     return by_dataset.groupBy(*LAYER, "cluster_id").agg(
         V.vector_mean(F.col("m")).alias("pooled"), F.count(F.lit(1)).alias("n_datasets")
     )
 
 
+def mean_silhouette(x: np.ndarray, label: np.ndarray) -> float:
+    """Mean silhouette under squared Euclidean distance; a point alone in its cluster counts 0."""
+    squares = (x * x).sum(axis=1)
+    distance = np.maximum(squares[:, None] + squares[None] - 2 * x @ x.T, 0.0)
+    clusters, place = np.unique(label, return_inverse=True)
+    size = np.bincount(place)
+    if len(clusters) < 2:
+        return 0.0
+    total = np.stack([distance[:, place == c].sum(axis=1) for c in range(len(clusters))], axis=1)
+    at = np.arange(len(x))
+    own = total[at, place] / np.maximum(size[place] - 1, 1)
+    other = total / size
+    other[at, place] = np.inf
+    near = other.min(axis=1)
+    wide = np.maximum(own, near)
+    score = np.divide(near - own, wide, out=np.zeros(len(x)), where=wide > 0)
+    return float(np.where(size[place] > 1, score, 0.0).mean())
+
+
+def k_means(x: np.ndarray, k: int, seed: int, starts: int = 8, steps: int = 100) -> np.ndarray:
+    """Labels of the tightest of several seeded runs, each started from points far apart."""
+    rng, best, least = np.random.default_rng(seed), np.zeros(len(x), int), np.inf
+    for _ in range(starts):
+        centre = x[[rng.integers(len(x))]]
+        while len(centre) < k:
+            gap = ((x[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1)
+            odds = gap / gap.sum() if gap.sum() > 0 else None
+            centre = np.vstack([centre, x[rng.choice(len(x), p=odds)]])
+        label = None
+        for _ in range(steps):
+            gaps = ((x[:, None] - centre[None]) ** 2).sum(axis=2)
+            now = gaps.argmin(axis=1)
+            if label is not None and (now == label).all():
+                break
+            label = now
+            centre = np.stack([x[label == c].mean(axis=0) if (label == c).any() else centre[c] for c in range(k)])
+        cost = gaps.min(axis=1).sum()
+        if cost < least:
+            best, least = label, cost
+    return best
+
+
+def _points(group: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """A layer's vectors and capabilities, in the order of the capabilities."""
+    order = np.argsort(np.array(group["cluster_id"].to_pylist()))
+    return matrix_of(group[column])[order], order
+
+
+def silhouette(vectors: DataFrame, label: str, column: str = "pooled") -> DataFrame:
+    """Silhouette of a given labelling of the capabilities, per (model, layer)."""
+
+    def run(key, group):
+        x, order = _points(group, column)
+        score = mean_silhouette(x, np.array(group[label].to_pylist())[order])
+        return pa.table({"tag": [key[0].as_py()], "layer": pa.array([key[1].as_py()], pa.int32()), "silhouette": [score]})
+
+    needed = vectors.select(*LAYER, "cluster_id", label, column)
+    return needed.groupBy(*LAYER).applyInArrow(run, "tag string, layer int, silhouette double")
+
+
 def silhouette_sweep(
-    vectors: DataFrame, ks: range, column: str = "pooled", seed: int = 0
+    vectors: DataFrame, ks: range = range(4, 16), column: str = "pooled", seed: int = 0
 ) -> DataFrame:
-    """Silhouette of a k-means clustering of the vectors for every k."""
-    spark = vectors.sparkSession
-    points = materialize(vectors.select(array_to_vector(column).alias("features")))
-    evaluator = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in ks:
-        labelled = KMeans(k=k, seed=seed).fit(points).transform(points)
-        rows.append((k, float(evaluator.evaluate(labelled))))
-    return spark.createDataFrame(rows, "k int, silhouette double")
+    """Silhouette of a k-means clustering of the capabilities for every (model, layer) and k.
+
+    A group is one layer's pooled vectors, a row for each capability; a k that leaves no two
+    capabilities together has no row.
+    """
+
+    def run(key, group):
+        x, _ = _points(group, column)
+        tried = [k for k in ks if 1 < k < len(x)]
+        scores = [mean_silhouette(x, k_means(x, k, seed)) for k in tried]
+        n = len(tried)
+        return pa.table({"tag": pa.array([key[0].as_py()] * n, pa.string()), "layer": pa.array([key[1].as_py()] * n, pa.int32()),
+                         "k": pa.array(tried, pa.int32()), "silhouette": pa.array(scores, pa.float64())})
+
+    needed = vectors.select(*LAYER, "cluster_id", column)
+    return needed.groupBy(*LAYER).applyInArrow(run, "tag string, layer int, k int, silhouette double")
 
 
 def adjusted_rand(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capsonde.functions.numbering import positions, value_bucket
 from capsonde.functions.scalars import MODERATE, STRONG, round_binary
 
 LAYER = ["tag", "layer"]
@@ -33,9 +34,13 @@ def best_layer(cells: DataFrame) -> DataFrame:
 
 
 def tier_counts(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Strong, moderate and weak capabilities, and the mean of their medians."""
+    """Strong, moderate and weak capabilities, and the mean of their medians.
+
+    A summary with `spec_rank` also has how many capabilities rank first on their own direction.
+    """
     keys = keys or LAYER
     med = F.col("lobo_med")
+    first = [F.count_if(F.col("spec_rank") == 1).alias("spec_first")] if "spec_rank" in summary.columns else []
     return (
         summary.filter(med.isNotNull())
         .groupBy(*keys)
@@ -45,6 +50,7 @@ def tier_counts(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
             F.count_if((med >= F.lit(MODERATE)) & (med < F.lit(STRONG))).alias("moderate"),
             F.count_if(med < F.lit(MODERATE)).alias("weak"),
             F.avg(med).alias("mean_median"),
+            *first,
         )
     )
 
@@ -121,6 +127,12 @@ def method_wins(cells: DataFrame) -> DataFrame:
     return wins.withColumn("share", share)
 
 
+def numbered_by_score(summary: DataFrame, score: str, *keys: str) -> DataFrame:
+    """G3 as a column: every row's `position`, highest score first, a missing score as zero."""
+    value = F.coalesce(score, F.lit(0.0))
+    return positions(summary, [value.desc(), *map(F.col, keys)], -value_bucket(value))
+
+
 def by_score(summary: DataFrame, score: str, key: str = "cluster_id") -> DataFrame:
     """Highest score first, a missing score as zero."""
     return summary.orderBy(F.coalesce(score, F.lit(0.0)).desc(), key)

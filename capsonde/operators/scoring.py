@@ -1,9 +1,9 @@
 """Project hidden states on many directions.
 
-Directions are model parameters: folds x width doubles. While their size, which is known
-once they are written, stays under a limit, they are shipped to the workers and each Arrow
-batch is one matrix product, so a hidden row crosses to Python once however many folds need
-it. Above the limit the projection is a shuffle join and a JVM dot product.
+Directions are model parameters: folds x width doubles. Their size is known once they are
+written; they are shipped to the workers by whole (model, layer)s, as many at a time as fit a
+limit, and each Arrow batch is one matrix product, so a hidden row crosses to Python once however
+many folds need it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capsonde.functions import vectors as V
 from capsonde.functions.arrow import layer_slices, list_rows, matrix_of
 from capsonde.operators.directions import LAYER
 from capsonde.session import BROADCAST_LIMIT, materialize
@@ -134,32 +133,49 @@ def _score_in_workers(rows: DataFrame, directions: DataFrame) -> DataFrame:
     return needed.mapInArrow(run, SCORES)
 
 
-def _score_by_join(rows: DataFrame, directions: DataFrame) -> DataFrame:
-    d = directions.select(*LAYER, "kind", "cluster_id", "hold", "dir_id", "w", "shift")
-    score = (V.dot(F.col("h"), F.col("w")) - F.col("shift")).alias("score")
-    out = ["dir_id", "uid"]
-    tagged = rows.select(
-        *LAYER, "uid", F.col("dataset_id").alias("hold"), "half", "h",
-        F.explode("clusters").alias("cluster_id"),
-    )
-    held_out = tagged.join(d.filter("kind = 'lobo'"), [*LAYER, "cluster_id", "hold"])
-    second_half = tagged.filter(~F.array_contains("half", F.col("cluster_id"))).drop("hold").join(
-        d.filter("kind = 'within'"), [*LAYER, "cluster_id"]
-    )
-    negatives = rows.select(
-        *LAYER, "uid", "h", F.explode("neg_test").alias("cluster_id")
-    ).join(d, [*LAYER, "cluster_id"])
-    yes, no = F.lit(True).alias("positive"), F.lit(False).alias("positive")
-    return (
-        held_out.select(*out, yes, score)
-        .unionByName(second_half.select(*out, yes, score))
-        .unionByName(negatives.select(*out, no, score))
-    )
+def layer_blocks(
+    rows: DataFrame, directions: DataFrame, limit: int
+) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Rows and directions of some whole (tag, layer)s at a time, directions under the limit.
 
-
-def direction_bytes(directions: DataFrame) -> int:
-    size = directions.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n")).first()
-    return size["n"] * 8
+    The rows' filter names its layers, so over a table stored by (tag, layer) all blocks together
+    are one scan. Only a layer whose own directions exceed the limit is read more than once.
+    """
+    sizes = directions.groupBy(*LAYER).agg(F.sum(F.size("w")).alias("n")).orderBy(*LAYER).collect()
+    held, total = [], 0
+
+    def block(keys, number=0, of=1):
+        def chosen():
+            one = F.lit(False)
+            for tag, layer in keys:
+                one |= (F.col("tag") == tag) & (F.col("layer") == layer)
+            return one
+
+        part = directions.filter(chosen())
+        if of > 1:
+            part = part.filter(F.pmod(F.xxhash64("dir_id"), F.lit(of)) == number)
+        return rows.filter(chosen()), part
+
+    for r in sizes:
+        size = (r["n"] or 0) * 8
+        if held and total + size > limit:
+            yield block(held)
+            held, total = [], 0
+        if size > limit:
+            parts = -(-size // max(limit, 1))
+            yield from (block([(r["tag"], r["layer"])], i, parts) for i in range(parts))
+        else:
+            held.append((r["tag"], r["layer"]))
+            total += size
+    if held:
+        yield block(held)
+
+
+def _union(parts: Iterator[DataFrame], empty: DataFrame, schema: str) -> DataFrame:
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return empty.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def score_rows(
@@ -170,10 +186,8 @@ def score_rows(
     `rows` comes from `with_roles`, `directions` from `number_directions`; its `spec` kind has
     no test of its own.
     """
-    directions = directions.filter(F.col("kind") != "spec")
-    if direction_bytes(directions) <= limit:
-        return _score_in_workers(rows, directions)
-    return _score_by_join(rows, directions)
+    blocks = layer_blocks(rows, directions.filter(F.col("kind") != "spec"), limit)
+    return _union((_score_in_workers(*b) for b in blocks), rows, SCORES)
 
 
 def projection_sums(
@@ -182,16 +196,10 @@ def projection_sums(
     """Sums of every text's projection on every direction, in all and per capability.
 
     Rows (dir_id, cluster_id or null for all texts, n, total, squares). A task keeps one
-    running sum per (direction, capability) and emits it at its end. Directions beyond the
-    limit are taken in blocks that fit, one pass each.
+    running sum per (direction, capability) and emits it at its end.
     """
-    size = direction_bytes(directions)
-    blocks = max(-(-size // limit), 1)
-    dealt = directions.withColumn("_block", F.pmod(F.hash("dir_id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        part = _sums_in_workers(rows, dealt.filter(F.col("_block") == b) if blocks > 1 else directions)
-        out = part if out is None else out.unionByName(part)
+    blocks = layer_blocks(rows, directions, limit)
+    out = _union((_sums_in_workers(*b) for b in blocks), rows, PROJECTION_SUMS)
     return out.groupBy("dir_id", "cluster_id").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")
     )

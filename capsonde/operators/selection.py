@@ -8,10 +8,14 @@ enters through counts alone, and a sparse encoding is never made dense.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.operators.auc import auc_of, count_wins
+from capsonde.operators.lobo import fold_summary
+from capsonde.operators.reports import best_depth, method_means
 
 LAYER = ["tag", "layer"]
 
@@ -147,3 +151,33 @@ def held_out_aucs(
             F.when(F.col("sign") > 0, auc).otherwise(F.lit(1.0) - auc).alias("auc"),
         )
     )
+
+
+@dataclass(frozen=True)
+class FeatureReport:
+    """cells: one row per (model, layer, capability); layers: mean, median and strong count of each
+    layer, and whether it is the model's best; chosen: what each fold chose at the best layer;
+    comparison: the best layer beside other methods' cells."""
+
+    cells: DataFrame
+    layers: DataFrame
+    chosen: DataFrame
+    comparison: DataFrame
+
+
+def feature_report(folds: DataFrame, method: str, others: DataFrame | None = None) -> FeatureReport:
+    """F15/F18 from per-fold rows (`held_out_aucs`).
+
+    The best layer of a model has the highest mean over capabilities of their median AUC; the
+    shallower one wins a tie. `others` (tag, layer, cluster_id, method, auc) are compared as given.
+    """
+    cells = fold_summary(folds.filter(F.col("auc").isNotNull()))
+    scored = cells.select(*LAYER, "cluster_id", F.lit(method).alias("method"), F.col("lobo_med").alias("auc"))
+    means = method_means(scored)
+    best = best_depth(means).select("tag", F.col("layer").alias("best_layer"))
+    layers = means.join(best, "tag").withColumn("best", F.col("layer") == F.col("best_layer"))
+    at_best = F.col("layer") == F.col("best_layer")
+    chosen = folds.join(best, "tag").filter(at_best).drop("best_layer")
+    own = layers.filter("best").drop("best", "best_layer")
+    comparison = own if others is None else own.unionByName(method_means(others))
+    return FeatureReport(cells, layers.drop("best_layer"), chosen, comparison)

@@ -29,61 +29,51 @@ class Encoder:
 
 
 def encode(
-    rows: DataFrame, encoders: dict[int, Encoder], limit: int = BROADCAST_LIMIT
+    rows: DataFrame, encoders: dict[tuple[str, int], Encoder], limit: int = BROADCAST_LIMIT
 ) -> DataFrame:
     """non-zero features of each row as parallel arrays, the row's other columns kept.
 
-    Rows of layers without an encoder drop out. Weights beyond the limit are applied in blocks
-    of features, one pass each; a row then comes back once per block.
+    `encoders` is keyed by (tag, layer); rows of other models and layers drop out. Every layer is
+    a pass over its own rows. Weights beyond the limit are applied in blocks of features; a row
+    then comes back once per block.
     """
     kept = [c for c in rows.columns if c != "h"]
     schema = rows.select(*kept).schema.add("features", T.ArrayType(T.IntegerType())).add(
         "values", T.ArrayType(T.DoubleType())
     )
-    read = rows.filter(F.col("layer").isin(list(encoders)))
-    width = max(e.w_enc.shape[1] for e in encoders.values())
-    size = sum(e.w_enc.size for e in encoders.values()) * 8
-    step = max(width // max(-(-size // limit), 1), 1)
     out = None
-    for start in range(0, width, step):
-        block = {
-            layer: (
-                start,
-                np.asarray(e.w_enc[:, start:start + step], dtype=np.float64),
-                np.asarray(e.b_enc[start:start + step], dtype=np.float64),
-                np.asarray(e.threshold[start:start + step], dtype=np.float64),
-            )
-            for layer, e in encoders.items()
-        }
-        part = read.mapInArrow(_encoder(read, block, kept), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _encoder(rows: DataFrame, block: dict, kept: list[str]):
+    for (tag, layer), e in sorted(encoders.items()):
+        own = rows.filter((F.col("tag") == tag) & (F.col("layer") == layer))
+        width = e.w_enc.shape[1]
+        step = max(width // max(-(-e.w_enc.nbytes // limit), 1), 1)
+        for start in range(0, width, step):
+            cut = slice(start, start + step)
+            part = own.mapInArrow(_encoder(own, (start, e.w_enc[:, cut], e.b_enc[cut], e.threshold[cut]), kept), schema)
+            out = part if out is None else out.unionByName(part)
+    return rows.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _encoder(rows: DataFrame, block: tuple, kept: list[str]):
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, w, b, threshold = shared.value
         for batch in batches:
-            layers = batch["layer"].to_numpy()
-            for layer in np.unique(layers):
-                part = batch.filter(pa.array(layers == layer))
-                start, w, b, threshold = shared.value[int(layer)]
-                h = matrix_of(part["h"])
-                if h.shape[1] != w.shape[0]:
-                    raise ValueError(f"layer {layer}: rows have {h.shape[1]} values, weights {w.shape[0]}")
-                pre = h @ w + b
-                z = np.where(pre > threshold, np.maximum(pre, 0.0), 0.0)
-                row, feature = np.nonzero(z > 0)
-                offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part[c] for c in kept]
-                    + [
-                        pa.ListArray.from_arrays(offsets, pa.array(feature + start, pa.int32())),
-                        pa.ListArray.from_arrays(offsets, pa.array(z[row, feature])),
-                    ],
-                    names=[*kept, "features", "values"],
-                )
+            h = matrix_of(batch["h"])
+            if len(h) and h.shape[1] != w.shape[0]:
+                raise ValueError(f"rows have {h.shape[1]} values, weights {w.shape[0]}")
+            pre = h @ w + b if len(h) else np.zeros((0, w.shape[1]))
+            z = np.where(pre > threshold, np.maximum(pre, 0.0), 0.0)
+            row, feature = np.nonzero(z > 0)
+            offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch[c] for c in kept]
+                + [
+                    pa.ListArray.from_arrays(offsets, pa.array(feature + start, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(z[row, feature])),
+                ],
+                names=[*kept, "features", "values"],
+            )
 
     return run
 
@@ -96,7 +86,7 @@ def mean_l0(encoded: DataFrame) -> DataFrame:
 
 
 def sparse_lobo(
-    rows: DataFrame, encoders: dict[int, Encoder], fold_table: DataFrame, split: DataFrame
+    rows: DataFrame, encoders: dict[tuple[str, int], Encoder], fold_table: DataFrame, split: DataFrame
 ) -> DataFrame:
     """F14/F15 per fold: chosen feature, sign, training and held-out AUC.
 

@@ -71,11 +71,9 @@ def sweep(
     best = R.best_layer(cells)
 
     at_best = at_layers(protocol.rows, best)
-    lr = M.lobo_methods(
-        at_best, D.standardiser(protocol.moments), protocol.folds, protocol.split, ("lr",)
-    )
+    lr = M.lobo_methods(protocol, D.standardiser(protocol.moments), ("lr",), at_best)
     lobo_lr = lr.groupBy(*LAYER, "cluster_id").agg(round_binary(F.avg("auc")).alias("lobo_lr"))
-    ranks = L.spec_rank(materialize(at_layers(L.transfer_matrix(protocol), best)))
+    ranks = L.spec_rank(materialize(L.transfer_matrix(protocol, lambda df: at_layers(df, best))))
     results = (
         at_layers(cells, best)
         .join(lobo_lr, [*LAYER, "cluster_id"], "left")

@@ -31,7 +31,7 @@ def build_session(app: str = "capsonde", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only when none is configured."""
+    """The cluster's checkpoint folder; on a local master a fresh folder where none is configured."""
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
     current = sc.getCheckpointDir()
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that driver and executors of {sc.master} share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="capsonde-"))
         current = sc.getCheckpointDir()
     return current

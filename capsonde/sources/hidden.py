@@ -24,16 +24,19 @@ def write_hidden(hidden: DataFrame, path: str) -> None:
     hidden.write.mode("overwrite").partitionBy(*LAYER).parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, buckets: int, by: str = "uid") -> None:
-    """Store a table bucketed by its join key.
+def write_bucketed(
+    df: DataFrame, name: str, buckets: int, by: str = "uid", partition_by: list[str] | None = None
+) -> None:
+    """Store a table bucketed by its join key, inside partitions of `partition_by`.
 
     With hidden states and texts both bucketed by uid, attaching the texts reads bucket
-    beside bucket and shuffles no vector.
+    beside bucket and shuffles no vector. Hidden states partitioned by (tag, layer) as well are
+    read for the wanted layers alone.
     """
-    (
-        df.write.mode("overwrite").format("parquet")
-        .bucketBy(buckets, by).sortBy(by).saveAsTable(name)
-    )
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(name)
 
 
 def load_hidden(hidden: DataFrame, texts: DataFrame) -> DataFrame:

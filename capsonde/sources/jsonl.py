@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,16 +59,24 @@ def append_pending(
     """Produce results for the rows a log is missing, append them, return the whole log.
 
     `produce` maps the pending rows to results which carry the key. Results are written once;
-    a run that dies before its commit leaves the log as it was.
+    a run that dies before its commit leaves the log as it was. A log that is there but cannot be
+    read, or lacks the key, is an error. With `retry_errors` a key's latest row is returned.
     """
     spark = rows.sparkSession
-    try:
-        done = spark.read.parquet(path)
-        todo = pending(rows, done, key, retry_errors)
-    except AnalysisException:
-        todo = rows
+    todo = pending(rows, spark.read.parquet(path), key, retry_errors) if path_exists(spark, path) else rows
     produce(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    log = spark.read.parquet(path)
+    if not retry_errors:
+        return log
+    latest = Window.partitionBy(key).orderBy(
+        F.col("_metadata.file_modification_time").desc(), (F.col("status") == "ok").desc_nulls_last())
+    return log.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def next_shard(shards: DataFrame, column: str = "shard") -> DataFrame:

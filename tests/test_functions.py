@@ -9,7 +9,7 @@ from capsonde.functions import numbering as N
 from capsonde.functions import scalars as S
 from capsonde.functions import text as T
 from capsonde.functions import vectors as V
-from capsonde.functions.flatten import flat_text, flatten_row
+from capsonde.functions.flatten import flatten_row, leaves_text
 
 
 def apply(spark, values, fn, kind="string"):
@@ -148,9 +148,28 @@ def test_flatten_rows(spark):
     assert [list(f) for f in fields[:1]] == [["q", "n", "b", "z", "l"]]
 
 
-def test_flat_text_depth():
-    assert flat_text({"a": {"b": {"c": "x"}}}) == ""
-    assert flat_text([{"a": {"b": "x"}}]) == ""
+@pytest.mark.parametrize("value, text", [
+    ({"a": {"b": {"c": "x"}}}, ""),
+    ([{"a": {"b": "x"}}], ""),
+    ([{"a": "x"}], "a: x"),
+    ({"a": {"b": "", "c": "x", "d": "y"}, "e": 4, "f": "z"}, "a: c: x\nd: y\nf: z"),
+    ({"a": {"role": "user"}, "b": [{"role": "u", "content": "v"}]}, "a: user: "),
+    ([{"content": {"k": ["x", "y"]}}, {"role": None, "content": {"k": {"l": "m"}}}], ": \nNone: "),
+    ({"m": [[["x"], []], [], "y"]}, "m: x\ny"),
+    ([1, None, True, "x"], "x"),
+])
+def test_leaves_text(value, text):
+    assert leaves_text(value) == text
+
+
+def test_rows_that_are_no_objects_fail(spark):
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        apply(spark, ["{"], flatten_row)
+
+
+def test_replies_with_repeated_keys_or_nan_are_rejected(spark):
+    got = apply(spark, ['{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 1}'], lambda c: T.parse_json_text(c).isNull())
+    assert got == [True, True, False]
 
 
 def test_stream_mean(spark):

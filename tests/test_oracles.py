@@ -1,10 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
-
-The probe queries, which numpy tests cover too, are left to `python -m workload.check`
-unless ORACLES=all.
-"""
-
-import os
+"""Registered queries against their SQL on the smallest tables."""
 
 import pytest
 
@@ -14,11 +8,7 @@ from workload.registry import ORACLES
 
 SF = "/root/testdata/sf0.001"
 QUERIES = all_queries()
-PROBES = ("f", "b21", "d11", "d15", "e11", "e13", "i2")
-CHOSEN = [
-    n for n in sorted(QUERIES)
-    if os.environ.get("ORACLES") == "all" or n == "f6_lobo_diff_mean" or not n.startswith(PROBES)
-]
+CHOSEN = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -42,6 +42,36 @@ def test_bucketed_hidden_states_join_without_a_shuffle(spark, no_auto_broadcast)
     assert sorted(map(tuple, stored)) == sorted(map(tuple, plain))
 
 
+def test_partitioned_and_bucketed_states_are_pruned_and_not_shuffled(spark, no_auto_broadcast):
+    texts = I.probe_texts(spark, SF)
+    H.write_bucketed(I.hidden(spark, SF), "hidden_pb", 4, partition_by=H.LAYER)
+    H.write_bucketed(texts, "texts_pb", 4)
+    one = spark.table("hidden_pb").filter("tag = 'm' AND layer = 2")
+    joined = one.join(spark.table("texts_pb").select("uid", "dataset_id"), "uid")
+    plan = physical(joined)
+    assert "Exchange" not in plan and re.search(r"PartitionFilters: \[[^\]]*layer", plan)
+    want = I.hidden(spark, SF).filter("layer = 2").join(texts.select("uid", "dataset_id"), "uid")
+    assert sorted(map(str, joined.select("uid", "h").collect())) == sorted(map(str, want.select("uid", "h").collect()))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_moments_combine_before_the_shuffle(spark):
     texts = I.probe_texts(spark, SF)
     rows = D.with_roles(I.hidden(spark, SF), texts, materialize(S.negative_split(texts, I.NEGATIVES)))

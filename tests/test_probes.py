@@ -172,12 +172,17 @@ def test_lobo_aucs(protocol):
     assert not got
 
 
-def test_scoring_by_join_gives_the_same_aucs(tables, protocol):
+def test_scoring_in_blocks_gives_the_same_aucs(tables, protocol):
+    """Blocks of whole layers, and layers cut further, against one block for all."""
     want = {(r["layer"], r["cluster_id"], r["hold"], r["kind"]): r["auc"] for r in protocol.aucs("lobo", "within").collect()}
-    by_join = L.Protocol(*tables, ("lobo", "within", "full", "spec"), per_dataset=CAP, limit=0)
-    got = {(r["layer"], r["cluster_id"], r["hold"], r["kind"]): r["auc"] for r in by_join.aucs("lobo", "within").collect()}
-    assert got.keys() == want.keys()
-    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    for limit in (900, 300):
+        cut = L.Protocol(*tables, ("lobo", "within", "full", "spec"), per_dataset=CAP, limit=limit)
+        got = {(r["layer"], r["cluster_id"], r["hold"], r["kind"]): r["auc"] for r in cut.aucs("lobo", "within").collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    matrix = [{(r["layer"], r["cluster_id"], r["direction"]): r["z_mean"] for r in L.transfer_matrix(x).collect()} for x in (protocol, cut)]
+    assert matrix[0].keys() == matrix[1].keys()
+    assert all(matrix[1][k] == pytest.approx(v, abs=1e-9) for k, v in matrix[0].items())
 
 
 def test_within_auc(protocol):
@@ -267,7 +272,8 @@ def sigmoid(t):
 def test_logistic_is_at_its_optimum(n, d):
     rng = np.random.default_rng(n)
     x, y = rng.normal(size=(n, d)), rng.random(n) < 0.4
-    w = M.logistic_direction(x, y)
+    w, gap = M.logistic_fit(x, y)
+    assert gap < 1e-9
     side = np.where(y, 1.0, -1.0)
     b = 0.0
     for _ in range(200):  # the intercept which goes with w
@@ -283,26 +289,36 @@ def test_pca_direction_takes_the_best_component():
     y = np.arange(80) % 2 == 0
     x = rng.normal(size=(80, 4)) * [9, 4, 1, 0.5]
     x[:, 1] -= 30 * y
-    v = M.pca_direction(x, y)
-    assert abs(v[1]) > 0.9 and v[1] < 0 and M.auc_np(x[y] @ v, x[~y] @ v) == 1.0
+    v, residual = M.pca_fit(x, y)
+    assert abs(v[1]) > 0.9 and v[1] < 0 and residual < 1e-10
+    assert M.column_aucs((x @ v)[:, None], y)[0] == 1.0
 
 
-def methods(protocol, limit, names=M.METHODS):
-    cells = M.lobo_methods(
-        protocol.rows.filter("layer = 1"), D.standardiser(protocol.moments), protocol.folds.filter("cluster_id = 'y'"),
-        protocol.split, names, limit,
-    )
-    return {(r["hold"], r["method"]): r["auc"] for r in cells.collect()}
+def test_column_aucs_count_ties_half():
+    rng = np.random.default_rng(1)
+    s, y = rng.integers(0, 6, (50, 7)).astype(float), rng.random(50) < 0.3
+    pos, neg = s[y][:, None, :], s[~y][None]
+    expected = ((pos > neg) + 0.5 * (pos == neg)).mean(axis=(0, 1))
+    assert np.allclose(M.column_aucs(s, y), expected)
+
 
+def methods(protocol, **more):
+    rows = protocol.rows.filter("layer = 1")
+    cells = M.lobo_methods(protocol, D.standardiser(protocol.moments), rows=rows, **more)
+    return {(r["hold"], r["method"]): r["auc"] for r in cells.filter("cluster_id = 'y'").collect()}
 
-def test_methods_in_tasks_and_distributed_agree(protocol):
-    inside = methods(protocol, M.GROUP_LIMIT)
-    spread = methods(protocol, 0)
-    assert inside.keys() == spread.keys() and len(inside) == 6
-    for key, value in inside.items():
-        assert spread[key] == pytest.approx(value, abs=1e-6)
+
+def test_methods_of_every_fold(protocol):
+    found = methods(protocol)
     lobo = {r["hold"]: r["auc"] for r in L.lobo_folds(protocol).filter("layer = 1 AND cluster_id = 'y'").collect()}
-    assert all(inside[h, "diffmean"] == pytest.approx(a, abs=1e-12) for h, a in lobo.items())
+    assert len(found) == 3 * len(lobo) == 6
+    assert all(found[h, "diffmean"] == pytest.approx(a, abs=1e-12) for h, a in lobo.items())
+    assert all(0 <= a <= 1 for a in found.values())
+
+
+def test_a_bound_on_fitted_rows_keeps_all_held_out_rows(protocol):
+    found = methods(protocol, fit_rows=16)
+    assert len(found) == 6
 
 
 def role_rows(protocol, layer):
@@ -331,7 +347,7 @@ def test_sparse_lobo(protocol):
     rows = role_rows(protocol, 1)
     got = {
         (r["cluster_id"], r["hold"]): r
-        for r in Z.sparse_lobo(rows, {1: encoder}, protocol.folds, protocol.split).collect()
+        for r in Z.sparse_lobo(rows, {("m", 1): encoder}, protocol.folds, protocol.split).collect()
     }
     values = {}
     for u, h in H.items():
@@ -349,18 +365,18 @@ def test_encoding_in_blocks_and_dimension_check(protocol):
     encoder = Z.Encoder(rng.normal(size=(DIM, 9)), np.zeros(9), np.zeros(9))
 
     def flat(limit):
-        e = Z.encode(role_rows(protocol, 1), {1: encoder}, limit)
+        e = Z.encode(role_rows(protocol, 1), {("m", 1): encoder}, limit)
         return {(r["uid"], f): v for r in e.collect() for f, v in zip(r["features"], r["values"])}
 
     assert flat(1 << 20) == pytest.approx(flat(200))
     with pytest.raises(Exception, match="weights"):
-        Z.encode(role_rows(protocol, 2), {2: encoder}).collect()
+        Z.encode(role_rows(protocol, 2), {("m", 2): encoder}).collect()
 
 
 def test_a_silent_encoder_picks_the_first_feature(protocol):
     encoder = Z.Encoder(np.zeros((DIM, 3)), np.full(3, -1.0), np.zeros(3))
     encoder.b_enc[2] = 1.0
-    out = Z.sparse_lobo(role_rows(protocol, 1), {1: encoder}, protocol.folds, protocol.split).collect()
+    out = Z.sparse_lobo(role_rows(protocol, 1), {("m", 1): encoder}, protocol.folds, protocol.split).collect()
     assert {(r["feature"], r["sign"], r["train_auc"], r["auc"]) for r in out} == {(0, 1, 0.5, 0.5)}
 
 
@@ -375,7 +391,7 @@ def test_lens_lobo(spark, protocol):
     )
     got = {
         (r["cluster_id"], r["hold"]): r
-        for r in lens_lobo(role_rows(protocol, 1), lens, candidates, protocol.folds, protocol.split).collect()
+        for r in lens_lobo(role_rows(protocol, 1), {"m": lens}, candidates, protocol.folds, protocol.split).collect()
     }
     values = {}
     for u, h in H.items():
@@ -405,8 +421,8 @@ def test_candidate_tokens(spark):
         require_coverage(names, fragment_candidates(names, vocabulary, pieces))
 
 
-def test_pooled_vectors(tables):
-    got = {r["cluster_id"]: r["pooled"] for r in O.pooled_vectors(*tables).filter("layer = 1").collect()}
+def test_pooled_vectors(protocol):
+    got = {r["cluster_id"]: r["pooled"] for r in O.pooled_vectors(protocol.moments).filter("layer = 1").collect()}
     for c in CLUSTERS:
         means = {}
         for u in H:
@@ -427,10 +443,19 @@ def test_adjusted_rand(spark):
 
 def test_silhouette_prefers_the_true_number(spark):
     rng = np.random.default_rng(1)
-    points = [([float(a) for a in rng.normal(10 * (i % 3), 0.3, 4)],) for i in range(60)]
-    df = spark.createDataFrame(points, "pooled array<double>")
-    scores = {r["k"]: r["silhouette"] for r in O.silhouette_sweep(df, range(2, 5)).collect()}
-    assert max(scores, key=scores.get) == 3
+    points = [("m", 1 + i % 2, f"c{i}", [float(a) for a in rng.normal(10 * (i // 2 % (3 + i % 2)), 0.3, 4)]) for i in range(60)]
+    df = spark.createDataFrame(points, "tag string, layer int, cluster_id string, pooled array<double>")
+    scores = {(r["layer"], r["k"]): r["silhouette"] for r in O.silhouette_sweep(df, range(2, 40)).collect()}
+    assert {k for _, k in scores} == set(range(2, 30))
+    assert max((k for l, k in scores if l == 1), key=lambda k: scores[1, k]) == 3
+    assert max((k for l, k in scores if l == 2), key=lambda k: scores[2, k]) == 4
+
+
+def test_silhouette_of_single_and_equal_points():
+    x = np.array([[0.0], [0.0], [5.0]])
+    assert O.mean_silhouette(x, np.array([0, 0, 1])) == pytest.approx(2 / 3)
+    assert O.mean_silhouette(x, np.array([0, 0, 0])) == 0.0
+    assert O.mean_silhouette(np.zeros((4, 2)), np.array([0, 0, 1, 1])) == 0.0
 
 
 def test_vector_mean_weighted(spark):

@@ -95,7 +95,7 @@ SELECT dataset_id, count(*) AS n_rows, min(row_idx) AS first_row FROM (
   UNION ALL SELECT dataset_id, row_idx FROM thin) SEMI JOIN tags USING (dataset_id) GROUP BY ALL"""))
 def a7(spark, sf):
     tags = P.dataset_clusters(I.experiment_clusters(spark, sf))
-    return I.dataset_rows(spark, sf).join(tags, "dataset_id", "left_semi").groupBy("dataset_id").agg(
+    return P.tagged_rows(I.dataset_rows(spark, sf), tags).groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("first_row")
     )
 
@@ -157,11 +157,12 @@ def b8(spark, sf):
 
 
 @query("b9_long_enough", with_ctes(NUMBERED, ASSEMBLED, body="""
-SELECT dataset_id, count(*) AS n FROM assembled WHERE length(text) >= 30 GROUP BY ALL"""))
+SELECT dataset_id, count(*) AS n
+FROM (SELECT dataset_id, text FROM assembled UNION ALL SELECT dataset_id, text FROM premised UNION ALL SELECT dataset_id, text FROM thin)
+WHERE length(text) >= 30 GROUP BY ALL"""))
 def b9(spark, sf):
     return (
         b8(spark, sf).filter(F.char_length("text") >= P.MIN_CHARS)
-        .filter(~F.col("dataset_id").contains("/"))
         .groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -170,7 +171,7 @@ def b9(spark, sf):
 SELECT dataset_id, row_idx, {sql_strip("CASE WHEN s <> '' THEN text || chr(10) || chr(10) || substr(s, 1, 1500) ELSE text END")} AS text
 FROM premised"""))
 def b10(spark, sf):
-    rows = I.dataset_rows(spark, sf).filter(F.col("dataset_id").startswith("nli/"))
+    rows = I.dataset_rows(spark, sf)
     roles = P.field_roles(P.with_fields(P.first_rows(rows)))
     second = P.secondary_fields(rows, roles)
     return P.assemble_rows(rows, roles.join(second, "dataset_id"))
@@ -195,7 +196,7 @@ def d8(spark, sf):
             F.concat("source", F.lit("/of the collection")).alias("name"), F.col("text").alias("body"),
         )).alias("row_json"),
     )
-    rows = I.dataset_rows(spark, sf).filter(F.col("dataset_id").startswith("nli/")).unionByName(two)
+    rows = I.dataset_rows(spark, sf).unionByName(two)
     return P.secondary_fields(rows, P.field_roles(P.with_fields(P.first_rows(rows))))
 
 
@@ -391,10 +392,11 @@ def c4(spark, sf):
 
 
 @query("g2_targets_by_mentions", with_ctes(SELECTION, body="""
-SELECT name AS benchmark, CAST(sum(n) AS BIGINT) AS mentions FROM top GROUP BY name
-ORDER BY mentions DESC, min(ascii(cluster_id) * 100 + rank) LIMIT 8"""))
+SELECT benchmark, mentions, row_number() OVER (ORDER BY mentions DESC, first) AS position
+FROM (SELECT name AS benchmark, CAST(sum(n) AS BIGINT) AS mentions, min(ascii(cluster_id) * 100 + rank) AS first FROM top GROUP BY name)"""))
 def g2(spark, sf):
-    return G.benchmark_targets(selection(spark, sf), final_mentions(spark, sf)).select("benchmark", "mentions").limit(8)
+    targets = G.benchmark_targets(selection(spark, sf), final_mentions(spark, sf))
+    return G.numbered_targets(targets).select("benchmark", "mentions", "position")
 
 
 CANDIDATES_SQL = """

@@ -8,17 +8,8 @@ from pyspark.sql import functions as F
 NEGATIVES = 5  # per-dataset cap of the registered probe queries
 
 
-# Tables of long texts, with the key which spreads them.
-LONG_TEXTS = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. Long texts held in fewer files than there are cores are spread over them."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in LONG_TEXTS and len(df.inputFiles()) < cores:
-        df = df.repartition(cores, LONG_TEXTS[name])
-    return df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def hidden(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,25 +305,62 @@ SAE_FEATURES, LENS_TOKENS = 16, 8
 
 def sae_encoders(spark: SparkSession, sf: str):
     """Layer 3: sixteen features, thresholds rising from 0; bias .01."""
+    return {("m", 3): _encoder(_vectors(spark, sf, 0, SAE_FEATURES))}
+
+
+def _encoder(vectors):
     import numpy as np
 
     from capsonde.operators.sparse import Encoder
 
-    w = _vectors(spark, sf, 0, SAE_FEATURES).T
-    return {3: Encoder(w, np.full(SAE_FEATURES, 0.01), 0.02 * np.arange(SAE_FEATURES))}
+    return Encoder(vectors.T, np.full(SAE_FEATURES, 0.01), 0.02 * np.arange(SAE_FEATURES))
+
+
+def layered_encoders(spark: SparkSession, sf: str):
+    """As `sae_encoders`, and layer 1 with the first half of the same weights."""
+    w = _vectors(spark, sf, 0, SAE_FEATURES)
+    return {("m", 3): _encoder(w), ("m", 1): _encoder(w[:, :32])}
+
+
+def two_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Layer 3 of model m, and the same states as layer 3 of model n."""
+    own = hidden(spark, sf).filter("layer = 3")
+    return own.unionByName(own.withColumn("tag", F.lit("n")))
+
+
+def two_encoders(spark: SparkSession, sf: str):
+    """Different weights for the same layer of two models."""
+    return {
+        ("m", 3): _encoder(_vectors(spark, sf, 0, SAE_FEATURES)),
+        ("n", 3): _encoder(_vectors(spark, sf, SAE_FEATURES, 2 * SAE_FEATURES)),
+    }
 
 
 def lens(spark: SparkSession, sf: str):
-    """Layer 3: a 64 x 64 transport, eight tokens, a zero-centred norm and a soft cap."""
+    """Layer 3 of model m: a 64 x 64 transport, eight tokens, a zero-centred norm and a soft cap."""
     import numpy as np
 
     from capsonde.operators.lens import Lens
 
     v = _vectors(spark, sf, 0, 64 + LENS_TOKENS + 1)
-    return Lens(
+    return {"m": Lens(
         jacobians={3: v[:64]}, unembed=v[64:72], token_ids=[100 + i for i in range(LENS_TOKENS)],
         norm_weight=np.abs(v[72]), eps=1e-6, softcap=30.0, zero_centered=True,
+    )}
+
+
+def two_lenses(spark: SparkSession, sf: str):
+    """The lens of `lens`, and one with other matrices, norm and no soft cap for model n."""
+    import numpy as np
+
+    from capsonde.operators.lens import Lens
+
+    v = _vectors(spark, sf, 0, 64 + LENS_TOKENS + 1)
+    other = Lens(
+        jacobians={3: v[:64].T.copy()}, unembed=v[64:72], token_ids=[100 + i for i in range(LENS_TOKENS)],
+        norm_weight=np.ones(64), eps=1e-6,
     )
+    return lens(spark, sf) | {"n": other}
 
 
 def lens_candidates(spark: SparkSession, sf: str) -> DataFrame:

@@ -369,14 +369,16 @@ def j4(spark, sf):
     return sizes.groupBy().pivot("output", outputs).agg(F.count(F.lit(1)))
 
 
-@query("g1_final_order", with_ctes(JUDGED, RAW, USABLE, body="""
-SELECT name AS ability_name, count(DISTINCT source_cluster_id) AS source_cluster_count
-FROM usable GROUP BY name ORDER BY source_cluster_count DESC, ability_name LIMIT 10"""))
+@query("g1_final_order", with_ctes(JUDGED, RAW, USABLE, FIELD_VALUES, body="""
+SELECT ability_name, representation_family, source_cluster_count,
+       row_number() OVER (ORDER BY representation_family, source_cluster_count DESC, display_name, ability_name) AS position
+FROM (SELECT u.name AS ability_name, count(DISTINCT source_cluster_id) AS source_cluster_count,
+             (SELECT value FROM ranked_values v WHERE v.ability_name = u.name AND field = 'display_name' AND rank = 1) AS display_name,
+             (SELECT value FROM ranked_values v WHERE v.ability_name = u.name AND field = 'representation_family' AND rank = 1) AS representation_family
+      FROM usable u GROUP BY u.name)"""))
 def g1(spark, sf):
     final = refinement.refine(I.judge_results(spark, sf)).final_abilities
-    return final.select("ability_name", "source_cluster_count").orderBy(
-        F.col("source_cluster_count").desc(), "ability_name"
-    ).limit(10)
+    return A.numbered_final(final).select("ability_name", "representation_family", "source_cluster_count", "position")
 
 
 @query("g4_pilot_limit", "SELECT n_nationkey AS pos, 'Brand#' || (n_nationkey + 5) AS cluster_id FROM nation ORDER BY n_nationkey LIMIT 5")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from capsonde.operators import directions as D
@@ -10,6 +12,7 @@ from capsonde.operators import linear_probes as M
 from capsonde.operators import lobo as L
 from capsonde.operators import pooled as O
 from capsonde.operators import reports as R
+from capsonde.operators import sampling as S
 from capsonde.operators import selection as X
 from capsonde.operators import sparse as Z
 from workload import inputs as I
@@ -165,6 +168,76 @@ def f18(spark, sf):
     return L.fold_summary(out).drop("tag", "layer")
 
 
+@query("f12_two_models", """
+SELECT tag, uid, feature, round(CASE WHEN pre > 0.02 * feature THEN pre ELSE 0 END, 6) AS z
+FROM (SELECT tag, CAST(e.vec_id AS VARCHAR) AS uid, CAST(w.vec_id - base AS INTEGER) AS feature,
+             list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])) + 0.01 AS pre
+      FROM embeddings e CROSS JOIN (VALUES ('m', 0), ('n', 16)) t(tag, base)
+      JOIN embeddings w ON w.vec_id >= base AND w.vec_id < base + 16)
+WHERE pre > 0.02 * feature AND pre > 0""")
+def f12_two_models(spark, sf):
+    encoded = Z.encode(I.two_models(spark, sf), I.two_encoders(spark, sf))
+    flat = encoded.select("tag", "uid", F.inline(F.arrays_zip("features", "values")))
+    return rounded(flat.select("tag", "uid", F.col("features").alias("feature"), F.col("values").alias("z")), "z")
+
+
+@query("f16_two_models", with_ctes(LENS, """
+turned AS (
+  SELECT CAST(e.vec_id AS VARCHAR) AS uid, i,
+         sum(CAST(e.embedding[j.vec_id + 1] AS DOUBLE) * CAST(j.embedding[i] AS DOUBLE)) AS m
+  FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 64) j CROSS JOIN range(1, 65) r(i)
+  GROUP BY ALL),
+plain AS (SELECT uid, i, m / sqrt(avg(m * m) OVER (PARTITION BY uid) + 1e-6) AS m FROM turned)""", body="""
+SELECT 'm' AS tag, uid, feature AS token_id, round(s, 6) + 0 AS score FROM enc
+UNION ALL
+SELECT 'n', uid, CAST(t.vec_id - 64 + 100 AS INTEGER), round(sum(m * CAST(t.embedding[i] AS DOUBLE)), 6) + 0
+FROM plain CROSS JOIN (SELECT * FROM embeddings WHERE vec_id BETWEEN 64 AND 71) t GROUP BY uid, t.vec_id"""))
+def f16_two_models(spark, sf):
+    scored = N.token_scores(I.two_models(spark, sf), I.two_lenses(spark, sf))
+    flat = scored.select("tag", "uid", F.inline(F.arrays_zip("features", "values")))
+    return rounded(flat.select("tag", "uid", F.col("features").alias("token_id"), F.col("values").alias("score")), "score")
+
+
+def at_layer(sql: str, layer: int) -> str:
+    """The same tables for another layer, under names of their own."""
+    return re.sub(r"\b(enc|train_pairs|best|held_out)\b", rf"\1_{layer}", sql)
+
+
+FIRST_HALF = ENCODED.replace("e.embedding AS", "e.embedding[1:32] AS").replace("w.embedding AS", "w.embedding[1:32] AS")
+LAYERED = (
+    *SAMPLED,
+    *[at_layer(c, 1) for c in (FIRST_HALF, sql_train(), SAE_BEST, HELD_OUT)],
+    *[at_layer(c, 3) for c in (ENCODED, sql_train(), SAE_BEST, HELD_OUT)],
+    """
+chosen AS (SELECT CAST(1 AS INTEGER) AS layer, * FROM held_out_1 UNION ALL SELECT 3, * FROM held_out_3),
+cells AS (
+  SELECT layer, cluster_id, CAST(round_even(median(auc), 3) AS DOUBLE) AS auc FROM chosen GROUP BY ALL),
+layers AS (
+  SELECT layer, count(*) AS n, avg(auc) AS mean, median(auc) AS median, count(*) FILTER (WHERE auc >= 0.8) AS strong
+  FROM cells GROUP BY layer),
+top AS (SELECT layer FROM layers ORDER BY mean DESC, layer LIMIT 1)""",
+)
+
+
+def layered_report(spark, sf):
+    p, rows = roles(spark, sf)
+    folds = Z.sparse_lobo(rows, I.layered_encoders(spark, sf), p.folds, p.split)
+    return X.feature_report(folds, "sae")
+
+
+@query("f15_layers", with_ctes(*LAYERED, body="""
+SELECT layer, 'sae' AS method, n, round(mean, 6) AS mean, round(median, 6) AS median, strong,
+       layer = (SELECT layer FROM top) AS best FROM layers"""))
+def f15_layers(spark, sf):
+    return rounded(layered_report(spark, sf).layers.drop("tag"), "mean", "median")
+
+
+@query("f15_chosen_features", with_ctes(*LAYERED, body="""
+SELECT layer, cluster_id, hold, feature, sign, round(auc, 6) AS auc FROM chosen WHERE layer = (SELECT layer FROM top)"""))
+def f15_chosen(spark, sf):
+    return rounded(layered_report(spark, sf).chosen.drop("tag", "train_auc"), "auc")
+
+
 VOCABULARY = """
 words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part),
 names AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part),
@@ -213,8 +286,30 @@ def d17(spark, sf):
 
 def cells(spark, sf, *methods):
     p = protocol(spark, sf, "lobo")
-    scaling = D.standardiser(p.moments)
-    return M.lobo_methods(p.rows, scaling, p.folds, p.split, methods or M.METHODS)
+    return M.lobo_methods(p, D.standardiser(p.moments), methods or M.METHODS)
+
+
+def fitted(spark, sf, method):
+    """Folds with the rows of their fit, and whether it solves its method's equations."""
+    p = protocol(spark, sf, "lobo")
+    directions, _ = M.method_directions(p, D.standardiser(p.moments), (method,))
+    return directions.select("layer", "cluster_id", "hold", "n_fit", (F.col("residual") < 1e-7).alias("solved"))
+
+
+FITTED = with_ctes(*Q.LOBO, body="""
+SELECT layer, f.cluster_id, f.hold, n_train + n_neg AS n_fit, true AS solved
+FROM folds f JOIN (SELECT cluster_id, count(*) AS n_neg FROM split WHERE part = 'train' GROUP BY cluster_id) USING (cluster_id)
+CROSS JOIN (SELECT DISTINCT layer FROM hidden)""")
+
+
+@query("f7_pca_solved", FITTED)
+def f7_solved(spark, sf):
+    return fitted(spark, sf, "pca")
+
+
+@query("f8_logistic_solved", FITTED)
+def f8_solved(spark, sf):
+    return fitted(spark, sf, "lr")
 
 
 @query("f7_lobo_pca")
@@ -235,10 +330,9 @@ def f19_diff_mean(spark, sf):
 
 @query("f19_method_comparison")
 def f19(spark, sf):
-    medians = cells(spark, sf).groupBy("tag", "layer", "cluster_id", "method").agg(
-        F.round(F.median("auc"), 3).alias("auc")
-    )
-    return R.wide_methods(medians).drop("tag")
+    p = protocol(spark, sf, "lobo")
+    cells_ = M.lobo_methods(p, D.standardiser(p.moments))
+    return M.method_comparison(cells_, S.dataset_counts(p.texts)).drop("tag")
 
 
 @query("i1_pooled_vectors", with_ctes(Q.TEXTS, Q.MEMBERS, Q.HIDDEN, Q.LONG, body="""
@@ -246,7 +340,7 @@ SELECT layer, cluster_id, CAST(i - 1 AS INTEGER) AS dim, round(avg(m), 6) + 0 AS
   SELECT layer, cluster_id, dataset_id, i, avg(x) AS m FROM members JOIN long USING (uid) GROUP BY ALL)
 GROUP BY layer, cluster_id, i"""))
 def i1(spark, sf):
-    pooled = O.pooled_vectors(I.hidden(spark, sf), I.probe_texts(spark, sf))
+    pooled = O.pooled_vectors(protocol(spark, sf, "lobo").moments)
     return rounded(
         pooled.select("layer", "cluster_id", F.posexplode("pooled").alias("dim", "pooled")), "pooled"
     )
@@ -254,8 +348,36 @@ def i1(spark, sf):
 
 @query("i2_silhouette_sweep")
 def i2(spark, sf):
-    pooled = O.pooled_vectors(I.hidden(spark, sf), I.probe_texts(spark, sf))
-    return O.silhouette_sweep(pooled.filter("layer = 3"), range(2, 6))
+    pooled = O.pooled_vectors(protocol(spark, sf, "lobo").moments)
+    return rounded(O.silhouette_sweep(pooled), "silhouette").drop("tag")
+
+
+SILHOUETTE = """
+pooled AS (
+  SELECT layer, cluster_id, ascii(cluster_id[-1:]) % 3 AS lab, i, avg(m) AS p FROM (
+    SELECT layer, cluster_id, dataset_id, i, avg(x) AS m FROM members JOIN long USING (uid) GROUP BY ALL)
+  GROUP BY layer, cluster_id, i),
+gaps AS (
+  SELECT a.layer, a.cluster_id, a.lab, b.lab AS other, b.cluster_id AS b, sum((a.p - b.p) * (a.p - b.p)) AS d
+  FROM pooled a JOIN pooled b USING (layer, i) GROUP BY a.layer, a.cluster_id, a.lab, b.lab, b.cluster_id),
+means AS (
+  SELECT layer, cluster_id, lab, other, count(*) AS n,
+         sum(d) / CASE WHEN lab = other THEN greatest(count(*) - 1, 1) ELSE count(*) END AS m
+  FROM gaps GROUP BY layer, cluster_id, lab, other),
+points AS (
+  SELECT layer, cluster_id, max(n) FILTER (WHERE lab = other) AS n, max(m) FILTER (WHERE lab = other) AS own,
+         min(m) FILTER (WHERE lab <> other) AS near
+  FROM means GROUP BY layer, cluster_id)
+"""
+
+
+@query("i2_silhouette", with_ctes(Q.TEXTS, Q.MEMBERS, Q.HIDDEN, Q.LONG, SILHOUETTE, body="""
+SELECT layer, round(avg(CASE WHEN n > 1 THEN (near - own) / greatest(near, own) ELSE 0 END), 6) AS silhouette
+FROM points GROUP BY layer"""))
+def i2_silhouette(spark, sf):
+    pooled = O.pooled_vectors(protocol(spark, sf, "lobo").moments)
+    labelled = pooled.withColumn("lab", F.ascii(F.right("cluster_id", F.lit(1))) % 3)
+    return rounded(O.silhouette(labelled, "lab"), "silhouette").drop("tag")
 
 
 @query("i3_adjusted_rand", """

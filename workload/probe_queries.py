@@ -66,11 +66,10 @@ def a5(spark, sf):
 SELECT layer, count(*) AS dropped FROM hidden
 WHERE uid NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) GROUP BY ALL"""))
 def c1_dropped(spark, sf):
+    from capsonde.sources.hidden import dropped_hidden
+
     texts = I.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("uid"))
-    return (
-        I.hidden(spark, sf).join(texts, "uid", "left_anti")
-        .groupBy("layer").agg(F.count(F.lit(1)).alias("dropped"))
-    )
+    return dropped_hidden(I.hidden(spark, sf), texts).drop("tag")
 
 
 @query("c7_negative_candidates", with_ctes(Q.TEXTS, Q.MEMBERS, Q.CANDIDATES, body="""
@@ -134,15 +133,11 @@ def d18(spark, sf):
 SELECT layer, cluster_id, CAST(i - 1 AS INTEGER) AS dim, round(avg(x), 6) AS mean
 FROM members JOIN long USING (uid) GROUP BY layer, cluster_id, i"""))
 def d9(spark, sf):
-    from capsonde.functions.vectors import vector_mean
+    from capsonde.operators.pooled import member_means
 
-    texts = I.probe_texts(spark, sf)
-    joined = I.hidden(spark, sf).join(S.members(texts), "uid")
-    means = joined.groupBy("layer", "cluster_id").agg(
-        vector_mean(F.col("h").cast("array<double>")).alias("m")
-    )
+    means = member_means(protocol(spark, sf, "lobo").moments)
     return rounded(
-        means.select("layer", "cluster_id", F.posexplode("m").alias("dim", "mean")), "mean"
+        means.select("layer", "cluster_id", F.posexplode("mean").alias("dim", "mean")), "mean"
     )
 
 
@@ -265,6 +260,19 @@ def e13(spark, sf):
     return L.spec_rank(matrix).drop("tag")
 
 
+@query("d15_spec_first", with_ctes(*Q.LOBO, Q.SPEC, body="""
+SELECT layer, count(*) AS n_lobo, count(*) FILTER (WHERE spec_rank = 1) AS spec_first
+FROM (SELECT o.layer, o.cluster_id, count(*) AS spec_rank
+      FROM matrix o JOIN matrix m ON m.layer = o.layer AND m.direction = o.direction AND m.z_mean >= o.z_mean
+      WHERE o.cluster_id = o.direction GROUP BY ALL)
+JOIN (SELECT DISTINCT layer, cluster_id FROM lobo_auc WHERE auc IS NOT NULL) USING (layer, cluster_id) GROUP BY layer"""))
+def d15_spec(spark, sf):
+    p = protocol(spark, sf, "lobo", "spec")
+    ranks = L.spec_rank(materialize(L.transfer_matrix(p)))
+    summary = L.fold_summary(L.lobo_folds(p)).join(ranks, ["tag", "layer", "cluster_id"], "left")
+    return R.tier_counts(summary).select("layer", "n_lobo", "spec_first")
+
+
 @query("f10_length_confound", with_ctes(*Q.BASE, Q.NEG_MEAN, Q.FULL_DIR, Q.FULL_SCORE, body="""
 SELECT layer, cluster_id, round(abs(corr(a, b)), 6) AS len_r, count(*) AS n_neg FROM (
   SELECT layer, cluster_id,

@@ -174,11 +174,11 @@ def i7(spark, sf):
 
 
 @query("g3_report_order", with_ctes(RESULTS, body="""
-SELECT cluster_id, tag, layer, lr FROM results
-ORDER BY coalesce(lr, 0) DESC, cluster_id, tag, layer LIMIT 40"""))
+SELECT cluster_id, tag, layer, lr,
+       row_number() OVER (ORDER BY coalesce(lr, 0) DESC, cluster_id, tag, layer) AS position FROM results"""))
 def g3(spark, sf):
     r = I.method_results(spark, sf).select("cluster_id", "tag", "layer", "lr")
-    return r.orderBy(F.coalesce("lr", F.lit(0.0)).desc(), "cluster_id", "tag", "layer").limit(40)
+    return R.numbered_by_score(r, "lr", "cluster_id", "tag", "layer")
 
 
 @query("c5_results_with_taxonomy", with_ctes(RESULTS, body="""
