@@ -27,6 +27,7 @@ SHINGLE = 5
 PERCENT = 80
 UNIT = 2 << 20  # n-grams that a task holds before it sends them off
 FRAGMENT = 3 << 19  # n-grams in one fragment, about
+LEAST_FRAGMENTS = 64
 PIECES = 8  # parts that a pair's overlap is counted in
 
 
@@ -276,7 +277,7 @@ def similarity_components(
     """
     classed = stored(with_classes(docs, shingle, text), "classes")
     total = classed.agg(F.sum("n_shingles")).first()[0] or 0
-    fragments = max(1, -(-total // FRAGMENT))
+    fragments = max(LEAST_FRAGMENTS, -(-total // FRAGMENT))
     shared = stored(shared_grams(fragment_rows(docs, shingle, fragments, text)), "shared-grams")
     roots = link_classes(shared, percent)
     least = classed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
