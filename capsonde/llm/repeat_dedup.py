@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.llm import tokens as W
-from capsonde.llm.seeds import Windows, all_duplicate_spans, byte_units, content_hashes, identified
+from capsonde.llm.seeds import Windows, byte_units, content_hashes, with_duplicate_spans
 
 SIZE = 100
 GRAM = 32
@@ -117,9 +117,8 @@ def duplicate_bytes(docs: DataFrame, size: int = SIZE, text: str = "text") -> Da
     other. A null doc_id is larger than every other. An empty table stays empty; other columns are
     kept, one called dup_spans is replaced.
     """
-    keyed = identified(docs.drop("dup_spans"), text)
-    spans = all_duplicate_spans(keyed, Windows(size, min(GRAM, size), byte_units, True), parse_block(size), text)
-    return keyed.join(spans, ["__doc", "__hash"], "left").withColumnRenamed("__spans", "dup_spans").drop("__doc", "__hash")
+    windows = Windows(size, min(GRAM, size), byte_units, True, F.octet_length)
+    return with_duplicate_spans(docs, windows, parse_block(size), text)
 
 
 def without_spans(found: DataFrame, text: str = "text") -> DataFrame:

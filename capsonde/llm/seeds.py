@@ -2,8 +2,9 @@
 
 A window is n consecutive symbols of one text. Its key is the least hash of the k-grams in it, so
 equal windows have equal keys, and neighbouring windows mostly share one: a text becomes runs of
-windows with one key. Keys that stand in one place only are found by counting keys alone and drop
-out; the other runs are sent, by key, as segments. Wherever equal windows meet is thereby one
+windows with one key. Whole copies of a text are known from its hash and go no further. Keys that
+stand in one place only are found by counting keys alone and drop out; the other runs are sent, by
+key, as segments. Wherever equal windows meet is thereby one
 group, and copies of a whole segment that a task already holds are sent as places without content.
 """
 
@@ -14,15 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.llm import tokens as W
 from capsonde.llm.jaccard_join import planes, unplanes
 from capsonde.llm.storage import stored
 
+WHOLE = -1  # end of a span that goes to the text's end
 LAST = (1 << 63) - 1  # stands for a null doc_id: later than every other
 FRAGMENT_BYTES = 32 << 20  # of text behind one fragment of keys
+LEAST_FRAGMENTS = 64
 UNIT = 1 << 20  # runs that a task holds before it sends their keys off
 HELD_BYTES = 4 << 20  # of segments that a task holds, to find copies or to parse
 
@@ -42,6 +45,7 @@ class Windows:
     gram: int
     parse: Callable[[pa.Array, int], Units]
     within: bool  # whether repeats inside one document count
+    length: Callable[[Column], Column]  # symbols of a text
 
 
 def word_units(column: pa.Array, size: int) -> Units:
@@ -156,7 +160,10 @@ def spread(key: np.ndarray) -> np.ndarray:
 
 
 def repeated_keys(rows: DataFrame, within: bool) -> DataFrame:
-    """(__doc, __hash, keys): of every document the keys which stand in more than one place."""
+    """(__doc, __hash, __keys): of every document the keys which stand in more than one place.
+
+    Of documents with one text only the first counts and is listed (see `whole_copies`).
+    """
 
     def run(table: pa.Table) -> pa.Table:
         keys, docs, hashes = [], [], []
@@ -166,6 +173,12 @@ def repeated_keys(rows: DataFrame, within: bool) -> DataFrame:
             docs.append(np.frombuffer(r["docs"], np.int64)[member])
             hashes.append(np.frombuffer(r["hashes"], np.int64)[member])
         keys, docs, hashes = map(np.concatenate, (keys, docs, hashes))
+        order = np.lexsort((docs, hashes, keys))
+        keys, docs, hashes = keys[order], docs[order], hashes[order]
+        text = np.ones(len(keys), bool)
+        text[1:] = (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])
+        first = docs == docs[np.flatnonzero(text)][np.cumsum(text) - 1]
+        keys, docs, hashes = keys[first], docs[first], hashes[first]
         order = np.lexsort((docs, keys))
         keys, docs, hashes = keys[order], docs[order], hashes[order]
         same = keys[1:] == keys[:-1]
@@ -185,10 +198,18 @@ def repeated_keys(rows: DataFrame, within: bool) -> DataFrame:
         first = np.flatnonzero(new)
         offsets = pa.array(np.append(first, len(keys)).astype(np.int32))
         return pa.table({"__doc": docs[first], "__hash": hashes[first],
-                         "keys": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))})
+                         "__keys": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))})
+
+    per_fragment = rows.groupBy("fragment").applyInArrow(run, "__doc long, __hash long, __keys array<long>")
+    return per_fragment.groupBy("__doc", "__hash").agg(F.flatten(F.collect_list("__keys")).alias("__keys"))
+
 
-    per_fragment = rows.groupBy("fragment").applyInArrow(run, "__doc long, __hash long, keys array<long>")
-    return per_fragment.groupBy("__doc", "__hash").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(__doc, __hash) of documents whose whole text an earlier one has."""
+    texts = docs.select("__doc", "__hash")
+    first = texts.groupBy("__hash").agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last"))
+    first = first.where("__first < __last").drop("__last")
+    return texts.join(first, "__hash").where("__doc > __first").select("__doc", "__hash").distinct()
 
 
 SEGMENT = "key long, __doc long, __hash long, start int, end int, content binary"
@@ -203,7 +224,7 @@ def segments(docs: DataFrame, repeated: DataFrame, windows: Windows, text: str)
         units = windows.parse(batch.column(text), windows.size)
         starts, ends, key, of, _ = runs(units, windows.size, windows.gram)
         key = spread(key)
-        lists = batch.column("keys")
+        lists = batch.column("__keys")
         owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         known = W.mix(lists.flatten().to_numpy().view(np.uint64) + W.mix(owner.astype(np.uint64)))
         kept = np.isin(W.mix(key + W.mix(of.astype(np.uint64))), known)
@@ -237,8 +258,8 @@ def segments(docs: DataFrame, repeated: DataFrame, windows: Windows, text: str)
         if held:
             yield without_copies(held)
 
-    on = ["__doc", "__hash"]
-    return docs.select("__doc", "__hash", text).join(repeated, on).select("__doc", "__hash", text, "keys").mapInArrow(run, SEGMENT)
+    # All columns go along: the exchange of documents is then the one that their result joins.
+    return docs.join(repeated, ["__doc", "__hash"]).mapInArrow(run, SEGMENT)
 
 
 def content_hashes(content: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,10 +340,19 @@ def duplicate_spans(rows: DataFrame, windows: Windows, parse: Parser) -> DataFra
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
 
 
-def all_duplicate_spans(docs: DataFrame, windows: Windows, parse: Parser, text: str) -> DataFrame:
-    """(__doc, __hash, spans) of documents with windows that start earlier; docs is `identified`."""
+def with_duplicate_spans(docs: DataFrame, windows: Windows, parse: Parser, text: str) -> DataFrame:
+    """docs with dup_spans: not yet merged runs of symbols in windows that start earlier; else null."""
+    docs = identified(docs.drop("dup_spans"), text)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    fragments = max(1, -(-size // FRAGMENT_BYTES))
+    fragments = max(LEAST_FRAGMENTS, -(-size // FRAGMENT_BYTES))
     repeated = stored(repeated_keys(key_rows(docs, windows, fragments, text), windows.within), "repeated-keys")
     spans = duplicate_spans(segments(docs, repeated, windows, text), windows, parse)
-    return spans.groupBy("__doc", "__hash").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    whole = whole_copies(docs).select("__doc", "__hash", F.lit(0).alias("start"), F.lit(WHOLE).alias("end"))
+    # Rows are dealt out before they are put in lists: a list of one takes twice the room.
+    dealt = spans.unionByName(whole).repartition("__doc", "__hash")
+    listed = dealt.groupBy("__doc", "__hash").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    n = windows.length(F.col(text)).cast("int")
+    resolved = F.filter(
+        F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), F.when(s["end"] == WHOLE, n).otherwise(s["end"]).alias("end"))),
+        lambda s: s["end"] - s["start"] >= windows.size)
+    return docs.join(listed, ["__doc", "__hash"], "left").withColumn("dup_spans", resolved).drop("__doc", "__hash", "__spans")

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.llm import tokens as W
-from capsonde.llm.seeds import Windows, all_duplicate_spans, content_hashes, identified, word_units
+from capsonde.llm.seeds import Windows, content_hashes, with_duplicate_spans, word_units
 
 WINDOW = 13
 GRAM = 4
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def parse_block(size: int):
@@ -78,9 +79,8 @@ def duplicate_words(docs: DataFrame, size: int = WINDOW, text: str = "text") ->
     share a doc_id don't count against each other; a null doc_id is larger than every other. An
     empty table stays empty; other columns are kept, one called dup_spans is replaced.
     """
-    keyed = identified(docs.drop("dup_spans"), text)
-    spans = all_duplicate_spans(keyed, Windows(size, GRAM, word_units, False), parse_block(size), text)
-    return keyed.join(spans, ["__doc", "__hash"], "left").withColumnRenamed("__spans", "dup_spans").drop("__doc", "__hash")
+    windows = Windows(size, GRAM, word_units, False, lambda t: F.regexp_count(t, F.lit(WORD)))
+    return with_duplicate_spans(docs, windows, parse_block(size), text)
 
 
 def without_spans(found: DataFrame, text: str = "text") -> DataFrame:
