@@ -35,18 +35,19 @@ class Vocabulary:
     longest: int
     texts: list[bytes]
 
-    def tables(self) -> list[np.ndarray]:
-        """Lookup tables from a hash's slot to a piece; those which collide go to the next table."""
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Lookup tables from a hash's slot to a piece; where pieces collide, all but one go to the
+        next table, and the slot is marked."""
         if not hasattr(self, "_tables"):
-            left, tables, shift = np.arange(len(self.hashes)), [], 64
+            left, tables = np.arange(len(self.hashes)), []
             while len(left):
-                shift -= SLOTS if shift - SLOTS >= 0 else 0
                 slot = self._slot(self.hashes[left], len(tables))
                 _, first = np.unique(slot, return_index=True)
-                table = np.full(1 << SLOTS, -1, np.int64)
+                table, more = np.full(1 << SLOTS, -1, np.int32), np.zeros(1 << SLOTS, bool)
                 table[slot[first]] = left[first]
-                tables.append(table)
-                left = np.delete(left, first)
+                left, slot = np.delete(left, first), np.delete(slot, first)
+                more[slot] = True
+                tables.append((table, more))
             self._tables = tables
         return self._tables
 
@@ -57,9 +58,14 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The piece with each hash, or -1."""
         out = np.full(len(hashes), -1, np.int64)
-        for number, table in enumerate(self.tables()):
-            at = table[self._slot(hashes, number)]
-            out = np.where((at >= 0) & (self.hashes[at] == hashes), at, out)
+        open_ = np.arange(len(hashes))
+        for number, (table, more) in enumerate(self.tables()):
+            slot = self._slot(hashes[open_], number)
+            at = table[slot]
+            known = np.flatnonzero(at >= 0)
+            same = known[self.hashes[at[known]] == hashes[open_[known]]]
+            out[open_[same]] = at[same]
+            open_ = open_[more[slot]]
         return out
 
 
@@ -88,7 +94,7 @@ def load_vocabulary(path: str) -> Vocabulary:
     hashes = []
     for _, piece in plain:
         symbols = char_symbols(np.array([ord(c) for c in piece]))
-        hashes.append(W.run_hashes(W.prefix_sums(symbols), np.array([0]), np.array([len(piece)]))[0])
+        hashes.append(W.prefix_sums(symbols)[-1])
     return Vocabulary(
         np.array([i for i, _ in plain]), weight - log_z, np.array(hashes, np.uint64), bytes_,
         float(weight.min() - log_z), max(len(p) for _, p in plain), texts,
@@ -126,27 +132,41 @@ def build(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocabulary
     width = vocabulary.longest
     pieces = np.full((total, width), -1, np.int32)
     log_probs = np.full((total, width), -np.inf, np.float32)
+    edge = np.zeros((total, width), np.uint8)
     sums = W.prefix_sums(char_symbols(np.maximum(text, 0)))
-    for n in range(1, width + 1):
-        at = np.flatnonzero(left >= n)
-        found = vocabulary.find(W.run_hashes(sums, at, at + n))
+    back = W.powers(len(sums))[1][:total]
+    for n in range(1, min(width, total - 1) + 1):
+        at = np.flatnonzero(left[: total - n] >= n)
+        found = vocabulary.find(((sums[n:-1] - sums[: -n - 1]) * back[: total - n])[at])
         hit = found >= 0
-        pieces[at[hit], n - 1] = vocabulary.ids[found[hit]]
-        log_probs[at[hit], n - 1] = smoothing * vocabulary.log_probs[found[hit]]
+        at, found = at[hit], found[hit]
+        pieces[at, n - 1] = vocabulary.ids[found]
+        log_probs[at, n - 1] = smoothing * vocabulary.log_probs[found]
+        edge[at, n - 1] = 1
     alone = np.flatnonzero((left > 0) & (pieces[:, 0] < 0))
     actual = np.where(text[alone] == LITERAL, META, text[alone])
     pieces[alone, 0] = FALLBACK + actual
     log_probs[alone, 0] = smoothing * vocabulary.byte_log_prob * utf8_lengths(actual)
-    beta = np.zeros(total)
+    edge[alone, 0] = 1
+    # Edges in the order of what is left behind their place: a place's beta needs shorter rests only.
     order = np.argsort(left, kind="stable")
+    row, column = np.divmod(np.flatnonzero(edge[order]), width)
+    place = order[row]
+    target, weight = place + column + 1, log_probs[place, column].astype(np.float64)
+    beta = np.zeros(total)
     cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-    for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
-        at, k = order[a:b], min(n, width)
-        ways = log_probs[at, :k] + beta[at[:, None] + np.arange(1, k + 1)]
-        top = ways.max(1)
-        beta[at] = top + np.log(np.exp(ways - top[:, None]).sum(1))
-    ahead = beta[np.minimum(np.arange(total)[:, None] + np.arange(1, width + 1), total - 1)] if total else beta.reshape(0, 1)
-    chosen = np.cumsum(np.exp(log_probs + ahead - beta[:, None]), 1, dtype=np.float32)
+    edges = np.searchsorted(row, np.arange(total + 1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            continue
+        e = slice(edges[a], edges[b])
+        ways, starts = weight[e] + beta[target[e]], edges[a:b] - edges[a]
+        top = np.maximum.reduceat(ways, starts)
+        ways -= np.repeat(top, np.diff(edges[a : b + 1]))
+        beta[order[a:b]] = top + np.log(np.add.reduceat(np.exp(ways), starts))
+    chosen = np.zeros((total, width), np.float32)
+    chosen[place, column] = np.exp(weight + beta[target] - beta[place])
+    np.cumsum(chosen, axis=1, out=chosen)
     return Lattice(first, text, pieces, log_probs, beta, chosen)
 
 

@@ -26,7 +26,7 @@ from capsonde.llm import tokens as W
 
 SAMPLES = 2
 SMOOTHING = 0.5  # log-probabilities are multiplied by it: below 1, samples differ more
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 3 << 19
 SAMPLE = "array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
 
 
@@ -40,7 +40,7 @@ def uniform(seed: np.ndarray, *parts) -> np.ndarray:
 def left_over(log_p: np.ndarray) -> np.ndarray:
     """log(1 - exp(log_p))."""
     with np.errstate(divide="ignore"):
-        return np.where(log_p > -0.7, np.log(-np.expm1(log_p)), np.log1p(-np.exp(log_p)))
+        return np.log(-np.expm1(log_p))
 
 
 def below(limit: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ class Search:
         open_ = ~self.lat.ended(at)
         row, at = row[open_], at[open_]
         while len(row):
-            u = uniform(seed[row], inside[row], step * 64 + round_).astype(np.float32)
+            u = uniform(seed[row], inside[row] << 32 | step << 8 | round_).astype(np.float32)
             table = self.lat.chosen[at]
             column = (table < (u * table[:, -1])[:, None]).sum(1)
             got.append((row, np.full(len(row), step), at, column))
@@ -114,7 +114,7 @@ class Search:
         new["taken"] = 1 << new["column"]
         place_in = np.arange(total) - begin[owner]
         fresh = place_in >= (kept + has)[owner]
-        u = uniform(self.seeds[texts][owner], place_in, np.full(total, 1 << 40 | round_))
+        u = uniform(self.seeds[texts][owner], place_in | 1 << 62 | round_ << 48)
         node = below(limit[owner], new["before"] + left_over(step), u)
         new["node"] = np.where(fresh & np.isfinite(node), node, -np.inf)
         base = len(self.pool["place"])
@@ -223,7 +223,7 @@ def encode(
     inclusion score. Every sample decodes to the text exactly. Null is encoded as the empty text,
     which has one segmentation: the lone word start. Texts with fewer than k segmentations give all,
     with scores of 1. Noise depends on the key column and the text's places only: rows that agree in
-    both have equal samples; a null key is a key of its own. An empty table stays empty; other
+    both have equal samples (scores up to rounding); a null key is a key of its own. An empty table stays empty; other
     columns are kept, one called samples is replaced. The model is read on the driver.
     """
     vocabulary = L.load_vocabulary(model_path)
