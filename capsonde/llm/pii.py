@@ -16,8 +16,8 @@ from capsonde.llm.storage import stored
 
 # Forms of address and given names by gender, and the letters of scripts.
 ADDRESS = {
-    "m": "Mr Sir Herr Monsieur Señor Sr Signor Г-н Господин".split(),
-    "f": "Mrs Ms Miss Madam Frau Madame Mme Señora Sra Signora Г-жа Госпожа".split(),
+    "m": "Mr Sir Herr Monsieur Señor Sr Signor Г-н г-н Господин господин".split(),
+    "f": "Mrs Ms Miss Madam Frau Madame Mme Señora Sra Signora Г-жа г-жа Госпожа госпожа".split(),
 }
 GIVEN = {
     "m_latin": "James John Robert Michael William David Richard Thomas Charles Daniel Hans Karl Jürgen Pierre Jean "
