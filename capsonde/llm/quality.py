@@ -107,10 +107,10 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     bucket, first = buckets_of(W.texts_of(column))
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(first) - 1
-    counts = np.bincount(of * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
+    counts = np.bincount(of * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float64)
     total = np.diff(first)
     mean = counts @ vectors / np.maximum(total, 1)[:, None]
-    return np.concatenate([mean, np.log1p(total)[:, None]], 1).astype(np.float32)
+    return np.concatenate([mean, np.log1p(total)[:, None]], 1)
 
 
 class Network:
@@ -172,13 +172,13 @@ def fit(docs: DataFrame, labelled: DataFrame, vectors: np.ndarray, rows: int = F
         for batch in W.chunks(batches, text):
             x = pooled(batch.column(text), vectors)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["label"], pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "label", "x"]
+                [batch["doc_id"], batch["label"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"]
             )
 
     # rows ids at most: a table of known size
     sample = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select(
         F.col("doc_id").cast("long"), F.col("label").cast("int"), text
-    ).mapInArrow(run, "doc_id long, label int, x array<float>")
+    ).mapInArrow(run, "doc_id long, label int, x array<double>")
     table = sample.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     if not table.num_rows:
         return Network(np.zeros((0, DIMS + 1)), np.zeros(0))
@@ -190,12 +190,12 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, name: str = "s
     """docs with a column `name`: the calibrated probability of label 1.
 
     It depends on the text alone. Null is scored as the empty text, which has the pooled vector
-    zero; repeated rows get equal scores; a column of that name is replaced.
+    zero; repeated rows get equal scores, to nine places; a column of that name is replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.chunks(batches, text):
-            p = network.probabilities(pooled(batch.column(text), vectors))
+            p = network.probabilities(pooled(batch.column(text), vectors)).round(9)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], schema=batch.schema)
 
     out = docs.drop(name).withColumn(name, F.lit(0.0))

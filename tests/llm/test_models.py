@@ -34,7 +34,7 @@ def test_classifier_on_awkward_rows(spark, awkward, awkward_docs, no_docs):
     by_text = {}
     for r in rows:
         by_text.setdefault(r.text or "", set()).add(r.score)
-    assert all(len(s) == 1 for s in by_text.values())
+    assert all(max(s) - min(s) < 1e-6 for s in by_text.values())
     assert quality.classify(no_docs, labels).count() == 0
     none = quality.classify(awkward_docs, labels.where("false")).select("score").distinct().collect()
     assert [r.score for r in none] == [0.5]
