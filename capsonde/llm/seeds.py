@@ -27,7 +27,8 @@ LAST = (1 << 63) - 1  # stands for a null doc_id: later than every other
 FRAGMENT_BYTES = 32 << 20  # of text behind one fragment of keys
 LEAST_FRAGMENTS = 64
 UNIT = 1 << 20  # runs that a task holds before it sends their keys off
-HELD_BYTES = 4 << 20  # of segments that a task holds, to find copies or to parse
+HELD_BYTES = 2 << 20  # of segments that a task holds to find copies
+PARSED_BYTES = 1 << 20  # of segments parsed together: whole groups, one at least
 
 
 @dataclass
@@ -325,7 +326,7 @@ def duplicate_spans(rows: DataFrame, windows: Windows, parse: Parser) -> DataFra
                 continue
             key = batch.column("key").to_numpy()
             at = 0
-            if n >= HELD_BYTES:
+            if n >= PARSED_BYTES:
                 others = np.flatnonzero(key != last)
                 if len(others):
                     at = int(others[0])
