@@ -4,13 +4,15 @@ A word is predicted from the words on both sides of it, never from itself. Words
 codes of two digits; the network predicts the first digit from its hidden layer, and the second
 from that and the first digit. It is trained in numpy on masked words of all documents: in every
 round each task goes over its own documents from the shared weights, and Spark averages the tasks'
-weights by the words they saw. A document's score is the sum of its words' conditional
-log-probabilities.
+weights by the words they saw. Within its code a word has its share of the code's words: Spark
+counts every distinct word of all documents, and the counts are stored and joined. A document's
+score is the sum of its words' conditional log-probabilities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.llm import tokens as W
+from capsonde.llm.storage import stored
 
 DIGITS = 64  # values of a digit; DIGITS**2 codes
 HIDDEN = 16
@@ -28,6 +31,8 @@ BATCH = 256
 RATE = 0.5
 SEED = 5
 BLANK = 0  # code beyond a text's border
+FREQUENT = 1 << 18  # a word with more than one in so many places is sent to all tasks: fewer words than this
+UNSEEN = -np.log(2.0**64 / (DIGITS * DIGITS - 1))  # an uncounted word: one count, shared by all hashes of its code
 
 
 def start_weights() -> dict[str, np.ndarray]:
@@ -40,6 +45,10 @@ def start_weights() -> dict[str, np.ndarray]:
     }
 
 
+def word_codes(hashes: np.ndarray) -> np.ndarray:
+    return 1 + (hashes % np.uint64(DIGITS * DIGITS - 1)).astype(np.int64)
+
+
 def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word codes with blanks around every text; places, hashes and texts of the words."""
     texts = W.texts_of(column)
@@ -49,10 +58,55 @@ def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     of = words.text_of_word()
     codes = np.full(len(hashes) + REACH * (len(texts) + 1), BLANK, np.int64)
     places = np.arange(len(hashes)) + REACH * (of + 1)
-    codes[places] = 1 + (hashes % np.uint64(DIGITS * DIGITS - 1)).astype(np.int64)
+    codes[places] = word_codes(hashes)
     return codes, places, hashes, of
 
 
+def text_keys(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the words of each of n texts, in order."""
+    first = np.searchsorted(of, np.arange(n + 1))
+    return W.run_hashes(W.prefix_sums(hashes), first[:-1], first[1:])
+
+
+@dataclass
+class WordCounts:
+    """Words of a corpus: all of them in a stored table, the frequent ones and code totals in memory."""
+
+    table: DataFrame  # word (its hash), n
+    totals: np.ndarray  # words of every code
+    frequent: np.ndarray  # sorted hashes
+    logs: np.ndarray  # logarithms of their counts
+
+
+def count_words(docs: DataFrame, text: str = "text") -> WordCounts:
+    """Counts of every distinct word of all documents.
+
+    The table grows with the vocabulary and stays in the shared folder; the driver gets the totals
+    of the codes and fewer than FREQUENT words.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.chunks(batches, text):
+            word, n = np.unique(codes_of(batch.column(text))[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIGITS * DIGITS, np.int64)
+        for batch in batches:
+            np.add.at(total, word_codes(batch["word"].to_numpy().view(np.uint64)), batch["n"].to_numpy())
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["code", "n"])
+
+    table = stored(docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    totals = np.zeros(DIGITS * DIGITS, np.int64)
+    for r in table.mapInArrow(add, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        totals[r.code] = r.n
+    frequent = table.where(F.col("n") > int(totals.sum()) // FREQUENT).toArrow()
+    hashes = frequent["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return WordCounts(table, totals, hashes[order], np.log(frequent["n"].to_numpy()[order]))
+
+
 def context_rows(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Rows of the context table for every place: one for each neighbour and side."""
     steps = np.array([s for s in range(-REACH, REACH + 1) if s])
@@ -156,23 +210,75 @@ def train(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> dict[str
     return weights
 
 
-def score(docs: DataFrame, weights: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+def find(hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes among the sorted frequent ones, and which of them stand there."""
+    if not len(frequent):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return at, frequent[at] == hashes
+
+
+def rare_logs(docs: DataFrame, frequent: np.ndarray, counts: DataFrame, text: str) -> DataFrame:
+    """(key, s, m): sum of the logarithms of the counts of a text's m other words, over all its rows.
+
+    Only rare words are joined: none has more than one in FREQUENT of all words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.chunks(batches, text):
+            _, _, hashes, of = codes_of(batch.column(text))
+            keys = text_keys(hashes, of, batch.num_rows)
+            rare = ~find(hashes, frequent)[1]
+            h, t = hashes[rare], of[rare]
+            order = np.lexsort((h, t))
+            h, t = h[order], t[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[t[first]].view(np.int64)), pa.array(h[first].view(np.int64)), pa.array(n, pa.int64())], ["key", "word", "k"])
+
+    pairs = docs.select(text).mapInArrow(run, "key long, word long, k long").join(counts, "word", "left")
+    log = F.coalesce(F.log("n"), F.lit(float(UNSEEN)))
+    return pairs.groupBy("key").agg(F.sum(F.col("k") * log).alias("s"), F.sum("k").alias("m"))
+
+
+def score(docs: DataFrame, weights: dict[str, np.ndarray], words: WordCounts | None = None, text: str = "text") -> DataFrame:
     """docs with n_words, log_prob (sum over words) and mean_log_prob.
 
+    With `words` a word's probability is that of its code times its share of the code; a word that
+    was not counted gets an even part of one count. Without, it is that of the code.
     Null and empty texts have no words, log_prob 0 and a null mean. Repeated rows get equal scores;
     other columns are kept, ones with these names are replaced; an empty table stays empty.
     """
+    totals = np.log1p(words.totals) if words else np.zeros(DIGITS * DIGITS)
+    frequent, logs = (words.frequent, words.logs) if words else (None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.chunks(batches, text):
-            codes, places, _, of = codes_of(batch.column(text))
+            codes, places, hashes, of = codes_of(batch.column(text))
             n = np.bincount(of, minlength=batch.num_rows)
-            total = np.bincount(of, word_log_probs(weights, codes, places), batch.num_rows)
-            values = {"n_words": pa.array(n, pa.int64()), "log_prob": pa.array(total),
-                      "mean_log_prob": pa.array(total / np.maximum(n, 1), mask=n == 0)}
+            each = word_log_probs(weights, codes, places) - totals[codes[places]]
+            rare = np.zeros(batch.num_rows, np.int64)
+            if frequent is not None:
+                at, known = find(hashes, frequent)
+                each[known] += logs[at[known]]
+                rare = np.bincount(of[~known], minlength=batch.num_rows)
+            values = {"n_words": pa.array(n, pa.int64()), "log_prob": pa.array(np.bincount(of, each, batch.num_rows)),
+                      "__key": pa.array(text_keys(hashes, of, batch.num_rows).view(np.int64)), "__rare": pa.array(rare, pa.int64())}
             columns = [values[c] if c in values else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = docs.drop("n_words", "log_prob", "mean_log_prob").select(
-        "*", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_prob"), F.lit(None).cast("double").alias("mean_log_prob"))
-    return out.mapInArrow(run, out.schema)
+    zero = F.lit(0).cast("long")
+    kept = docs.drop("n_words", "log_prob", "mean_log_prob")
+    out = kept.select("*", zero.alias("n_words"), F.lit(0.0).alias("log_prob"), zero.alias("__key"), zero.alias("__rare"))
+    out = out.mapInArrow(run, out.schema)
+    log_prob = F.col("log_prob")
+    if words:
+        # A text in several rows has its words in the sums once for each: m is a multiple of its own.
+        sums = rare_logs(kept, words.frequent, words.table, text).withColumnsRenamed({"key": "__key", "s": "__s", "m": "__m"})
+        out = out.join(sums, "__key", "left")
+        log_prob += F.when(F.col("__rare") > 0, F.col("__s") * F.col("__rare") / F.col("__m")).otherwise(0.0)
+    return out.select(*kept.columns, "n_words", log_prob.alias("log_prob")).withColumn(
+        "mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -279,4 +279,4 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_masked_lm_scoring")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lm_scoring.score(docs, lm_scoring.train(docs)).drop("text")
+    return lm_scoring.score(docs, lm_scoring.train(docs), lm_scoring.count_words(docs)).drop("text")

@@ -109,3 +109,36 @@ def test_training_learns_from_the_corpus(spark):
     uniform = -np.log(lm_scoring.DIGITS**2)
     mean = lm_scoring.score(docs, lm_scoring.train(docs)).agg(F.sum("log_prob") / F.sum("n_words")).first()[0]
     assert mean > uniform + 0.2
+
+
+def test_every_word_has_its_share_of_its_code(spark, awkward, awkward_docs, no_docs):
+    weights = lm_scoring.start_weights()
+    words = lm_scoring.count_words(awkward_docs)
+    counted = {r.word: r.n for r in words.table.collect()}
+    plain = {r.text: r.log_prob for r in lm_scoring.score(awkward_docs, weights).collect()}
+    share, rare = {}, words.frequent[::2]
+    for t in {t for _, t in awkward}:
+        _, _, hashes, _ = lm_scoring.codes_of(pa.array([t], pa.string()))
+        n = np.array([counted[h] for h in hashes.view(np.int64).tolist()])
+        share[t] = np.log(n / (words.totals[lm_scoring.word_codes(hashes)] + 1)).sum()
+    assert sum(counted.values()) == words.totals.sum()
+    # the same scores from frequent words as from joined ones, also where rows repeat
+    some = lm_scoring.WordCounts(words.table, words.totals, rare, words.logs[::2])
+    for w in (words, some):
+        rows = lm_scoring.score(awkward_docs, weights, w).collect()
+        assert len(rows) == len(awkward)
+        for r in rows:
+            assert r.log_prob == pytest.approx(plain[r.text] + share[r.text], rel=1e-9, abs=1e-9)
+    assert lm_scoring.score(no_docs, weights, lm_scoring.count_words(no_docs)).count() == 0
+
+
+def test_rare_word_is_told_from_a_frequent_one_of_its_code(spark):
+    hashes = lm_scoring.codes_of(pa.array([" ".join(f"w{i}" for i in range(30000))]))[2]
+    codes = lm_scoring.word_codes(hashes)
+    same = np.flatnonzero(codes == codes[0])[:3]
+    often, once, never = (f"w{i}" for i in same)
+    docs = spark.createDataFrame([(0, " ".join([often] * 99)), (1, once)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, often), (1, once), (2, never)], "doc_id long, text string")
+    scored = lm_scoring.score(asked, lm_scoring.train(docs), lm_scoring.count_words(docs)).orderBy("doc_id").collect()
+    p = [r.log_prob for r in scored]
+    assert p[0] - p[1] == pytest.approx(np.log(99)) and p[1] - p[2] == pytest.approx(-lm_scoring.UNSEEN)
