@@ -2,9 +2,9 @@
 
 A word is predicted from the words on both sides of it, never from itself. Words are hashed into
 codes of two digits; the network predicts the first digit from its hidden layer, and the second
-from that and the first digit. It is trained in numpy on masked words of all documents: in every
-round each task goes over its own documents from the shared weights, and Spark averages the tasks'
-weights by the words they saw. Within its code a word has its share of the code's words: Spark
+from that and the first digit. It is trained in numpy on all words of all documents, each masked in
+one of the rounds: in a round each task goes over its own documents from the shared weights, and
+Spark averages the tasks' weights by the words they saw. Within its code a word has its share of the code's words: Spark
 counts every distinct word of all documents, and the counts are stored and joined. A document's
 score is the sum of its words' conditional log-probabilities.
 """
@@ -26,7 +26,6 @@ DIGITS = 64  # values of a digit; DIGITS**2 codes
 HIDDEN = 16
 REACH = 2  # words on either side
 ROUNDS = 2
-MASK_EVERY = 8  # one word in so many is masked in a round
 BATCH = 256
 RATE = 0.5
 SEED = 5
@@ -120,14 +119,20 @@ def hidden(w: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
     return np.tanh(total)
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(1, keepdims=True)
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
 def heads(w: dict[str, np.ndarray], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of both digits, and what those of the second one come from."""
     h2 = h + w["digit"][first]
-    return (log_softmax(h @ w["out1"][:, :-1].T + w["out1"][:, -1]), log_softmax(h2 @ w["out2"][:, :-1].T + w["out2"][:, -1]), h2)
+    return h @ w["out1"][:, :-1].T + w["out1"][:, -1], h2 @ w["out2"][:, :-1].T + w["out2"][:, -1], h2
 
 
 def word_log_probs(w: dict[str, np.ndarray], codes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -137,17 +142,30 @@ def word_log_probs(w: dict[str, np.ndarray], codes: np.ndarray, places: np.ndarr
         first, second = np.divmod(codes[at], DIGITS)
         one, two, _ = heads(w, hidden(w, context_rows(codes, at)), first)
         n = np.arange(len(at))
-        out[i : i + len(at)] = one[n, first].astype(np.float64) + two[n, second]
+        out[i : i + len(at)] = log_softmax(one)[n, first].astype(np.float64) + log_softmax(two)[n, second]
     return out
 
 
+def subtract_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """np.subtract.at over whole rows; flat indices are quicker."""
+    at = rows[:, None] * table.shape[1] + np.arange(table.shape[1])
+    np.subtract.at(table.reshape(-1), at.ravel(), values.ravel())
+
+
+def round_of(hashes: np.ndarray, of: np.ndarray, n: int, rounds: int) -> np.ndarray:
+    """The round in which each word is masked: by its text's words and its place in the text."""
+    place = np.arange(len(hashes)) - np.searchsorted(of, np.arange(n))[of]
+    draw = W.mix(text_keys(hashes, of, n)[of] ^ W.mix(place.astype(np.uint64)))
+    return (draw % np.uint64(rounds)).astype(np.int64)
+
+
 def train_batch(w: dict[str, np.ndarray], codes: np.ndarray, at: np.ndarray, rate: float) -> None:
     rows = context_rows(codes, at)
     first, second = np.divmod(codes[at], DIGITS)
     h = hidden(w, rows)
     one, two, h2 = heads(w, h, first)
     n = np.arange(len(at))
-    g1, g2 = np.exp(one), np.exp(two)
+    g1, g2 = softmax(one), softmax(two)
     g1[n, first] -= 1
     g2[n, second] -= 1
     step = np.float32(rate / len(at))
@@ -157,13 +175,14 @@ def train_batch(w: dict[str, np.ndarray], codes: np.ndarray, at: np.ndarray, rat
     w["out1"][:, -1] -= step * g1.sum(0)
     w["out2"][:, :-1] -= step * (g2.T @ h2)
     w["out2"][:, -1] -= step * g2.sum(0)
-    np.subtract.at(w["digit"], first, step * back2)
+    subtract_rows(w["digit"], first, step * back2)
     # A context word is rare within a batch: its rows take larger steps than the shared outputs.
+    moved = step * 8 * back
     for k in range(rows.shape[1]):
-        np.subtract.at(w["context"], rows[:, k], step * 8 * back)
+        subtract_rows(w["context"], rows[:, k], moved)
 
 
-def train_round(docs: DataFrame, weights: dict[str, np.ndarray], number: int, text: str) -> dict[str, np.ndarray]:
+def train_round(docs: DataFrame, weights: dict[str, np.ndarray], number: int, rounds: int, text: str) -> dict[str, np.ndarray]:
     """Weights after one round over all documents, averaged over tasks by masked words seen."""
     names = list(weights)
     sizes = [len(weights[n]) for n in names]
@@ -174,8 +193,7 @@ def train_round(docs: DataFrame, weights: dict[str, np.ndarray], number: int, te
         seen = 0
         for batch in W.chunks(batches, text):
             codes, places, hashes, of = codes_of(batch.column(text))
-            draw = W.mix(hashes ^ W.mix(places.astype(np.uint64) + np.uint64(number << 40)))
-            at = places[draw % np.uint64(MASK_EVERY) == 0]
+            at = places[round_of(hashes, of, batch.num_rows, rounds) == number]
             seen += len(at)
             for i in range(0, len(at), BATCH):
                 train_batch(w, codes, at[i : i + BATCH], RATE)
@@ -204,9 +222,10 @@ def train_round(docs: DataFrame, weights: dict[str, np.ndarray], number: int, te
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> dict[str, np.ndarray]:
+    """Every word is a target in exactly one of the rounds."""
     weights = start_weights()
     for number in range(rounds):
-        weights = train_round(docs, weights, number, text)
+        weights = train_round(docs, weights, number, rounds, text)
     return weights
 
 

@@ -142,3 +142,25 @@ def test_rare_word_is_told_from_a_frequent_one_of_its_code(spark):
     scored = lm_scoring.score(asked, lm_scoring.train(docs), lm_scoring.count_words(docs)).orderBy("doc_id").collect()
     p = [r.log_prob for r in scored]
     assert p[0] - p[1] == pytest.approx(np.log(99)) and p[1] - p[2] == pytest.approx(-lm_scoring.UNSEEN)
+
+
+def test_every_word_is_a_target_once(awkward):
+    texts = [t for _, t in awkward]
+    _, _, hashes, of = lm_scoring.codes_of(pa.array(texts))
+    whole = lm_scoring.round_of(hashes, of, len(texts), 3)
+    assert set(whole) == {0, 1, 2}
+    parts = []
+    for some in (texts[:7], texts[7:]):  # the draw does not depend on the chunk
+        _, _, hashes, of = lm_scoring.codes_of(pa.array(some))
+        parts.append(lm_scoring.round_of(hashes, of, len(some), 3))
+    assert np.concatenate(parts).tolist() == whole.tolist()
+
+
+def test_training_beats_the_unigram_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    column = docs.toArrow()["text"].combine_chunks()
+    n = np.bincount(lm_scoring.word_codes(lm_scoring.codes_of(column)[2]))
+    n = n[n > 0]
+    unigram = (n * np.log(n / n.sum())).sum() / n.sum()
+    mean = lm_scoring.score(docs, lm_scoring.train(docs)).agg(F.sum("log_prob") / F.sum("n_words")).first()[0]
+    assert mean > unigram, (mean, unigram)
