@@ -37,7 +37,7 @@ CHARACTER = {"latin": "\\p{IsLatin}", "cyrillic": "\\p{IsCyrillic}", "greek": "\
 OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
 NAME = "\\p{Lu}[\\p{L}'’\\-]+"
 PATTERNS = {
-    "secret": "(?i:api[_-]?key|access[_-]?key|token|secret|password)\\s{0,3}[=:]\\s{0,3}[\"'][^\"'\\s]{8,512}(?=[\"'])",
+    "secret": "(?i:api[_-]?key|access[_-]?key|token|secret|password)\\s{0,3}[=:]\\s{0,3}[\"'][^\"'\\s]{8,}+(?=[\"'])",
     "email": "[\\p{L}\\d][\\p{L}\\d._%+\\-]*+@[\\p{L}\\d\\-]+(?:\\.[\\p{L}\\d\\-]+)*\\.\\p{L}{2,}",
     "ip": f"(?:{OCTET}\\.){{3}}{OCTET}(?!\\.?\\d)",
     "ssn": "\\d{3}-\\d{2}-\\d{4}(?![\\d\\-])",

@@ -96,3 +96,12 @@ def test_native_plan_and_empty_table(spark, awkward_docs, no_docs):
     assert not re.search("Python|Pandas|Arrow", plan)
     before = {(r.doc_id, r.text) for r in awkward_docs.collect()}
     assert {(r.doc_id, r.text) for r in out.where(F.col("n_entities") == 0).collect()} <= before
+
+
+def test_long_secrets_are_replaced_whole(spark):
+    long = {n: "".join("abcdef0123456789"[(i * i + i // 7) % 16] for i in range(n)) for n in (512, 513, 6000)}
+    docs = spark.createDataFrame([(n, f'see token = "{s}" end') for n, s in long.items()], "doc_id long, text string")
+    for r in pii.replace_entities(docs, "a key").collect():
+        m = re.fullmatch(r'see token = "([0-9a-f]+)" end', r.text)
+        assert m and len(m[1]) == r.doc_id and r.n_entities == 1
+        assert sum(a == b for a, b in zip(m[1], long[r.doc_id], strict=True)) < r.doc_id / 2
