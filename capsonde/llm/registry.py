@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsonde.llm import (
-    decontamination, formatting, jaccard_join, lm_scoring, pii, quality, repeat_dedup, sampled_encoding,
-    substring_dedup, topk,
+    decontamination, formatting, jaccard_join, line_frequency, lm_scoring, pii, quality, repeat_dedup,
+    sampled_encoding, substring_dedup, topk,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,3 +280,41 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lm_scoring.score(docs, lm_scoring.train(docs), lm_scoring.count_words(docs)).drop("text")
+
+
+# -- 11 -----------------------------------------------------------------------------------------
+
+
+@query("op11_line_frequency", """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT row_number() OVER () AS r, *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+grams AS (
+  SELECT r, i, array_to_string(list_slice(w, i, i + 2), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, CAST(len(w) - 1 AS BIGINT))) AS i FROM words WHERE len(w) >= 3)),
+often AS (SELECT r, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT r, count(DISTINCT word) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS word FROM grams JOIN often USING (r, g)) GROUP BY r),
+raw AS (
+  SELECT r, source, text, l, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), ' ') AS line
+  FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS l FROM words) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+dups AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM raw GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
+frequent AS (
+  SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS k FROM raw GROUP BY ALL) JOIN hosts USING (source)
+  WHERE k > 10 AND 100 * k > docs),
+lost AS (
+  SELECT r, sum(len(regexp_split_to_array(line, ' '))) AS n FROM raw JOIN frequent USING (source, line) GROUP BY r),
+base AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_removed_words
+  FROM words LEFT JOIN dups USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CAST(n_removed_words AS BIGINT) AS n_removed_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * n_removed_words > 50 * n_words AS kept
+FROM base
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    judged = line_frequency.judge(table(spark, sf, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
