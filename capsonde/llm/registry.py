@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from capsonde.llm import (
     decontamination, formatting, jaccard_join, line_frequency, lm_scoring, pii, quality, repeat_dedup,
-    sampled_encoding, substring_dedup, topk,
+    sampled_encoding, spelling, substring_dedup, topk,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,3 +318,12 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     judged = line_frequency.judge(table(spark, sf, "documents"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
+
+
+# -- 12 -----------------------------------------------------------------------------------------
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(docs).select("word", "form", "root", "n", "n_near", "form_n")

@@ -113,3 +113,35 @@ def top_scores(rows, every=20, k=20):
 
 def counts(rows):
     return Counter(rows)
+
+
+def spelling(rows, min_length=6, min_count=5, times=5):
+    import zlib
+
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'null' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= min_length:
+                counts[run] += 1
+    counts = {w: n for w, n in counts.items() if n >= min_count}
+    letters = sorted({c for w in counts for c in w})
+    form, n_near = {}, {}
+    for w, n in counts.items():
+        cut = [w[:i] + w[i + 1 :] for i in range(len(w))]
+        edits = set(cut) | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        edits |= {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        near = [x for x in edits if x != w and x in counts]
+        n_near[w] = len(near)
+        best = min(near, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= times * n else None
+    out = []
+    for w, n in counts.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, n_near[w], counts.get(form[w])))
+    return sorted(out, key=repr)
