@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsonde.llm import (
-    decontamination, formatting, jaccard_join, line_frequency, lm_scoring, pii, quality, repeat_dedup,
-    sampled_encoding, spelling, substring_dedup, topk,
+    decontamination, formatting, hard_negatives, jaccard_join, line_frequency, lm_scoring, pii, quality,
+    repeat_dedup, sampled_encoding, spelling, substring_dedup, topk,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,3 +327,31 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return spelling.spelling_variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# -- 13 -----------------------------------------------------------------------------------------
+
+ANCHOR_EVERY = 50
+
+
+@query("op13_hard_negatives", """
+WITH whole AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+scored AS (
+  SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.id <> b.id WHERE a.id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3
+""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vid") % ANCHOR_EVERY == 0, label)
