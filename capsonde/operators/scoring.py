@@ -171,7 +171,7 @@ def layer_blocks(
         yield block(held)
 
 
-def _union(parts: Iterator[DataFrame], empty: DataFrame, schema: str) -> DataFrame:
+def unite(parts: Iterator[DataFrame], empty: DataFrame, schema: str) -> DataFrame:
     out = None
     for part in parts:
         out = part if out is None else out.unionByName(part)
@@ -187,7 +187,7 @@ def score_rows(
     no test of its own.
     """
     blocks = layer_blocks(rows, directions.filter(F.col("kind") != "spec"), limit)
-    return _union((_score_in_workers(*b) for b in blocks), rows, SCORES)
+    return unite((_score_in_workers(*b) for b in blocks), rows, SCORES)
 
 
 def projection_sums(
@@ -199,7 +199,7 @@ def projection_sums(
     running sum per (direction, capability) and emits it at its end.
     """
     blocks = layer_blocks(rows, directions, limit)
-    out = _union((_sums_in_workers(*b) for b in blocks), rows, PROJECTION_SUMS)
+    out = unite((_sums_in_workers(*b) for b in blocks), rows, PROJECTION_SUMS)
     return out.groupBy("dir_id", "cluster_id").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")
     )

@@ -264,61 +264,97 @@ def test_fold_summary_and_best_layer(spark):
     assert (best["best_layer"], best["score"]) == (7, 0.75)
 
 
-def sigmoid(t):
-    return 1 / (1 + np.exp(-t))
-
-
-@pytest.mark.parametrize("n, d", [(120, 5), (20, 60)])
-def test_logistic_is_at_its_optimum(n, d):
-    rng = np.random.default_rng(n)
-    x, y = rng.normal(size=(n, d)), rng.random(n) < 0.4
-    w, gap = M.logistic_fit(x, y)
-    assert gap < 1e-9
-    side = np.where(y, 1.0, -1.0)
-    b = 0.0
-    for _ in range(200):  # the intercept which goes with w
-        p = sigmoid(x @ w + b)
-        b -= (p - y).sum() / (p * (1 - p)).sum()
-    gradient = w + M.LR_C * x.T @ (sigmoid(x @ w + b) - y)
-    assert np.abs(gradient).max() < 1e-7
-    assert side.sum() < n
-
-
-def test_pca_direction_takes_the_best_component():
-    rng = np.random.default_rng(0)
-    y = np.arange(80) % 2 == 0
-    x = rng.normal(size=(80, 4)) * [9, 4, 1, 0.5]
-    x[:, 1] -= 30 * y
-    v, residual = M.pca_fit(x, y)
-    assert abs(v[1]) > 0.9 and v[1] < 0 and residual < 1e-10
-    assert M.column_aucs((x @ v)[:, None], y)[0] == 1.0
-
-
-def test_column_aucs_count_ties_half():
-    rng = np.random.default_rng(1)
-    s, y = rng.integers(0, 6, (50, 7)).astype(float), rng.random(50) < 0.3
-    pos, neg = s[y][:, None, :], s[~y][None]
-    expected = ((pos > neg) + 0.5 * (pos == neg)).mean(axis=(0, 1))
-    assert np.allclose(M.column_aucs(s, y), expected)
+def best_axis(x, y, k):
+    """The method again on dense rows: singular vectors, the one that separates best, and its sign."""
+    k = min(k, len(x) - 1, x.shape[1])
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:k]
+    aucs = [auc(x[y] @ v, x[~y] @ v) for v in axes]
+    best = int(np.argmax([round(max(a, 1 - a), 12) for a in aucs]))
+    return axes[best] if aucs[best] >= 0.5 else -axes[best]
 
 
-def methods(protocol, **more):
-    rows = protocol.rows.filter("layer = 1")
-    cells = M.lobo_methods(protocol, D.standardiser(protocol.moments), rows=rows, **more)
-    return {(r["hold"], r["method"]): r["auc"] for r in cells.filter("cluster_id = 'y'").collect()}
+def newton_fit(x, y, c=M.LR_C):
+    z, ridge, w = np.column_stack([x, np.ones(len(x))]), np.append(np.ones(x.shape[1]), 0.0), np.zeros(x.shape[1] + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(z @ w)))
+        step = np.linalg.solve((z * (c * p * (1 - p))[:, None]).T @ z + np.diag(ridge), ridge * w + c * z.T @ (p - y))
+        w -= step
+    return w
 
 
-def test_methods_of_every_fold(protocol):
-    found = methods(protocol)
-    lobo = {r["hold"]: r["auc"] for r in L.lobo_folds(protocol).filter("layer = 1 AND cluster_id = 'y'").collect()}
-    assert len(found) == 3 * len(lobo) == 6
-    assert all(found[h, "diffmean"] == pytest.approx(a, abs=1e-12) for h, a in lobo.items())
-    assert all(0 <= a <= 1 for a in found.values())
+@pytest.fixture(scope="module")
+def blocks(protocol):
+    return M.protocol_blocks(protocol.rows, D.standardiser(protocol.moments))
+
 
+def training(layer, c, train):
+    z = standard(layer)
+    x = np.array([z[u] for u in [*train, *SPLIT[c][0]]])
+    return x, np.arange(len(x)) < len(train), z
 
-def test_a_bound_on_fitted_rows_keeps_all_held_out_rows(protocol):
-    found = methods(protocol, fit_rows=16)
-    assert len(found) == 6
+
+@pytest.mark.parametrize("tile", [2, 3, M.TILE])
+def test_pca_of_every_fold(protocol, blocks, tile):
+    axes = M.principal_axes(M.fold_tiles(M.product_tiles(blocks, tile, open_bytes=1000), protocol.folds))
+    found = {}
+    for r in axes.collect():
+        found.setdefault((r["layer"], r["cluster_id"], r["hold"]), {})[r["axis"]] = r
+    for layer in (1, 2):
+        for c, hold, train, _ in brute_folds():
+            x, _, _ = training(layer, c, train)
+            size, want = np.linalg.svd(x - x.mean(0), full_matrices=False)[1:]
+            for k, r in found[layer, c, hold].items():
+                assert r["size"] == pytest.approx(size[k] ** 2) and r["n_fit"] == len(x) and r["residual"] < 1e-12
+                assert abs(np.dot(r["v"], want[k])) == pytest.approx(1.0, abs=1e-9)
+            assert len(found[layer, c, hold]) == min(M.PCA_K, len(x) - 1, x.shape[1])
+
+
+def test_pca_takes_the_best_axis(protocol, blocks):
+    found = {(r["layer"], r["cluster_id"], r["hold"]): r for r in M.pca_directions(blocks, protocol.folds).collect()}
+    for layer in (1, 2):
+        for c, hold, train, test in brute_folds():
+            x, y, z = training(layer, c, train)
+            v = best_axis(x, y, M.PCA_K)
+            r = found[layer, c, hold]
+            assert np.dot(r["v"], v) == pytest.approx(1.0, abs=1e-9)
+            assert r["auc"] == pytest.approx(auc([z[u] @ v for u in test], [z[u] @ v for u in SPLIT[c][1]]), abs=1e-12)
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 300])
+def test_logistic_is_at_its_optimum(protocol, blocks, limit):
+    fits = M.logistic_directions(blocks, protocol.folds, tol=1e-8, limit=limit).collect()
+    found = {(r["layer"], r["cluster_id"], r["hold"]): r for r in fits}
+    assert len(found) == len(fits) == 2 * len(list(brute_folds()))
+    for layer in (1, 2):
+        for c, hold, train, _ in brute_folds():
+            x, y, _ = training(layer, c, train)
+            r = found[layer, c, hold]
+            assert np.allclose([*r["v"], r["intercept"]], newton_fit(x, y), atol=1e-6)
+            assert r["n_fit"] == len(x) and r["gap"] < 1e-8 and r["passes"] < 40
+
+
+def test_a_fold_with_one_label_has_no_direction(spark, protocol):
+    rows = protocol.rows.withColumn("neg_train", F.array().cast("array<string>"))
+    blocks = M.protocol_blocks(rows, D.standardiser(protocol.moments))
+    assert M.logistic_directions(blocks, protocol.folds).count() == 0
+    assert M.pca_directions(blocks, protocol.folds).count() == 0
+    none = M.protocol_blocks(rows.limit(0), D.standardiser(protocol.moments))
+    assert M.logistic_directions(none, protocol.folds).count() == 0
+
+
+def test_methods_of_every_fold(protocol):
+    rows = protocol.rows.filter("layer = 1")
+    cells = M.lobo_methods(protocol, D.standardiser(protocol.moments), rows=rows)
+    found = {(r["cluster_id"], r["hold"], r["method"]): r["auc"] for r in cells.collect()}
+    lobo = L.lobo_folds(protocol).filter("layer = 1").collect()
+    assert len(found) == 3 * len(lobo)
+    for r in lobo:
+        assert found[r["cluster_id"], r["hold"], "diffmean"] == pytest.approx(r["auc"], abs=1e-12)
+    for c, hold, train, test in brute_folds():
+        x, y, z = training(1, c, train)
+        w = newton_fit(x, y)[:-1]
+        want = auc([z[u] @ w for u in test], [z[u] @ w for u in SPLIT[c][1]])
+        assert found[c, hold, "lr"] == pytest.approx(want, abs=1e-9)
 
 
 def role_rows(protocol, layer):

@@ -289,11 +289,9 @@ def cells(spark, sf, *methods):
     return M.lobo_methods(p, D.standardiser(p.moments), methods or M.METHODS)
 
 
-def fitted(spark, sf, method):
-    """Folds with the rows of their fit, and whether it solves its method's equations."""
+def probe_blocks(spark, sf):
     p = protocol(spark, sf, "lobo")
-    directions, _ = M.method_directions(p, D.standardiser(p.moments), (method,))
-    return directions.select("layer", "cluster_id", "hold", "n_fit", (F.col("residual") < 1e-7).alias("solved"))
+    return p, M.protocol_blocks(p.rows, D.standardiser(p.moments), p.limit)
 
 
 FITTED = with_ctes(*Q.LOBO, body="""
@@ -304,12 +302,18 @@ CROSS JOIN (SELECT DISTINCT layer FROM hidden)""")
 
 @query("f7_pca_solved", FITTED)
 def f7_solved(spark, sf):
-    return fitted(spark, sf, "pca")
+    """Whether each fold's axis is an eigenvector of its rows' covariance, by a scan of all of them."""
+    p, blocks = probe_blocks(spark, sf)
+    checked = M.axis_residuals(blocks, M.pca_directions(blocks, p.folds))
+    return checked.select("layer", "cluster_id", "hold", F.col("n_rows").alias("n_fit"), (F.col("residual") < 1e-7).alias("solved"))
 
 
 @query("f8_logistic_solved", FITTED)
 def f8_solved(spark, sf):
-    return fitted(spark, sf, "lr")
+    """Whether the gradient of each fit, over all its training rows, vanishes."""
+    p, blocks = probe_blocks(spark, sf)
+    checked = M.logistic_gradients(blocks, M.logistic_directions(blocks, p.folds))
+    return checked.select("layer", "cluster_id", "hold", F.col("n_rows").alias("n_fit"), (F.col("gap") < 2e-6).alias("solved"))
 
 
 @query("f7_lobo_pca")
@@ -328,6 +332,21 @@ def f19_diff_mean(spark, sf):
     return rounded(cells(spark, sf, "diffmean").drop("tag", "method"), "auc")
 
 
+@query("f19_given_folds", with_ctes(*Q.LOBO, body="""
+SELECT a.layer, a.cluster_id, CAST(round_even(median(auc), 3) AS DOUBLE) AS diffmean,
+       CAST(round_even(median(1 - auc), 3) AS DOUBLE) AS pca, CAST(round_even(median(auc * auc), 3) AS DOUBLE) AS lr,
+       any_value(d.n) AS n_datasets
+FROM lobo_auc a JOIN (SELECT cluster_id, count(DISTINCT dataset_id) AS n FROM members GROUP BY ALL) d USING (cluster_id)
+GROUP BY a.layer, a.cluster_id"""))
+def f19_given(spark, sf):
+    """The comparison from stated AUCs: those of diff-mean, their mirror and their square."""
+    p = protocol(spark, sf, "lobo")
+    auc = F.col("auc")
+    each = F.array(*[F.struct(F.lit(m).alias("method"), a.alias("auc")) for m, a in (("diffmean", auc), ("pca", 1 - auc), ("lr", auc * auc))])
+    folds = L.lobo_folds(p).select("tag", "layer", "cluster_id", "hold", F.inline(each))
+    return M.method_comparison(folds, S.dataset_counts(p.texts)).drop("tag")
+
+
 @query("f19_method_comparison")
 def f19(spark, sf):
     p = protocol(spark, sf, "lobo")
