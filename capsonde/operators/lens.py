@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from capsonde.functions.arrow import matrix_of
 from capsonde.functions.text import label_words
 from capsonde.operators import selection as X
+from capsonde.operators.tiles import each, row_tiles, share, top_per_row
 from capsonde.session import BROADCAST_LIMIT, materialize
 
 LAYER = ["tag", "layer"]
 CARRIED = ["dataset_id", "clusters", "neg_train", "neg_test"]
+CANDIDATE_BYTES = 64  # of one (capability, token) in a task, at most about
 
 
 def lens_layers(models: DataFrame, key: str) -> DataFrame:
@@ -94,81 +96,104 @@ class Lens:
     softcap: float | None = None
     zero_centered: bool = False
 
-    def plain(self, layer: int) -> tuple:
-        gain = 1.0 + self.norm_weight if self.zero_centered else self.norm_weight
-        return self.jacobians[layer], self.unembed, gain, self.eps, self.softcap
+    def gain(self) -> np.ndarray:
+        return 1.0 + self.norm_weight if self.zero_centered else self.norm_weight
 
 
-def _logits(h, jacobian, unembed, gain, eps, softcap) -> np.ndarray:
-    moved = h @ jacobian.T
-    moved = moved / np.sqrt((moved * moved).mean(axis=1, keepdims=True) + eps) * gain
-    logits = moved @ unembed.T
-    return softcap * np.tanh(logits / softcap) if softcap is not None else logits
+def _shared_candidates(candidates: DataFrame, lens: Lens, limit: int) -> list:
+    """Columns of the token rows that each capability wants, in pieces of capabilities under the limit."""
+    place = {t: i for i, t in enumerate(lens.token_ids)}
+    pieces = max(-(-candidates.count() * CANDIDATE_BYTES // limit), 1)
+
+    def piece(i: int) -> dict[str, np.ndarray]:
+        some = candidates.filter(F.pmod(F.xxhash64("cluster_id"), F.lit(pieces)) == i) if pieces > 1 else candidates
+        table = some.select("cluster_id", "token_id").toArrow()
+        wanted: dict[str, list[int]] = {}
+        for cluster, token in zip(table["cluster_id"].to_pylist(), table["token_id"].to_pylist()):
+            if token in place:
+                wanted.setdefault(cluster, []).append(place[token])
+        return {c: np.array(columns) for c, columns in wanted.items()}
+
+    return share(candidates.sparkSession, (piece(i) for i in range(pieces)))
 
 
 def token_scores(
     rows: DataFrame, lenses: dict[str, Lens], candidates: DataFrame | None = None,
-    limit: int = BROADCAST_LIMIT,
+    limit: int = BROADCAST_LIMIT, top: int | None = None,
 ) -> DataFrame:
     """F16: lens score of tokens as parallel arrays `features`, `values` beside each row.
 
     `lenses` is keyed by tag; rows of other models, and of layers that a lens lacks, drop out.
-    Every (tag, layer) is a pass over its own rows with that layer's matrix, whose size is checked.
-    With `candidates` (cluster_id, token_id) a row only carries the tokens of capabilities
-    it has a role in. The lens and the candidate lists are model parameters and taxonomy.
+    Every (tag, layer) is one pass over its own rows: its transport matrix and the token rows go
+    through in tiles under the limit. With `candidates` (cluster_id, token_id) a row only carries
+    the tokens of capabilities it has a role in; with `top` its so many best tokens of all, best
+    first, ties to the smaller id, and never more scores than a tile's beside them.
     """
     kept = [c for c in rows.columns if c != "h"]
     schema = rows.select(*kept).schema.add("features", T.ArrayType(T.IntegerType())).add(
         "values", T.ArrayType(T.DoubleType())
     )
-    lists: list[tuple[str, int]] | None = None
-    if candidates is not None:
-        lists = [tuple(r) for r in candidates.select("cluster_id", "token_id").toLocalIterator()]
     out = None
     for tag, lens in sorted(lenses.items()):
-        for layer in sorted(lens.jacobians):
+        spark = rows.sparkSession
+        width = lens.unembed.shape[1]
+        tokens = share(spark, (
+            (cut.start, lens.unembed[cut], np.asarray(lens.token_ids[cut])) for cut in row_tiles(len(lens.unembed), width * 8, limit)))
+        wanted = None if candidates is None else _shared_candidates(candidates, lens, limit)
+        for layer, jacobian in sorted(lens.jacobians.items()):
             own = rows.filter((F.col("tag") == tag) & (F.col("layer") == layer))
-            part = own.mapInArrow(_reader(own, lens, layer, lists, kept, limit), schema)
+            moves = share(spark, (jacobian[cut] for cut in row_tiles(len(jacobian), jacobian[0].nbytes, limit)))
+            part = own.mapInArrow(_reader(moves, tokens, wanted, lens.gain(), lens.eps, lens.softcap, kept, top), schema)
             out = part if out is None else out.unionByName(part)
     return rows.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _reader(rows: DataFrame, lens: Lens, layer: int, lists, kept: list[str], limit: int):
-    wanted = None
-    if lists is not None:
-        column = {t: i for i, t in enumerate(lens.token_ids)}
-        wanted = {}
-        for cluster, token in lists:
-            if token in column:
-                wanted.setdefault(cluster, []).append(column[token])
-    jacobian, unembed, *rest = lens.plain(layer)
-    if jacobian.nbytes + unembed.nbytes > limit:
-        raise ValueError(f"layer {layer}: weights take {jacobian.nbytes + unembed.nbytes} bytes, over the limit of {limit}")
-    shared = rows.sparkSession.sparkContext.broadcast((jacobian, unembed, *rest, np.asarray(lens.token_ids), wanted))
+def _reader(moves: list, tokens: list, wanted: list | None, gain: np.ndarray, eps: float, softcap: float | None, kept: list[str], top: int | None):
     roles = ["clusters", "neg_train", "neg_test"]
 
+    def picks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and token columns asked for, each pair once, by row and column."""
+        pairs = [np.zeros((0, 2), np.int64)]
+        clusters = [{c for part in row for c in part} for row in zip(*(batch[r].to_pylist() for r in roles))]
+        for known in each(wanted):
+            for i, row in enumerate(clusters):
+                pairs += [np.column_stack([np.full(len(known[c]), i), known[c]]) for c in row if c in known]
+        asked = np.unique(np.concatenate(pairs), axis=0)
+        return asked[:, 0], asked[:, 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        jacobian, unembed, gain, eps, softcap, ids, wanted = shared.value
-        everything = np.arange(len(ids))
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            logits = _logits(matrix_of(batch["h"]), jacobian, unembed, gain, eps, softcap)
-            if wanted is None:
-                picks = [everything] * len(batch)
-            else:
-                picks = [
-                    np.unique([t for clusters in row for c in clusters for t in wanted.get(c, ())]).astype(int)
-                    for row in zip(*(batch[r].to_pylist() for r in roles))
-                ]
-            row = np.repeat(np.arange(len(batch)), [len(p) for p in picks])
-            token = np.concatenate(picks)
-            offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+            h = matrix_of(batch["h"])
+            moved = np.concatenate([h @ j.T for j in each(moves)], axis=1)
+            moved = moved / np.sqrt((moved * moved).mean(axis=1, keepdims=True) + eps) * gain
+            asked = picks(batch) if wanted is not None else None
+            found, best = [], (np.zeros((n, 0)), np.zeros((n, 0), np.int64))
+            for start, unembed, ids in each(tokens):
+                logits = moved @ unembed.T
+                if softcap is not None:
+                    logits = softcap * np.tanh(logits / softcap)
+                if top is not None:
+                    both = np.concatenate([best[0], logits], axis=1), np.concatenate([best[1], np.broadcast_to(ids, logits.shape)], axis=1)
+                    best = top_per_row(*both, top)
+                elif asked is None:
+                    found.append((np.repeat(np.arange(n), len(ids)), np.tile(ids, n), logits.ravel()))
+                else:
+                    here = (asked[1] >= start) & (asked[1] < start + len(ids))
+                    row, column = asked[0][here], asked[1][here] - start
+                    found.append((row, ids[column], logits[row, column]))
+            if top is not None:
+                found = [(np.repeat(np.arange(n), best[0].shape[1]), best[1].ravel(), best[0].ravel())]
+            row, token, value = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(row, kind="stable")
+            offsets = pa.array(np.searchsorted(row[order], np.arange(n + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch[c] for c in kept]
                 + [
-                    pa.ListArray.from_arrays(offsets, pa.array(ids[token], pa.int32())),
-                    pa.ListArray.from_arrays(offsets, pa.array(logits[row, token])),
+                    pa.ListArray.from_arrays(offsets, pa.array(token[order], pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(value[order])),
                 ],
                 names=[*kept, "features", "values"],
             )
@@ -177,7 +202,8 @@ def _reader(rows: DataFrame, lens: Lens, layer: int, lists, kept: list[str], lim
 
 
 def lens_lobo(
-    rows: DataFrame, lenses: dict[str, Lens], candidates: DataFrame, fold_table: DataFrame, split: DataFrame
+    rows: DataFrame, lenses: dict[str, Lens], candidates: DataFrame, fold_table: DataFrame, split: DataFrame,
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """F17/F18 per fold: the capability's best training token and its held-out AUC.
 
@@ -189,7 +215,7 @@ def lens_lobo(
         candidates.select(F.col("cluster_id").alias("name")),
     )
     read = rows.select(*LAYER, "uid", *CARRIED, "h")
-    scores = X.role_scores(materialize(token_scores(read, lenses, candidates)))
+    scores = X.role_scores(materialize(token_scores(read, lenses, candidates, limit)))
     own = candidates.select("cluster_id", F.col("token_id").alias("feature"), "order")
     scores = scores.join(own.drop("order"), ["cluster_id", "feature"])
     aucs = X.train_aucs(scores, fold_table, split).join(own, ["cluster_id", "feature"])

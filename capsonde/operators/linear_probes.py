@@ -7,7 +7,7 @@ PCA needs only second moments. They add up: a fold's matrix is its capability's
 dataset's, so one pass emits tiles of one matrix per dataset and the folds are differences of tiles.
 Logistic fits of all folds run together: each pass over the blocks emits every fold's loss and
 gradient, partial sums per task, and a stored table of one row per fold holds weights and the last
-steps, from which a limited-memory quasi-Newton step follows. Folds that are done leave the pass.
+steps, from which a limited-memory quasi-Newton step follows. Folds that are done take no more part.
 Diff-mean is F6's own direction, which needs nothing beyond the moments.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.functions import vectors as V
@@ -37,7 +37,7 @@ PCA_K = 10
 LR_C = 0.1
 LR_MAX_ITER = 300
 
-LR_TOL = 1e-6  # largest entry of the gradient at which a fit is done
+LR_TOL = 1e-4  # largest entry of the gradient at which a fit is done
 MEMORY = 8  # steps that a fit remembers
 ROWS = 1024  # of one block
 TILE = 512  # rows and columns of one tile
@@ -294,9 +294,28 @@ STATE = (
     "slope array<double>, steps array<array<double>>, turns array<array<double>>, size double, n_fit long, passes int, gap double, done boolean")
 
 
-def _loss_sums(blocks: DataFrame, state: DataFrame, c: float) -> DataFrame:
+def layer_groups(directions: DataFrame, limit: int) -> list[tuple[Column, Column]]:
+    """Filters on blocks and on directions: whole (model, layer)s whose `w` stay under the limit
+    together; a layer above it alone comes in parts of its directions."""
+    sizes = directions.groupBy(*LAYER).agg(F.sum(F.size("w")).alias("n")).orderBy(*LAYER).collect()
+    out, total = [], limit + 1
+    for r in sizes:
+        one, size = (F.col("tag") == r["tag"]) & (F.col("layer") == r["layer"]), r["n"] * 8
+        of = -(-size // max(limit, 1))
+        total += size
+        if of > 1:
+            out += [(one, one & (F.pmod(F.xxhash64("dir_id"), F.lit(of)) == i)) for i in range(of)]
+            total = limit + 1
+        elif total > limit:
+            out.append((one, one))
+            total = size
+        else:
+            out[-1] = (out[-1][0] | one, out[-1][1] | one)
+    return out
+
+
+def _loss_sums(blocks: DataFrame, shared, c: float) -> DataFrame:
     """Partial loss and gradient of every fold at its trial weights, one row per task and fold."""
-    shared = _shared(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list] = {}
@@ -327,7 +346,7 @@ def _loss_sums(blocks: DataFrame, state: DataFrame, c: float) -> DataFrame:
     return blocks.mapInArrow(run, SUMS)
 
 
-def next_trial(row: dict, tol: float, max_iter: int) -> dict:
+def next_trial(row: dict, c: float, tol: float, max_iter: int) -> dict:
     """A fold's state after a pass: `at`, `loss_sum` and `slope_sum` belong to the trial weights `w`.
 
     A trial that does not lower the loss enough is taken half as far from `best`; else it becomes
@@ -352,7 +371,8 @@ def next_trial(row: dict, tol: float, max_iter: int) -> dict:
         for s, t in zip(steps[::-1], turns[::-1], strict=True):
             back.append((s @ step) / (s @ t))
             step -= back[-1] * t
-        step *= (steps[-1] @ turns[-1]) / (turns[-1] @ turns[-1]) if steps else 1.0 / max(np.linalg.norm(slope), 1.0)
+        # Standardised columns have a mean square near one, so the curvature is at most about c n / 4.
+        step *= (steps[-1] @ turns[-1]) / (turns[-1] @ turns[-1]) if steps else 1.0 / (1.0 + 0.25 * c * (row["n_pos"] + row["n_neg"]))
         for s, t, a in zip(steps, turns, back[::-1], strict=True):
             step += s * (a - (t @ step) / (s @ t))
         gap = float(np.abs(slope).max())
@@ -366,18 +386,18 @@ def next_trial(row: dict, tol: float, max_iter: int) -> dict:
     return out
 
 
-def _advanced(state: DataFrame, sums: DataFrame, tol: float, max_iter: int) -> DataFrame:
+def _advanced(state: DataFrame, sums: DataFrame, c: float, tol: float, max_iter: int) -> DataFrame:
     names = [f.split()[0] for f in STATE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [next_trial(r, tol, max_iter) for r in batch.to_pylist()]
+            rows = [r if r["done"] else next_trial(r, c, tol, max_iter) for r in batch.to_pylist()]
             schema = pa.schema([batch.schema.field(n) for n in names])
             yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema)
 
     whole = sums.groupBy(*FOLD).agg(
         F.sum("loss").alias("loss_sum"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), V.vector_sum(F.col("slope")).alias("slope_sum"))
-    return state.join(whole, FOLD).mapInArrow(run, STATE)
+    return state.join(whole, FOLD, "left").mapInArrow(run, STATE)
 
 
 def logistic_directions(
@@ -397,15 +417,15 @@ def logistic_directions(
         none.cast("array<double>").alias("slope"), F.array().cast("array<array<double>>").alias("steps"),
         F.array().cast("array<array<double>>").alias("turns"), F.lit(1.0).alias("size"), F.lit(0).cast("long").alias("n_fit"),
         F.lit(0).alias("passes"), none.cast("double").alias("gap"), F.lit(False).alias("done"))
-    open_, finished = materialize(fresh), []
+    state = materialize(fresh)
+    layers = layer_groups(state, limit)
     while True:
-        parts = [_loss_sums(*b, c) for b in layer_blocks(blocks, open_, limit)]
+        open_ = ((some, _shared(state.filter(of).filter("NOT done"))) for some, of in layers)
+        parts = [_loss_sums(blocks.filter(some), shared, c) for some, shared in open_ if shared.value]
         if not parts:
             break
-        moved = materialize(_advanced(open_, unite(iter(parts), blocks, SUMS), tol, max_iter))
-        finished.append(moved.filter("done"))
-        open_ = moved.filter("NOT done")
-    fitted = unite(iter(finished), blocks, STATE).filter(F.col("gap").isNotNull())
+        state = materialize(_advanced(state, unite(iter(parts), blocks, SUMS), c, tol, max_iter))
+    fitted = state.filter(F.col("gap").isNotNull())
     weights = F.slice("best", F.lit(1), F.size("best") - 1)
     return fitted.select(*FOLD, weights.alias("v"), F.element_at("best", -1).alias("intercept"), "n_fit", "gap", "passes")
 
@@ -456,7 +476,8 @@ def logistic_gradients(blocks: DataFrame, fitted: DataFrame, c: float = LR_C, li
     """(fold, n_rows, gap): the largest entry of the gradient of each fit over all its training rows."""
     state = materialize(fitted.select(
         *FOLD, F.concat("v", F.array("intercept")).alias("w"), F.monotonically_increasing_id().alias("dir_id")))
-    sums = unite((_loss_sums(*b, c) for b in layer_blocks(blocks, state, limit)), blocks, SUMS).groupBy(*FOLD).agg(
+    parts = (_loss_sums(blocks.filter(some), _shared(state.filter(of)), c) for some, of in layer_groups(state, limit))
+    sums = unite(parts, blocks, SUMS).groupBy(*FOLD).agg(
         F.sum(F.col("n_pos") + F.col("n_neg")).alias("n_rows"), V.vector_sum(F.col("slope")).alias("slope"))
     ridge = F.transform("w", lambda x, i: F.when(i < F.size("w") - 1, x).otherwise(0.0))
     return sums.join(state, FOLD).select(

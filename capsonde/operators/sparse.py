@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from capsonde.functions.arrow import matrix_of
 from capsonde.operators import selection as X
+from capsonde.operators.tiles import each, row_tiles, share
 from capsonde.session import BROADCAST_LIMIT, materialize
 
 LAYER = ["tag", "layer"]
@@ -34,8 +35,7 @@ def encode(
     """non-zero features of each row as parallel arrays, the row's other columns kept.
 
     `encoders` is keyed by (tag, layer); rows of other models and layers drop out. Every layer is
-    a pass over its own rows. Weights beyond the limit are applied in blocks of features; a row
-    then comes back once per block.
+    one pass over its own rows, through tiles of features under the limit.
     """
     kept = [c for c in rows.columns if c != "h"]
     schema = rows.select(*kept).schema.add("features", T.ArrayType(T.IntegerType())).add(
@@ -44,33 +44,37 @@ def encode(
     out = None
     for (tag, layer), e in sorted(encoders.items()):
         own = rows.filter((F.col("tag") == tag) & (F.col("layer") == layer))
-        width = e.w_enc.shape[1]
-        step = max(width // max(-(-e.w_enc.nbytes // limit), 1), 1)
-        for start in range(0, width, step):
-            cut = slice(start, start + step)
-            part = own.mapInArrow(_encoder(own, (start, e.w_enc[:, cut], e.b_enc[cut], e.threshold[cut]), kept), schema)
-            out = part if out is None else out.unionByName(part)
+        part = own.mapInArrow(_encoder(own, e, kept, limit), schema)
+        out = part if out is None else out.unionByName(part)
     return rows.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _encoder(rows: DataFrame, block: tuple, kept: list[str]):
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+def _encoder(rows: DataFrame, e: Encoder, kept: list[str], limit: int):
+    cuts = row_tiles(e.w_enc.shape[1], e.w_enc[:, :1].nbytes, limit)
+    width = e.w_enc.shape[0]
+    shared = share(rows.sparkSession, ((c.start, e.w_enc[:, c], e.b_enc[c], e.threshold[c]) for c in cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, w, b, threshold = shared.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
             h = matrix_of(batch["h"])
-            if len(h) and h.shape[1] != w.shape[0]:
-                raise ValueError(f"rows have {h.shape[1]} values, weights {w.shape[0]}")
-            pre = h @ w + b if len(h) else np.zeros((0, w.shape[1]))
-            z = np.where(pre > threshold, np.maximum(pre, 0.0), 0.0)
-            row, feature = np.nonzero(z > 0)
-            offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+            if h.shape[1] != width:
+                raise ValueError(f"rows have {h.shape[1]} values, weights {width}")
+            found = []
+            for start, w, b, threshold in each(shared):
+                pre = h @ w + b
+                z = np.where(pre > threshold, np.maximum(pre, 0.0), 0.0)
+                row, feature = np.nonzero(z > 0)
+                found.append((row, feature + start, z[row, feature]))
+            row, feature, value = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(row, kind="stable")
+            offsets = pa.array(np.searchsorted(row[order], np.arange(len(batch) + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch[c] for c in kept]
                 + [
-                    pa.ListArray.from_arrays(offsets, pa.array(feature + start, pa.int32())),
-                    pa.ListArray.from_arrays(offsets, pa.array(z[row, feature])),
+                    pa.ListArray.from_arrays(offsets, pa.array(feature[order], pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(value[order])),
                 ],
                 names=[*kept, "features", "values"],
             )

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from capsonde.operators import abilities as A
 from capsonde.operators import corpus as P
 from capsonde.operators import directions as D
+from capsonde.operators import lens as N
+from capsonde.operators import linear_probes as M
+from capsonde.operators import lobo as L
 from capsonde.operators import sampling as S
+from capsonde.operators import sparse as Z
 from capsonde.session import broadcast_if_small, materialize, shared_dir
 from capsonde.sources import hidden as H
 from workload import inputs as I
@@ -81,6 +85,35 @@ def test_moments_combine_before_the_shuffle(spark):
     assert "Exchange" not in plan[order[1] + 8 : order[2]]
 
 
+def test_probe_fits_never_exchange_vectors(spark, tmp_path):
+    texts = I.probe_texts(spark, SF)
+    H.write_hidden(I.hidden(spark, SF), str(tmp_path / "h"))
+    p = L.Protocol(H.read_hidden(spark, str(tmp_path / "h")), texts, per_dataset=I.NEGATIVES)
+    scaling = D.standardiser(p.moments)
+    blocks = M.protocol_blocks(p.rows, scaling)
+    named = p.folds.join(scaling.select("tag", "layer", F.col("mu").alias("w")), how="cross").withColumn("dir_id", F.lit(1))
+    for plan in (
+        physical(M._packed(p.rows.select("tag", "layer", "dataset_id", "h", F.lit("c").alias("cluster_id"), F.lit(2).alias("role")), scaling.withColumnRenamed("mu", "w"))),
+        physical(M.product_tiles(blocks)),
+        physical(M._loss_sums(blocks, M._shared(named), 0.1)),
+        physical(M.score_blocks(blocks, named)),
+    ):
+        below = plan[plan.index("MapInArrow") :]
+        vectors = [x for x in below.split("\n") if "Exchange" in x and ("h#" in x or "z#" in x)]
+        scan = next(i for i, x in enumerate(below.split("\n")) if "Scan parquet" in x and ("h#" in x or "z#" in x))
+        depth = len(re.match(r"[ :|+*()0-9-]*", below.split("\n")[scan]).group())
+        over = [x for x in below.split("\n")[:scan] if len(re.match(r"[ :|+*()0-9-]*", x).group()) < depth]
+        assert not vectors and not any("Exchange" in x and "Broadcast" not in x for x in over[1:])
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 512])
+def test_weights_above_the_limit_take_one_scan(spark, limit):
+    hidden = I.hidden(spark, SF).drop("dataset_id")
+    plans = [physical(Z.encode(hidden, I.sae_encoders(spark, SF), limit)), physical(N.token_scores(hidden, I.lens(spark, SF), limit=limit))]
+    whole = physical(hidden.filter("layer = 3"))
+    assert all(p.count("Scan parquet") == whole.count("Scan parquet") for p in plans)
+
+
 @pytest.mark.parametrize("make", [
     lambda s: S.negative_candidates(I.probe_texts(s, SF), I.NEGATIVES),
     lambda s: P.sample_texts(s.range(10**6).select(F.col("id").alias("row_idx"), (F.col("id") % 2).alias("dataset_id"))),

@@ -17,7 +17,7 @@ from capsonde.operators import sampling as S
 from capsonde.operators import selection as X
 from capsonde.operators import sparse as Z
 from capsonde.session import materialize
-from capsonde.operators.lens import Lens, fragment_candidates, lens_lobo, require_coverage, whole_word_candidates
+from capsonde.operators.lens import Lens, fragment_candidates, lens_lobo, require_coverage, token_scores, whole_word_candidates
 
 DIM, CAP = 6, 4
 
@@ -441,6 +441,38 @@ def test_lens_lobo(spark, protocol):
     assert not got
 
 
+@pytest.mark.parametrize("asked", [True, False])
+def test_a_lens_above_the_limit_gives_the_same_scores(spark, protocol, asked):
+    rng = np.random.default_rng(7)
+    lens = Lens({1: rng.normal(size=(DIM, DIM)), 2: rng.normal(size=(DIM, 3))}, rng.normal(size=(9, DIM)), list(range(40, 49)), np.ones(DIM), softcap=5.0)
+    candidates = spark.createDataFrame([(c, 40 + (i * 2 + j) % 9) for i, c in enumerate(CLUSTERS) for j in range(3)], "cluster_id string, token_id int")
+    rows = protocol.rows.select("tag", "layer", "uid", *Z.CARRIED, "h")
+
+    def scores(limit):
+        out = token_scores(rows, {"m": lens}, candidates if asked else None, limit)
+        return {(r["layer"], r["uid"]): dict(zip(r["features"], r["values"], strict=True)) for r in out.collect()}
+
+    whole, tiled = scores(1 << 28), scores(100)
+    assert whole.keys() == tiled.keys() and len(whole) == 2 * len(ROWS)
+    assert all(whole[k] == pytest.approx(tiled[k], abs=1e-12) for k in whole)
+    want = {c: {40 + (i * 2 + j) % 9 for j in range(3)} for i, c in enumerate(CLUSTERS)}
+    for layer, u in whole:
+        roles = set(TAGS[u]) | {c for c in CLUSTERS for part in SPLIT[c] if u in part}
+        assert set(whole[layer, u]) == (set().union(*(want[c] for c in roles)) if asked else set(range(40, 49)))
+
+
+def test_top_tokens(protocol):
+    rng = np.random.default_rng(8)
+    unembed = rng.integers(-2, 3, (9, DIM)).astype(float)  # ties
+    lens = Lens({1: np.eye(DIM)}, unembed, list(range(9)), np.ones(DIM))
+    for limit in (1 << 28, 200):
+        for r in token_scores(protocol.rows.select("tag", "layer", "uid", "h"), {"m": lens}, limit=limit, top=4).collect():
+            h = H[r["uid"]]
+            logits = unembed @ (h / np.sqrt((h * h).mean() + 1e-6))
+            assert r["values"] == pytest.approx(sorted(logits, reverse=True)[:4])
+            assert len(set(r["features"])) == 4 and all(logits[f] == pytest.approx(v) for f, v in zip(r["features"], r["values"]))
+
+
 def test_candidate_tokens(spark):
     vocabulary = spark.createDataFrame(
         [(1, " tool", False), (2, "tool", False), (3, " use", True), (4, "us", False), (5, "e", False), (6, " plan", False)],

@@ -349,6 +349,14 @@ def lens(spark: SparkSession, sf: str):
     )}
 
 
+def layered_lens(spark: SparkSession, sf: str):
+    """As `lens`, and layer 1 through the first 32 columns of the same transport."""
+    from dataclasses import replace
+
+    one = lens(spark, sf)["m"]
+    return {"m": replace(one, jacobians={3: one.jacobians[3], 1: one.jacobians[3][:, :32]})}
+
+
 def two_lenses(spark: SparkSession, sf: str):
     """The lens of `lens`, and one with other matrices, norm and no soft cap for model n."""
     import numpy as np

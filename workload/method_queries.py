@@ -238,6 +238,90 @@ def f15_chosen(spark, sf):
     return rounded(layered_report(spark, sf).chosen.drop("tag", "train_auc"), "auc")
 
 
+LENS_1 = re.sub(r"\b(moved|normed|wanted)\b", r"\1_1", LENS).replace("e.embedding AS", "e.embedding[1:32] AS").replace("j.embedding AS", "j.embedding[1:32] AS")
+LENS_TRAIN = sql_train("JOIN wanted w ON w.cluster_id = f.cluster_id AND w.feature = p.feature")
+LENS_LAYERED = (
+    *SAMPLED,
+    at_layer(LENS_1, 1), at_layer(LENS, 3),
+    *[at_layer(c, n) for n in (1, 3) for c in (LENS_TRAIN, LENS_BEST, HELD_OUT)],
+    *LAYERED[-1:],
+)
+
+
+def layered_lens_report(spark, sf, others=None, limit=None):
+    p, rows = roles(spark, sf)
+    more = {} if limit is None else {"limit": limit}
+    folds = N.lens_lobo(rows, I.layered_lens(spark, sf), I.lens_candidates(spark, sf), p.folds, p.split, **more)
+    return X.feature_report(folds, "lens", others(p) if others else None)
+
+
+@query("f18_layers", with_ctes(*LENS_LAYERED, body="""
+SELECT layer, 'lens' AS method, n, round(mean, 6) AS mean, round(median, 6) AS median, strong,
+       layer = (SELECT layer FROM top) AS best FROM layers"""))
+def f18_layers(spark, sf):
+    return rounded(layered_lens_report(spark, sf).layers.drop("tag"), "mean", "median")
+
+
+@query("f18_tiled_lens", with_ctes(*LENS_LAYERED, body="""
+SELECT layer, cluster_id, hold, feature, round(train_auc, 6) AS train_auc, round(auc, 6) AS auc FROM chosen"""))
+def f18_tiled(spark, sf):
+    """The folds of both layers with weights several times the limit, in tiles of three rows."""
+    p, rows = roles(spark, sf)
+    folds = N.lens_lobo(rows, I.layered_lens(spark, sf), I.lens_candidates(spark, sf), p.folds, p.split, limit=3 * 64 * 8)
+    return rounded(folds.drop("tag", "sign"), "train_auc", "auc")
+
+
+OTHER_METHODS = """
+SELECT layer, method, count(*) AS n, round(avg(auc), 6) AS mean, round(median(auc), 6) AS median,
+       count(*) FILTER (WHERE auc >= 0.8) AS strong
+FROM (SELECT layer, 'diffmean' AS method, CAST(round_even(median(auc), 3) AS DOUBLE) AS auc FROM lobo_auc GROUP BY layer, cluster_id)
+GROUP BY ALL
+"""
+
+
+def diff_mean_cells(p):
+    return L.fold_summary(L.lobo_folds(p)).select(
+        "tag", "layer", "cluster_id", F.lit("diffmean").alias("method"), F.col("lobo_med").alias("auc"))
+
+
+@query("f18_comparison", with_ctes(*Q.LOBO, *[c for c in LENS_LAYERED if c not in Q.LOBO], body=f"""
+SELECT layer, 'lens' AS method, n, round(mean, 6) AS mean, round(median, 6) AS median, strong FROM layers
+WHERE layer = (SELECT layer FROM top) UNION ALL {OTHER_METHODS}"""))
+def f18_comparison(spark, sf):
+    """The lens at its best layer beside diff-mean at every layer."""
+    return rounded(layered_lens_report(spark, sf, diff_mean_cells).comparison.drop("tag"), "mean", "median")
+
+
+@query("f15_comparison", with_ctes(*Q.LOBO, *[c for c in LAYERED if c not in Q.LOBO], body=f"""
+SELECT layer, 'sae' AS method, n, round(mean, 6) AS mean, round(median, 6) AS median, strong FROM layers
+WHERE layer = (SELECT layer FROM top) UNION ALL {OTHER_METHODS}"""))
+def f15_comparison(spark, sf):
+    """The sparse features at their best layer beside diff-mean at every layer."""
+    p, rows = roles(spark, sf)
+    folds = Z.sparse_lobo(rows, I.layered_encoders(spark, sf), p.folds, p.split)
+    return rounded(X.feature_report(folds, "sae", diff_mean_cells(p)).comparison.drop("tag"), "mean", "median")
+
+
+@query("f12_tiled_encode", with_ctes(ENCODED, body="""
+SELECT uid, feature, round(s, 6) AS z FROM enc WHERE s > 0"""))
+def f12_tiled(spark, sf):
+    """The encoding with weights several times the limit, in tiles of three features."""
+    encoded = Z.encode(I.hidden(spark, sf), I.sae_encoders(spark, sf), limit=3 * 64 * 8)
+    flat = encoded.select("uid", F.inline(F.arrays_zip("features", "values")))
+    return rounded(flat.select("uid", F.col("features").alias("feature"), F.col("values").alias("z")), "z")
+
+
+@query("f16_top_tokens", with_ctes(LENS, body="""
+SELECT uid, CAST(row_number() OVER w AS INTEGER) AS place, feature AS token_id, round(s, 6) + 0 AS score FROM enc
+WINDOW w AS (PARTITION BY uid ORDER BY s DESC, feature) QUALIFY row_number() OVER w <= 3"""))
+def f16_top(spark, sf):
+    """Each text's three best tokens of all, from tiles of five tokens."""
+    scored = N.token_scores(I.hidden(spark, sf), I.lens(spark, sf), limit=5 * 64 * 8, top=3)
+    flat = scored.select("uid", F.posexplode(F.arrays_zip("features", "values")).alias("i", "t"))
+    return rounded(flat.select(
+        "uid", (F.col("i") + 1).alias("place"), F.col("t.features").alias("token_id"), F.col("t.values").alias("score")), "score")
+
+
 VOCABULARY = """
 words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part),
 names AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part),
@@ -312,7 +396,7 @@ def f7_solved(spark, sf):
 def f8_solved(spark, sf):
     """Whether the gradient of each fit, over all its training rows, vanishes."""
     p, blocks = probe_blocks(spark, sf)
-    checked = M.logistic_gradients(blocks, M.logistic_directions(blocks, p.folds))
+    checked = M.logistic_gradients(blocks, M.logistic_directions(blocks, p.folds, tol=1e-6))
     return checked.select("layer", "cluster_id", "hold", F.col("n_rows").alias("n_fit"), (F.col("gap") < 2e-6).alias("solved"))
 
 
