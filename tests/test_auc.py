@@ -78,3 +78,42 @@ def test_no_group_is_sorted_in_one_task(spark):
     specs = [w.split("windowspecdefinition(")[1] for w in plan.splitlines() if "Window [sum(_q" in w]
     by_score = [spec for spec in specs if "_s#" in spec]
     assert by_score and all("_b#" in spec.split("_s#")[0] for spec in by_score)
+
+
+def narrow(spark, n, width):
+    return spark.range(n).select(
+        F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("part"),
+        (3.0 + F.floor(F.rand(5) * 5000) / 5000 * width).alias("s"), (F.rand(6) < 0.3).alias("y")).cache()
+
+
+@pytest.mark.parametrize("width, heavy", [(3e-3, None), (3e-9, 100)])
+def test_close_scores_spread_over_many_tasks(spark, width, heavy):
+    from capsonde.functions.numbering import cut_heavy_buckets, value_bucket
+
+    df = narrow(spark, 20_000, width)
+    cut = df.groupBy("g", value_bucket(F.col("s")).alias("_b"), "s").agg(F.count("*").alias("n")).withColumn("_c", F.lit(0))
+    if heavy:
+        cut = cut_heavy_buckets(cut.drop("_c"), ["g"], "s", F.col("n"), heavy_rows=heavy)
+    sizes = [r["n"] for r in cut.groupBy("_b", "_c").agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 20_000 / 10
+    rows = [tuple(r) for r in df.collect()]
+    pos, neg = [r[2] for r in rows if r[3]], sorted(r[2] for r in rows if not r[3])
+    import bisect
+
+    wins = {p: sum((bisect.bisect_left(neg, s) + bisect.bisect_right(neg, s)) / 2 for _, q, s, y in rows if y and q == p) for p in "pq"}
+    got = {r["part"]: r["wins"] for r in count_wins(df, ["g"], "s", "y", "part", heavy_rows=heavy).collect()}
+    assert got == pytest.approx(wins)
+    auc = rank_sum_auc(df, ["g"], "s", "y", heavy_rows=heavy).first()["auc"]
+    assert auc == pytest.approx(sum(wins.values()) / len(pos) / len(neg))
+
+
+@settings(max_examples=3, deadline=None)
+@given(SCORES)
+def test_cut_buckets_rank_the_same(spark, rows):
+    from capsonde.functions.numbering import average_rank
+
+    df = frame(spark, [(g, p, s / 3, y) for g, p, s, y in rows]).cache()
+    plain = sorted(map(tuple, average_rank(df, ["g"], "s").collect()))
+    assert plain == sorted(map(tuple, average_rank(df, ["g"], "s", heavy_rows=2).collect()))
+    assert sorted(map(tuple, count_wins(df, ["g"], "s", "y", "part").collect())) == sorted(
+        map(tuple, count_wins(df, ["g"], "s", "y", "part", heavy_rows=2).collect()))
