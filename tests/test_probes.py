@@ -123,6 +123,21 @@ def test_negative_caps_and_disjointness(protocol):
         assert not {u for part in SPLIT[c] for u in part} & {u for u in H if c in TAGS[u]}
 
 
+def test_little_more_than_the_kept_negatives_is_paired(spark):
+    n = 6000
+    texts = spark.range(n).select(
+        F.concat(F.lit("u"), "id").alias("uid"), F.format_string("d%d", F.col("id") % 300).alias("dataset_id"),
+        F.when(F.col("id") % 300 < 2, F.array(F.lit("rare"))).when(F.col("id") % 300 < 150, F.array(F.lit("often"), F.lit("both")))
+        .otherwise(F.array(F.lit("often"))).alias("clusters"))
+    want = {r["cluster_id"]: (r["n"], r["k"]) for r in S.negative_candidates(texts).groupBy("cluster_id").agg(F.count("*").alias("n")).join(
+        S.members(texts).groupBy("cluster_id").agg((6 * F.count("*")).alias("k")), "cluster_id").collect()}
+    paired = {r["cluster_id"]: r["count"] for r in S.sampled_candidates(texts).groupBy("cluster_id").count().collect()}
+    kept = {r["cluster_id"]: r["count"] for r in S.negative_split(texts).groupBy("cluster_id").count().collect()}
+    for c, (n_all, wanted) in want.items():
+        assert kept[c] == min(n_all, wanted) <= paired[c] <= min(n_all, wanted) + max(20, n_all // 100)
+    assert paired["rare"] < want["rare"][0] / 4
+
+
 def test_a_capability_without_non_members_has_no_split(spark):
     texts = spark.createDataFrame([("a", "d", ["c"]), ("b", "e", ["c"])], "uid string, dataset_id string, clusters array<string>")
     assert S.negative_split(texts).count() == 0
