@@ -25,6 +25,15 @@ GRAM = 32
 DEPTH = 72  # bytes beyond `size` that are told apart, a multiple of 8; longer repeats overlap in steps
 
 
+def following_word(data: np.ndarray, at: np.ndarray, left: np.ndarray, skip: int) -> np.ndarray:
+    """Eight bytes from `skip` bytes after each place, as a big-endian number; zeros after a segment's end."""
+    word = np.zeros(len(at), np.uint64)
+    for i in range(skip, skip + 8):
+        byte = data[np.minimum(at + i, len(data) - 1)]
+        word = (word << np.uint64(8)) | np.where(i < left, byte, 0).astype(np.uint64)
+    return word
+
+
 def enhanced_suffix_array(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes that share `size` bytes with another, in groups and sorted inside; and the length of
     the prefix that each shares with the one before it (0: another group; at most size + DEPTH)."""
@@ -41,17 +50,17 @@ def enhanced_suffix_array(data: np.ndarray, offsets: np.ndarray, size: int) -> t
     many[1:] |= same
     many[:-1] |= same
     at, left, head = at[order][many], left[order][many], head[many]
-    # What follows the first `size` bytes, as big-endian words; nothing after a segment's end.
-    padded = np.concatenate([data, np.zeros(size + DEPTH + 8, np.uint8)])
-    following = padded[at[:, None] + np.arange(size, size + DEPTH)]
-    following[np.arange(size, size + DEPTH) >= left[:, None]] = 0
-    words = np.ascontiguousarray(following).view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], head))
-    at, left, head, following = at[order], left[order], head[order], following[order]
+    words = [following_word(data, at, left, size + i) for i in range(0, DEPTH, 8)]
+    order = np.lexsort((*words[::-1], head))
+    at, left, head = at[order], left[order], head[order]
     common = np.zeros(len(at), np.int64)
     if len(at) > 1:
-        differ = following[1:] != following[:-1]
-        deep = np.where(differ.any(1), differ.argmax(1), DEPTH)
+        deep = np.full(len(at) - 1, DEPTH, np.int64)
+        for i in range(len(words) - 1, -1, -1):
+            word = words.pop()[order]
+            differ = word[1:] ^ word[:-1]
+            equal_bytes = sum((differ < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
+            deep = np.where(differ != 0, 8 * i + equal_bytes, deep)
         common[1:] = np.where(head[1:] == head[:-1], np.minimum(np.minimum(left[1:], left[:-1]), size + deep), 0)
     return at, common
 

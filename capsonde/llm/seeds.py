@@ -321,9 +321,8 @@ def duplicate_spans(rows: DataFrame, windows: Windows, parse: Parser) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, last = [], 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # A batch may hold many times what is parsed at once, so it is taken in slices.
+        for batch in W.chunks(batches, "content", PARSED_BYTES // 4):
             key = batch.column("key").to_numpy()
             at = 0
             if n >= PARSED_BYTES:
