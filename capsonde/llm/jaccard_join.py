@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capsonde.llm import tokens as W
 from capsonde.llm.components import components
@@ -74,6 +75,18 @@ def with_classes(docs: DataFrame, shingle: int, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
+def add_class(docs: DataFrame, name: str, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
+    """docs with the class key of each text in a column `name`; null for a text without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.chunks(batches, text):
+            grams, first = shingle_sets(batch.column(text), shingle)
+            keys = pa.array(class_keys(grams, first), pa.int64(), mask=np.diff(first) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def planes(a: np.ndarray) -> bytes:
     """Bytes of equal weight side by side: sorted numbers then compress in a shuffle."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()

@@ -28,21 +28,39 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.score(docs, vectors, network, "__quality").where(F.col("__quality") >= THRESHOLD).select(*columns)
 
 
+def free_names(taken: list[str], n: int) -> list[str]:
+    """n column names that differ from those taken, in any case."""
+    lower = {c.lower() for c in taken}
+    return [c for c in (f"helper_{i}" for i in range(len(taken) + n)) if c not in lower][:n]
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Documents without words are in no group. Of rows that repeat a doc_id and a text one stays.
-    Rows with a null doc_id can't be told apart and stay, one for each text.
+    Documents without words are in no group. A doc_id that stands on several texts loses only those
+    that are copies, and keeps one of its own texts that are copies of each other. Of rows that
+    repeat a doc_id and a text one stays. Rows with a null doc_id can't be told apart and stay, one
+    for each text.
     """
+    names = docs.columns
     groups = stored(jaccard_join.similarity_components(docs), "groups")
-    gone = stored(groups.where("component_id < doc_id").select("doc_id").distinct(), "duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    later = groups.where("component_id < doc_id").select("doc_id", "class")
+    own = groups.where("component_id = doc_id AND class IS NOT NULL")
+    first = own.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
+    others = own.join(first, "doc_id").where("class > least").select("doc_id", "class")
+    gone = stored(later.unionByName(others).distinct(), "duplicates")
     # Texts are only compared where a doc_id, or none, stands in several rows.
-    often = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__often"))
-    often = stored(often, "repeated-ids")
-    same = F.col("doc_id").eqNullSafe(F.col("__often"))
-    one = kept.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(often, same, "left_anti").unionByName(one).select(*docs.columns)
+    id_, of_, kind = free_names(names, 3)
+    often = stored(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_)), "repeated-ids")
+    same = F.col("doc_id").eqNullSafe(F.col(id_))
+    single = docs.join(often, same, "left_anti").join(gone.select("doc_id"), "doc_id", "left_anti")
+    several = jaccard_join.add_class(docs.join(often, same, "left_semi"), kind)
+    copies = gone.select(F.col("doc_id").alias(id_), F.col("class").alias(of_))
+    several = several.join(copies, (F.col("doc_id") == F.col(id_)) & (F.col(kind) == F.col(of_)), "left_anti")
+    # Texts of one class under one doc_id are copies; without a class, or an id, only equal texts are.
+    alike = F.when(F.col("doc_id").isNotNull() & F.col(kind).isNotNull(), F.col(kind).cast("string")).otherwise(F.col("text"))
+    one = several.withColumn(kind, F.struct(F.col(kind).isNull().alias("empty"), alike.alias("alike"))).dropDuplicates(["doc_id", kind])
+    return single.select(*names).unionByName(one.select(*names))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

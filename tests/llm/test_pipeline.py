@@ -70,3 +70,19 @@ def test_awkward_documents_pass_through(spark, awkward_docs, no_docs):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
             docs.count()
+
+
+def test_a_doc_id_on_several_texts_loses_only_copies(spark):
+    words = [f"w{i}" for i in range(200)]
+    long, near = " ".join(words[:60]), " ".join([*words[:58], "x", "y"])
+    other, fourth = " ".join(words[60:120]), " ".join(words[120:180])
+    rows = [(1, long), (2, near), (2, other), (3, other + " z"), (4, fourth), (4, fourth + " q"), (4, fourth.upper()), (5, ""), (5, ""), (5, " "),
+            (None, long), (None, long), (None, "w1 w2"), (6, "alone"), (6, "alone")]
+    docs = spark.createDataFrame([(d, t, 9, "id", 1) for d, t in rows], "doc_id long, text string, helper_0 int, Helper_1 string, class int").repartition(4)
+    out = P.drop_near_duplicates(spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    four = [t for d, t in got if d == 4]
+    assert len(four) == 1 and four[0].lower().startswith(fourth)
+    assert [x for x in got if x[0] != 4] == sorted(
+        [(1, long), (2, other), (5, ""), (5, " "), (None, long), (None, "w1 w2"), (6, "alone")], key=repr)
