@@ -223,6 +223,42 @@ def b24(spark, sf):
     )
 
 
+EVIDENCE = (
+    "cluster_id string, family string, size long, top_tasks array<struct<name: string, count: long>>, representative_mentions array<struct<"
+    "paper_title: string, benchmark_name: string, task_name: string, capability_name: string, definition: string, "
+    "agentic_dimensions: array<string>, domain_metadata: array<string>, confidence: string>>")
+
+
+@query("b24_prompt_evidence", with_ctes(CLUSTER_SQL, f"""
+tops AS (
+  SELECT p_brand, p_type, n, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS r FROM types),
+tasks AS (
+  SELECT p_brand, string_agg(p_type || ':' || n, '|' ORDER BY r) FILTER (WHERE r <= 12) AS tasks, CAST(sum(n) AS BIGINT) AS size
+  FROM tops GROUP BY p_brand),
+shown AS (
+  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS mention_no FROM part
+  QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 10)""", body=f"""
+SELECT cluster_id, family, coalesce(size, 0) AS size, coalesce(tasks, '') AS tasks, CAST(mention_no AS INTEGER) AS mention_no,
+  'Paper ' || p_size AS paper_title, p_name AS capability_name, p_type AS task_name,
+  CASE WHEN p_partkey IS NOT NULL THEN {sql_compact("repeat(p_name || '  of' || chr(9) || p_type || chr(10), 40)", 450)} END AS definition,
+  CASE WHEN p_partkey IS NOT NULL THEN p_type || '/' END AS dimensions,
+  CASE WHEN p_size > 25 THEN 'high' WHEN p_size IS NOT NULL THEN 'low' END AS confidence, true AS framed
+FROM brands LEFT JOIN tasks ON tasks.p_brand = cluster_id LEFT JOIN shown ON shown.p_brand = cluster_id"""))
+def b24_evidence(spark, sf):
+    """The evidence read back from every prompt's text, one row per mention shown."""
+    prompts = refinement.prompts(I.clusters(spark, sf), I.mentions(spark, sf))
+    before = f"{J.GUIDANCE}\n\nOutput JSON schema:\n\n{J.REPLY_SHAPE}\n\nNow judge this cluster:\n\n"
+    read = prompts.select(
+        F.from_json(F.expr(f"substring(prompt, {len(before) + 1})"), EVIDENCE).alias("e"), F.startswith("prompt", F.lit(before)).alias("framed"))
+    each = read.select("e.*", "framed", F.posexplode_outer("e.representative_mentions").alias("i", "m"))
+    tasks = F.array_join(F.transform("top_tasks", lambda t: F.concat(t["name"], F.lit(":"), t["count"].cast("string"))), "|")
+    return each.select(
+        "cluster_id", "family", "size", tasks.alias("tasks"), (F.col("i") + 1).alias("mention_no"), "m.paper_title", "m.capability_name",
+        "m.task_name", "m.definition",
+        F.concat(F.array_join("m.agentic_dimensions", ","), F.lit("/"), F.array_join("m.domain_metadata", ",")).alias("dimensions"),
+        "m.confidence", "framed")
+
+
 @query("c2_clusters_with_mentions", with_ctes(CLUSTER_SQL, body="""
 SELECT cluster_id, family, least(count(p_brand), 10) AS shown FROM brands LEFT JOIN part ON cluster_id = p_brand
 GROUP BY ALL"""))
