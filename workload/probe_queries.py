@@ -11,7 +11,8 @@ from capsonde.operators import directions as D
 from capsonde.operators import lobo as L
 from capsonde.operators import reports as R
 from capsonde.operators import sampling as S
-from capsonde.session import materialize
+from capsonde.session import materialize, scratch_path
+from capsonde.sources.shards import read_shards, write_shards
 from workload import inputs as I
 from workload import sql_probe as Q
 from workload.registry import query, with_ctes
@@ -43,6 +44,18 @@ def c1(spark, sf):
     )
 
 
+@query("a5_numpy_shards", with_ctes(Q.HIDDEN, body="""
+SELECT layer, uid, CAST(len(h) AS INTEGER) AS width, round(list_sum(CAST(h AS DOUBLE[])), 6) + 0 AS total
+FROM hidden WHERE layer IN (1, 3)"""))
+def a5_shards(spark, sf):
+    """Two layers out of NumPy shards, to which all layers have been written."""
+    path = scratch_path(spark, "shards")
+    write_shards(I.hidden(spark, sf), path, 4)
+    chosen = read_shards(spark, path).filter("tag = 'm' AND layer IN (1, 3)")
+    total = F.aggregate("h", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rounded(chosen.select("layer", "uid", F.size("h").alias("width"), total.alias("total")), "total")
+
+
 @query("a5_hidden_load", with_ctes(Q.HIDDEN, body="""
 SELECT layer, uid, CAST(len(h) AS INTEGER) AS width, d.source AS dataset_id,
        round(ln(1 + length(d.text)), 6) AS log_len
