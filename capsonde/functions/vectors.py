@@ -28,6 +28,10 @@ def divide(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x / y)
 
 
+def squared_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsonde.functions import vectors as V
-from capsonde.functions.arrow import matrix_of
+from capsonde.session import materialize
 
 LAYER = ["tag", "layer"]
 
@@ -33,85 +34,87 @@ def pooled_vectors(moments: DataFrame) -> DataFrame:
     )
 
 
-def mean_silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    """Mean silhouette under squared Euclidean distance; a point alone in its cluster counts 0."""
-    squares = (x * x).sum(axis=1)
-    distance = np.maximum(squares[:, None] + squares[None] - 2 * x @ x.T, 0.0)
-    clusters, place = np.unique(label, return_inverse=True)
-    size = np.bincount(place)
-    if len(clusters) < 2:
-        return 0.0
-    total = np.stack([distance[:, place == c].sum(axis=1) for c in range(len(clusters))], axis=1)
-    at = np.arange(len(x))
-    own = total[at, place] / np.maximum(size[place] - 1, 1)
-    other = total / size
-    other[at, place] = np.inf
-    near = other.min(axis=1)
-    wide = np.maximum(own, near)
-    score = np.divide(near - own, wide, out=np.zeros(len(x)), where=wide > 0)
-    return float(np.where(size[place] > 1, score, 0.0).mean())
-
-
-def k_means(x: np.ndarray, k: int, seed: int, starts: int = 8, steps: int = 100) -> np.ndarray:
-    """Labels of the tightest of several seeded runs, each started from points far apart."""
-    rng, best, least = np.random.default_rng(seed), np.zeros(len(x), int), np.inf
-    for _ in range(starts):
-        centre = x[[rng.integers(len(x))]]
-        while len(centre) < k:
-            gap = ((x[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1)
-            odds = gap / gap.sum() if gap.sum() > 0 else None
-            centre = np.vstack([centre, x[rng.choice(len(x), p=odds)]])
-        label = None
-        for _ in range(steps):
-            gaps = ((x[:, None] - centre[None]) ** 2).sum(axis=2)
-            now = gaps.argmin(axis=1)
-            if label is not None and (now == label).all():
-                break
-            label = now
-            centre = np.stack([x[label == c].mean(axis=0) if (label == c).any() else centre[c] for c in range(k)])
-        cost = gaps.min(axis=1).sum()
-        if cost < least:
-            best, least = label, cost
-    return best
-
-
-def _points(group: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """A layer's vectors and capabilities, in the order of the capabilities."""
-    order = np.argsort(np.array(group["cluster_id"].to_pylist()))
-    return matrix_of(group[column])[order], order
-
-
-def silhouette(vectors: DataFrame, label: str, column: str = "pooled") -> DataFrame:
-    """Silhouette of a given labelling of the capabilities, per (model, layer)."""
-
-    def run(key, group):
-        x, order = _points(group, column)
-        score = mean_silhouette(x, np.array(group[label].to_pylist())[order])
-        return pa.table({"tag": [key[0].as_py()], "layer": pa.array([key[1].as_py()], pa.int32()), "silhouette": [score]})
-
-    needed = vectors.select(*LAYER, "cluster_id", label, column)
-    return needed.groupBy(*LAYER).applyInArrow(run, "tag string, layer int, silhouette double")
-
-
-def silhouette_sweep(
-    vectors: DataFrame, ks: range = range(4, 16), column: str = "pooled", seed: int = 0
-) -> DataFrame:
-    """Silhouette of a k-means clustering of the capabilities for every (model, layer) and k.
+def silhouette(vectors: DataFrame, label: str, column: str = "pooled", keys: list[str] | None = None) -> DataFrame:
+    """Mean silhouette under squared Euclidean distance of a labelling, per (model, layer) or other keys.
 
-    A group is one layer's pooled vectors, a row for each capability; a k that leaves no two
-    capabilities together has no row.
+    A cluster's count, vector sum and sum of squares give the mean distance of a point to it, so no
+    pairs of points are made. A point alone in its cluster counts 0, and so does a single cluster.
     """
+    keys = keys or LAYER
+    rows = vectors.select(*keys, "cluster_id", F.col(label).alias("_own"), F.col(column).alias("_x"))
+    middle = rows.groupBy(*keys).agg(V.vector_mean(F.col("_x")).alias("_mid"))
+    rows = rows.join(middle, keys).withColumn("_x", V.subtract(F.col("_x"), F.col("_mid"))).drop("_mid")
+    rows = rows.withColumn("_q", V.dot(F.col("_x"), F.col("_x")))
+    moments = rows.withColumnRenamed("_own", "_label").groupBy(*keys, "_label").agg(
+        F.count(F.lit(1)).alias("_n"), V.vector_sum(F.col("_x")).alias("_s"), F.sum("_q").alias("_qs"))
+    whole = F.col("_n") * F.col("_q") + F.col("_qs")
+    total = whole - 2 * V.dot(F.col("_x"), F.col("_s"))
+    total = F.when(total > 1e-12 * whole, total).otherwise(0.0)  # equal points are not apart by rounding
+    same = F.col("_own") == F.col("_label")
+    points = rows.join(moments, keys).groupBy(*keys, "cluster_id").agg(
+        F.max(F.when(same, total / F.greatest(F.col("_n") - 1, F.lit(1)))).alias("own"),
+        F.max(F.when(same, F.col("_n"))).alias("size"),
+        F.min(F.when(~same, total / F.col("_n"))).alias("near"),
+    )
+    wide = F.greatest("own", "near")
+    score = F.when((F.col("size") > 1) & (wide > 0) & F.col("near").isNotNull(), (F.col("near") - F.col("own")) / wide)
+    return points.groupBy(*keys).agg(F.avg(F.coalesce(score, F.lit(0.0))).alias("silhouette"))
 
-    def run(key, group):
-        x, _ = _points(group, column)
-        tried = [k for k in ks if 1 < k < len(x)]
-        scores = [mean_silhouette(x, k_means(x, k, seed)) for k in tried]
-        n = len(tried)
-        return pa.table({"tag": pa.array([key[0].as_py()] * n, pa.string()), "layer": pa.array([key[1].as_py()] * n, pa.int32()),
-                         "k": pa.array(tried, pa.int32()), "silhouette": pa.array(scores, pa.float64())})
 
-    needed = vectors.select(*LAYER, "cluster_id", column)
-    return needed.groupBy(*LAYER).applyInArrow(run, "tag string, layer int, k int, silhouette double")
+def far_points(points: DataFrame, most: int) -> DataFrame:
+    """(tag, layer, centre, c): points in farthest-first order, from the smallest cluster_id on.
+
+    Each step takes the point farthest from those taken, ties to the smallest cluster_id.
+    """
+    state, taken = points.withColumn("gap", F.lit(float("inf"))), []
+    for rank in range(most):
+        state = materialize(state)
+        c = F.min_by("x", F.struct(-F.col("gap"), F.col("cluster_id"))).alias("c")
+        best = state.groupBy(*LAYER).agg(c)
+        taken.append(best.withColumn("centre", F.lit(rank)))
+        state = state.join(best, LAYER).select(
+            *points.columns, F.least("gap", V.squared_distance(F.col("x"), F.col("c"))).alias("gap"))
+    return reduce(DataFrame.unionByName, taken)
+
+
+def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """Every point with the nearest centre of each k as its label, ties to the first one."""
+    lists = centres.groupBy(*LAYER, "k").agg(F.collect_list(F.struct("centre", "c")).alias("centres"))  # k entries
+    gaps = F.transform("centres", lambda e: F.struct(V.squared_distance(F.col("x"), e["c"]).alias("gap"), e["centre"].alias("centre")))
+    return points.join(lists, LAYER).select(*LAYER, "k", "cluster_id", "x", F.array_min(gaps)["centre"].alias("label"))
+
+
+def k_means(points: DataFrame, ks: Iterable[int], steps: int = 50) -> DataFrame:
+    """(tag, layer, k, cluster_id, x, label): every k of every (model, layer), all in the same steps.
+
+    The k centres start at the first points of `far_points` and move to the means of their points
+    until none moves, or for so many steps; a centre without points stays. Only k below the number
+    of points are tried. The centres are a stored table.
+    """
+    sizes = points.groupBy(*LAYER).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    ks = [k for k in ks if 1 < k < largest]
+    if not ks:
+        return points.select(*LAYER, F.lit(0).alias("k"), "cluster_id", "x", F.lit(0).alias("label")).limit(0)
+    tried = far_points(points, max(ks)).join(sizes, LAYER).withColumn("k", F.explode(F.lit(ks)))
+    centres = materialize(tried.where("centre < k AND k < n").select(*LAYER, "k", "centre", "c"))
+    for _ in range(steps):
+        means = nearest(points, centres).groupBy(*LAYER, "k", F.col("label").alias("centre")).agg(V.vector_mean(F.col("x")).alias("m"))
+        moved = V.squared_distance(F.col("c"), F.col("m")) > 1e-20 * V.dot(F.col("c"), F.col("c"))
+        both = materialize(centres.join(means, [*LAYER, "k", "centre"], "left").withColumn("moved", F.coalesce(moved, F.lit(False))))
+        centres = both.select(*LAYER, "k", "centre", F.coalesce("m", "c").alias("c"))
+        if both.where("moved").isEmpty():
+            break
+    return nearest(points, centres)
+
+
+def silhouette_sweep(vectors: DataFrame, ks: Iterable[int] = range(4, 16), column: str = "pooled") -> DataFrame:
+    """Silhouette of a k-means clustering of the capabilities for every (model, layer) and k.
+
+    A k that leaves no two capabilities together has no row.
+    """
+    points = materialize(vectors.select(*LAYER, "cluster_id", F.col(column).alias("x")))
+    return silhouette(materialize(k_means(points, ks)), "label", "x", [*LAYER, "k"])
 
 
 def adjusted_rand(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -528,17 +528,42 @@ def test_silhouette_prefers_the_true_number(spark):
     rng = np.random.default_rng(1)
     points = [("m", 1 + i % 2, f"c{i}", [float(a) for a in rng.normal(10 * (i // 2 % (3 + i % 2)), 0.3, 4)]) for i in range(60)]
     df = spark.createDataFrame(points, "tag string, layer int, cluster_id string, pooled array<double>")
-    scores = {(r["layer"], r["k"]): r["silhouette"] for r in O.silhouette_sweep(df, range(2, 40)).collect()}
-    assert {k for _, k in scores} == set(range(2, 30))
+    scores = {(r["layer"], r["k"]): r["silhouette"] for r in O.silhouette_sweep(df, [2, 3, 4, 5, 29, 30]).collect()}
+    assert {k for _, k in scores} == {2, 3, 4, 5, 29}
     assert max((k for l, k in scores if l == 1), key=lambda k: scores[1, k]) == 3
     assert max((k for l, k in scores if l == 2), key=lambda k: scores[2, k]) == 4
 
 
-def test_silhouette_of_single_and_equal_points():
-    x = np.array([[0.0], [0.0], [5.0]])
-    assert O.mean_silhouette(x, np.array([0, 0, 1])) == pytest.approx(2 / 3)
-    assert O.mean_silhouette(x, np.array([0, 0, 0])) == 0.0
-    assert O.mean_silhouette(np.zeros((4, 2)), np.array([0, 0, 1, 1])) == 0.0
+def test_silhouette_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x, label = rng.normal(3, 1, (40, 5)), rng.integers(0, 6, 40)
+    x[1], label[:2], label[2] = x[0], 5, 6  # two equal points, and one alone
+    rows = [("m", 1, f"c{i}", int(label[i]), [float(a) for a in x[i]]) for i in range(40)]
+    df = spark.createDataFrame(rows, "tag string, layer int, cluster_id string, lab int, pooled array<double>")
+    gaps, scores = ((x[:, None] - x[None]) ** 2).sum(2), []
+    for i in range(40):
+        mean = {c: gaps[i, label == c].sum() / max((label == c).sum() - (c == label[i]), 1) for c in set(label)}
+        own, near = mean.pop(label[i]), min(mean[c] for c in mean if c != label[i])
+        scores.append((near - own) / max(near, own) if (label == label[i]).sum() > 1 else 0.0)
+    assert O.silhouette(df, "lab").first()["silhouette"] == pytest.approx(np.mean(scores))
+
+
+@pytest.mark.parametrize("x, label, score", [
+    ([[0.0], [0.0], [5.0]], [0, 0, 1], 2 / 3),
+    ([[0.0], [0.0], [5.0]], [0, 0, 0], 0.0),
+    ([[0.1, 0.7]] * 4, [0, 0, 1, 1], 0.0),
+])
+def test_silhouette_of_single_and_equal_points(spark, x, label, score):
+    rows = [("m", 1, f"c{i}", label[i], v) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "tag string, layer int, cluster_id string, lab int, pooled array<double>")
+    assert O.silhouette(df, "lab").first()["silhouette"] == pytest.approx(score)
+
+
+def test_k_means_of_equal_and_no_points(spark):
+    schema = "tag string, layer int, cluster_id string, pooled array<double>"
+    same = spark.createDataFrame([("m", 1, f"c{i}", [1.0, 2.0]) for i in range(4)], schema)
+    assert [(r["k"], r["silhouette"]) for r in O.silhouette_sweep(same, [2, 3, 9]).orderBy("k").collect()] == [(2, 0.0), (3, 0.0)]
+    assert O.silhouette_sweep(same.limit(0)).count() == 0
 
 
 def test_vector_mean_weighted(spark):

@@ -328,6 +328,13 @@ def two_models(spark: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(own.withColumn("tag", F.lit("n")))
 
 
+def short_model(spark: SparkSession, sf: str) -> DataFrame:
+    """All layers of model m, and a model n whose layers 1 and 2 are the first halves of them."""
+    own = hidden(spark, sf)
+    short = own.filter("layer < 3").select(F.lit("n").alias("tag"), "layer", "uid", F.slice("h", 1, 16).alias("h"))
+    return own.unionByName(short)
+
+
 def two_encoders(spark: SparkSession, sf: str):
     """Different weights for the same layer of two models."""
     return {

@@ -449,10 +449,60 @@ def i1(spark, sf):
     )
 
 
-@query("i2_silhouette_sweep")
+def sql_k_means(ks: range, steps: int) -> list[str]:
+    """Farthest-first starts and the steps of k-means over points (tag, layer, cluster_id, v), a table for each."""
+    most = max(ks)
+    out = ["gap_0 AS MATERIALIZED (SELECT *, CAST('inf' AS DOUBLE) AS gap FROM points)"]
+    for j in range(most):
+        out.append(f"""far_{j} AS MATERIALIZED (SELECT tag, layer, {j} AS centre, v AS c FROM gap_{j}
+  QUALIFY row_number() OVER (PARTITION BY tag, layer ORDER BY gap DESC, cluster_id) = 1)""")
+        out.append(f"""gap_{j + 1} AS MATERIALIZED (
+  SELECT tag, layer, cluster_id, v, least(gap, list_distance(v, c)) AS gap FROM gap_{j} JOIN far_{j} USING (tag, layer))""")
+    starts = " UNION ALL ".join(f"SELECT * FROM far_{j}" for j in range(most))
+    out.append(f"""centres_0 AS MATERIALIZED (
+  SELECT tag, layer, k, centre, c FROM ({starts}) CROSS JOIN range({min(ks)}, {most + 1}) r(k)
+  JOIN (SELECT tag, layer, count(*) AS n FROM points GROUP BY ALL) USING (tag, layer) WHERE centre < k AND k < n)""")
+    for s in range(steps):
+        out.append(f"""near_{s} AS MATERIALIZED (
+  SELECT tag, layer, k, cluster_id, v, centre FROM points JOIN centres_{s} USING (tag, layer)
+  QUALIFY row_number() OVER (PARTITION BY tag, layer, k, cluster_id ORDER BY list_distance(v, c), centre) = 1)""")
+        out.append(f"""centres_{s + 1} AS MATERIALIZED (
+  SELECT tag, layer, k, centre, coalesce(m, c) AS c FROM centres_{s} LEFT JOIN (
+    SELECT tag, layer, k, centre, list(x ORDER BY i) AS m FROM (
+      SELECT tag, layer, k, centre, i, avg(x) AS x FROM (
+        SELECT tag, layer, k, centre, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM near_{s}) GROUP BY ALL)
+    GROUP BY tag, layer, k, centre) USING (tag, layer, k, centre))""")
+    return out
+
+
+SWEEP_STEPS = 12  # more than it takes to come to rest
+SWEEP = (
+    """long AS (SELECT tag, layer, uid, unnest(range(1, len(h) + 1)) AS i, CAST(unnest(h) AS DOUBLE) AS x FROM (
+  SELECT 'm' AS tag, * FROM hidden UNION ALL SELECT 'n', layer, uid, h[1:16] FROM hidden WHERE layer < 3))""",
+    """points AS MATERIALIZED (
+  SELECT tag, layer, cluster_id, list(p ORDER BY i) AS v FROM (
+    SELECT tag, layer, cluster_id, i, avg(m) AS p FROM (
+      SELECT tag, layer, cluster_id, dataset_id, i, avg(x) AS m FROM members JOIN long USING (uid) GROUP BY ALL)
+    GROUP BY tag, layer, cluster_id, i) GROUP BY tag, layer, cluster_id)""",
+    *sql_k_means(range(4, 16), SWEEP_STEPS),
+    f"""means AS (
+  SELECT a.tag, a.layer, a.k, a.cluster_id, a.centre = b.centre AS own, count(*) AS n,
+         sum(list_distance(a.v, b.v) ** 2) / CASE WHEN a.centre = b.centre THEN greatest(count(*) - 1, 1) ELSE count(*) END AS m
+  FROM near_{SWEEP_STEPS - 1} a JOIN near_{SWEEP_STEPS - 1} b USING (tag, layer, k)
+  GROUP BY a.tag, a.layer, a.k, a.cluster_id, a.centre, b.centre)""",
+    """scores AS (
+  SELECT tag, layer, k, max(n) FILTER (WHERE own) AS n, max(m) FILTER (WHERE own) AS own, min(m) FILTER (WHERE NOT own) AS near
+  FROM means GROUP BY tag, layer, k, cluster_id)""",
+)
+
+
+@query("i2_silhouette_sweep", with_ctes(Q.TEXTS, Q.MEMBERS, Q.HIDDEN, *SWEEP, body="""
+SELECT tag, layer, CAST(k AS INTEGER) AS k,
+       round(avg(CASE WHEN n > 1 AND greatest(near, own) > 0 THEN (near - own) / greatest(near, own) ELSE 0 END), 6) + 0 AS silhouette
+FROM scores GROUP BY tag, layer, k"""))
 def i2(spark, sf):
-    pooled = O.pooled_vectors(protocol(spark, sf, "lobo").moments)
-    return rounded(O.silhouette_sweep(pooled), "silhouette").drop("tag")
+    moments = L.Protocol(I.short_model(spark, sf), I.probe_texts(spark, sf), ("lobo",), per_dataset=I.NEGATIVES).moments
+    return rounded(O.silhouette_sweep(O.pooled_vectors(moments)), "silhouette")
 
 
 SILHOUETTE = """
