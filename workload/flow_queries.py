@@ -135,3 +135,11 @@ def j2_streamed(spark, sf):
     return streamed(spark, sf, "abilities").select(
         "pos", "ability_index", "source_cluster_id", "ability_name", F.md5("definition").alias("definition_md5")
     )
+
+
+@query("j1_streamed_rejects", with_ctes(JUDGED, body="""
+SELECT pos, 'r' || pos AS cluster_id, outcome,
+       CASE WHEN failed THEN 'timed out' ELSE 'not a JSON object' END AS error
+FROM judged WHERE outcome <> 'parsed'"""))
+def j1_streamed_rejects(spark, sf):
+    return streamed(spark, sf, "rejects").drop("text")
