@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from capsonde.llm import decontamination, jaccard_join, pii, quality, sampled_encoding
 from capsonde.llm.registry import ORACLES, PIECES, QUERIES, SURROGATE_KEY, THRESHOLD, table, training_labels
-from capsonde.llm.storage import stored
+from capsonde.llm.storage import free_names, stored
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,6 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.score(docs, vectors, network, "__quality").where(F.col("__quality") >= THRESHOLD).select(*columns)
 
 
-def free_names(taken: list[str], n: int) -> list[str]:
-    """n column names that differ from those taken, in any case."""
-    lower = {c.lower() for c in taken}
-    return [c for c in (f"helper_{i}" for i in range(len(taken) + n)) if c not in lower][:n]
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
