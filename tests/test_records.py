@@ -224,3 +224,30 @@ def test_stream_takes_up_where_it_stopped(spark):
     assert sorted(r["pos"] for r in judged.collect()) == [0, 1, 2, 6]
     assert ST.read_output(spark, out, "rejects").count() == 4
     assert ST.read_output(spark, out, "abilities").count() == 3
+
+
+def mention_rows(spark, rows):
+    blank = dict.fromkeys(c.split(" ")[0] for c in MENTIONS.split(", "))
+    return spark.createDataFrame([{**blank, "cluster_id": c, "pos": p, "definition": d} for c, p, d in rows], MENTIONS)
+
+
+def test_mentions_without_cluster_or_place(spark):
+    rows = [("a", p, f"a{p}") for p in (5, 3, None, 9, 7, 1)] + [(None, p, f"n{p}") for p in (2, None, 1, 4)] + [("b", 8, "b8")]
+    rows += [("t", 1, "t1"), *[("t", 2, "t2")] * 5, ("t", 3, "t3"), *[("u", None, "uNone")] * 5, ("u", 1, "u1")]
+    got = J.representative_mentions(mention_rows(spark, rows), 3).collect()
+    by_cluster = {}
+    for r in sorted(got, key=lambda r: r["mention_no"]):
+        by_cluster.setdefault(r["cluster_id"], []).append(r["definition"])
+    assert by_cluster == {"a": ["aNone", "a1", "a3"], None: ["nNone", "n1", "n2"], "b": ["b8"],
+                          "t": ["t1", "t2", "t2"], "u": ["uNone"] * 3}
+
+
+def test_texts_of_mentions_are_sorted_only_within_the_limits(spark):
+    mentions = mention_rows(spark, [("a", p, f"text {p}") for p in range(40)])
+    plan = J.representative_mentions(mentions, 3)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = [x.split("\n") for x in plan.split("\n\n(")[1:]]
+    of = lambda kind: [(i, x) for i, x in enumerate(nodes) if x[0].split(") ")[-1].startswith(kind)]
+    wide = [i for i, x in of("Sort") if any("definition" in line for line in x if line.startswith("Input"))]
+    limited = [i for i, _ in of("BroadcastHashJoin")]
+    assert wide and limited and min(limited) < min(wide)
