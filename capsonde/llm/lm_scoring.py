@@ -30,6 +30,7 @@ BATCH = 256
 RATE = 0.5
 SEED = 5
 BLANK = 0  # code beyond a text's border
+SLICE = 1 << 10  # words scored together: their logits stay in cache
 FREQUENT = 1 << 18  # a word with more than one in so many places is sent to all tasks: fewer words than this
 UNSEEN = -np.log(2.0**64 / (DIGITS * DIGITS - 1))  # an uncounted word: one count, shared by all hashes of its code
 
@@ -44,6 +45,12 @@ def start_weights() -> dict[str, np.ndarray]:
     }
 
 
+def own_weights(weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A task's copy. Unpickled arrays have a dtype object of their own, with which `ufunc.at` takes
+    its general path, many times slower than the one for numpy's own float32."""
+    return {n: v.astype(np.float32) for n, v in weights.items()}
+
+
 def word_codes(hashes: np.ndarray) -> np.ndarray:
     return 1 + (hashes % np.uint64(DIGITS * DIGITS - 1)).astype(np.int64)
 
@@ -115,34 +122,40 @@ def context_rows(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
 def hidden(w: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
     total = w["context"][rows[:, 0]]
     for k in range(1, rows.shape[1]):
-        total = total + w["context"][rows[:, k]]
-    return np.tanh(total)
+        total += w["context"][rows[:, k]]
+    return np.tanh(total, out=total)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    e = x - x.max(1, keepdims=True)
+    np.exp(e, out=e)
+    e /= e.sum(1, keepdims=True)
+    return e
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """One column of each row's log-softmax; x is overwritten."""
+    x -= x.max(1, keepdims=True)
+    taken = x[np.arange(len(x)), column]
+    return taken - np.log(np.exp(x, out=x).sum(1))
 
 
 def heads(w: dict[str, np.ndarray], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logits of both digits, and what those of the second one come from."""
     h2 = h + w["digit"][first]
-    return h @ w["out1"][:, :-1].T + w["out1"][:, -1], h2 @ w["out2"][:, :-1].T + w["out2"][:, -1], h2
+    one, two = h @ w["out1"][:, :-1].T, h2 @ w["out2"][:, :-1].T
+    one += w["out1"][:, -1]
+    two += w["out2"][:, -1]
+    return one, two, h2
 
 
 def word_log_probs(w: dict[str, np.ndarray], codes: np.ndarray, places: np.ndarray) -> np.ndarray:
     out = np.zeros(len(places))
-    for i in range(0, len(places), 1 << 14):
-        at = places[i : i + (1 << 14)]
+    for i in range(0, len(places), SLICE):
+        at = places[i : i + SLICE]
         first, second = np.divmod(codes[at], DIGITS)
         one, two, _ = heads(w, hidden(w, context_rows(codes, at)), first)
-        n = np.arange(len(at))
-        out[i : i + len(at)] = log_softmax(one)[n, first].astype(np.float64) + log_softmax(two)[n, second]
+        out[i : i + len(at)] = log_softmax_at(one, first).astype(np.float64) + log_softmax_at(two, second)
     return out
 
 
@@ -189,7 +202,7 @@ def train_round(docs: DataFrame, weights: dict[str, np.ndarray], number: int, ro
     width = HIDDEN + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = {n: v.copy() for n, v in weights.items()}
+        w = own_weights(weights)
         seen = 0
         for batch in W.chunks(batches, text):
             codes, places, hashes, of = codes_of(batch.column(text))

@@ -164,3 +164,16 @@ def test_training_beats_the_unigram_model(spark):
     unigram = (n * np.log(n / n.sum())).sum() / n.sum()
     mean = lm_scoring.score(docs, lm_scoring.train(docs)).agg(F.sum("log_prob") / F.sum("n_words")).first()[0]
     assert mean > unigram, (mean, unigram)
+
+
+def test_a_task_trains_on_the_quick_path_of_ufunc_at():
+    import pickle
+
+    sent = pickle.loads(pickle.dumps(lm_scoring.start_weights(), 5))
+    own = lm_scoring.own_weights(sent)
+    assert all(v.dtype is np.dtype(np.float32) and not np.shares_memory(v, sent[n]) for n, v in own.items())
+    codes, at = np.arange(40) % 7, np.arange(5, 30)
+    other = {n: v.copy() for n, v in sent.items()}
+    for w in (own, other):
+        lm_scoring.train_batch(w, codes, at, 0.5)
+    assert all(np.array_equal(own[n], other[n]) for n in own)
