@@ -1,7 +1,7 @@
 """Segmentation lattices of many words at once, as numpy tables.
 
 Words (a space and what follows it) are laid out one after the other with a closing place each.
-Row p of a table is place p; column l - 1 is the piece of l characters that starts there.
+An edge is a piece that starts at a place; most places have one or two.
 """
 
 from __future__ import annotations
@@ -25,18 +25,20 @@ def char_symbols(chars: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Pieces with log-probabilities; `bytes_` are the ids of the 256 byte pieces."""
+    """Pieces with log-probabilities; `bytes_` are the ids of the 256 byte pieces. `hashes` are those
+    of all beginnings of pieces, whole ones included, and `whole` the piece that each is, or -1."""
 
     ids: np.ndarray
     log_probs: np.ndarray
     hashes: np.ndarray
+    whole: np.ndarray
     bytes_: np.ndarray
     byte_log_prob: float
     longest: int
     texts: list[bytes]
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Lookup tables from a hash's slot to a piece; where pieces collide, all but one go to the
+        """Lookup tables from a hash's slot to a beginning; where some collide, all but one go to the
         next table, and the slot is marked."""
         if not hasattr(self, "_tables"):
             left, tables = np.arange(len(self.hashes)), []
@@ -55,8 +57,8 @@ class Vocabulary:
     def _slot(hashes: np.ndarray, number: int) -> np.ndarray:
         return ((hashes * np.uint64(2 * number + 0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or -1."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The beginning with each hash, and the piece that it is, or -1."""
         out = np.full(len(hashes), -1, np.int64)
         open_ = np.arange(len(hashes))
         for number, (table, more) in enumerate(self.tables()):
@@ -66,7 +68,7 @@ class Vocabulary:
             same = known[self.hashes[at[known]] == hashes[open_[known]]]
             out[open_[same]] = at[same]
             open_ = open_[more[slot]]
-        return out
+        return out, np.where(out >= 0, self.whole[out], -1)
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -91,83 +93,117 @@ def load_vocabulary(path: str) -> Vocabulary:
                 plain.append((i, piece.replace(chr(META), " ")))
     weight = np.array([-np.log(rank + 2.7) for rank in range(len(plain))])
     log_z = np.logaddexp.reduce(weight)
-    hashes = []
-    for _, piece in plain:
-        symbols = char_symbols(np.array([ord(c) for c in piece]))
-        hashes.append(W.prefix_sums(symbols)[-1])
+    beginnings, whole = [], []
+    for number, (_, piece) in enumerate(plain):
+        sums = W.prefix_sums(char_symbols(np.array([ord(c) for c in piece])))[1:]
+        beginnings.append(sums)
+        whole.append(np.where(np.arange(len(sums)) == len(sums) - 1, number, -1))
+    hashes, of = np.unique(np.concatenate(beginnings), return_inverse=True)
+    piece_of = np.full(len(hashes), -1)
+    np.maximum.at(piece_of, of, np.concatenate(whole))
     return Vocabulary(
-        np.array([i for i, _ in plain]), weight - log_z, np.array(hashes, np.uint64), bytes_,
+        np.array([i for i, _ in plain]), weight - log_z, hashes, piece_of, bytes_,
         float(weight.min() - log_z), max(len(p) for _, p in plain), texts,
     )
 
 
 @dataclass
 class Lattice:
-    """chars and tables over places; word w starts at place first[w]."""
+    """Places and the edges between them, in the order of their place and length; word w starts at
+    place first[w], and place p has the edges edges[p] up to edges[p + 1], none at a word's end."""
 
     first: np.ndarray
-    chars: np.ndarray
-    pieces: np.ndarray  # id of the piece in each column, -1 where there is none
-    log_probs: np.ndarray  # of the same
-    beta: np.ndarray  # log of the summed probability of all ways from here to the word's end
-    chosen: np.ndarray  # cumulated probability of the columns, for drawing
-
-    def conditional(self, place: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Log-probability of taking that piece, given that a way has come to its place."""
-        out = self.log_probs[place, column] + self.beta[place + column + 1] - self.beta[place]
-        return np.minimum(out, 0.0)
-
-    def ended(self, place: np.ndarray) -> np.ndarray:
-        return self.chars[place] < 0
-
-
-def build(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary, smoothing: float) -> Lattice:
-    """Lattices of the words chars[starts:starts + lengths]; log-probabilities are times `smoothing`."""
+    edges: np.ndarray
+    place: np.ndarray  # of every edge
+    target: np.ndarray  # the place that it leads to
+    lengths: np.ndarray  # its characters
+    pieces: np.ndarray  # its piece's id
+    steps: np.ndarray  # log-probability of taking it, given that a way has come to its place
+    chosen: np.ndarray  # cumulated probability of a place's edges, for drawing
+    goes_on: np.ndarray  # whether a place has edges
+
+    def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """For every place the first edge whose cumulated probability is not under that share of all."""
+        edge, least = self.edges[place + 1] - 1, self.edges[place]
+        limit = u * self.chosen[edge]
+        open_ = np.flatnonzero(edge > least)
+        while len(open_):
+            open_ = open_[self.chosen[edge[open_] - 1] >= limit[open_]]
+            edge[open_] -= 1
+            open_ = open_[edge[open_] > least[open_]]
+        return edge
+
+
+def build(chars: np.ndarray, sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary, smoothing: float) -> Lattice:
+    """Lattices of the words chars[starts:starts + lengths]; log-probabilities are times `smoothing`.
+
+    `sums` are the prefix sums of the characters' symbols.
+    """
     slots = lengths + 1
     first = np.cumsum(slots) - slots
     total = int(slots.sum())
     offset = np.arange(total) - np.repeat(first, slots)
     left = np.repeat(lengths, slots) - offset
-    text = np.where(left > 0, chars[np.minimum(np.repeat(starts, slots) + offset, max(len(chars) - 1, 0))], -1)
-    width = vocabulary.longest
-    pieces = np.full((total, width), -1, np.int32)
-    log_probs = np.full((total, width), -np.inf, np.float32)
-    edge = np.zeros((total, width), np.uint8)
-    sums = W.prefix_sums(char_symbols(np.maximum(text, 0)))
-    back = W.powers(len(sums))[1][:total]
-    for n in range(1, min(width, total - 1) + 1):
-        at = np.flatnonzero(left[: total - n] >= n)
-        found = vocabulary.find(((sums[n:-1] - sums[: -n - 1]) * back[: total - n])[at])
-        hit = found >= 0
-        at, found = at[hit], found[hit]
-        pieces[at, n - 1] = vocabulary.ids[found]
-        log_probs[at, n - 1] = smoothing * vocabulary.log_probs[found]
-        edge[at, n - 1] = 1
-    alone = np.flatnonzero((left > 0) & (pieces[:, 0] < 0))
-    actual = np.where(text[alone] == LITERAL, META, text[alone])
-    pieces[alone, 0] = FALLBACK + actual
-    log_probs[alone, 0] = smoothing * vocabulary.byte_log_prob * utf8_lengths(actual)
-    edge[alone, 0] = 1
-    # Edges in the order of what is left behind their place: a place's beta needs shorter rests only.
-    order = np.argsort(left, kind="stable")
-    row, column = np.divmod(np.flatnonzero(edge[order]), width)
-    place = order[row]
-    target, weight = place + column + 1, log_probs[place, column].astype(np.float64)
+    source = np.repeat(starts, slots) + offset
+    back = W.powers(len(sums))[1]
+    # Only places whose characters so far begin some piece are looked up with one character more.
+    at, found_at, found, counts = np.flatnonzero(left > 0), [], [], np.zeros(total, np.int64)
+    begin = source[at]
+    begun, scale = sums[begin], back[begin]
+    for n in range(1, vocabulary.longest + 1):
+        node, piece = vocabulary.find((sums[begin + n] - begun) * scale)
+        hit = piece >= 0
+        place, piece = at[hit], piece[hit]
+        if n == 1:
+            alone = np.ones(total, bool)
+            alone[left <= 0] = alone[place] = False
+            place, piece = np.concatenate([place, np.flatnonzero(alone)]), np.concatenate([piece, np.full(int(alone.sum()), -1)])
+        found_at.append(place)
+        found.append(piece)
+        counts[place] += 1
+        more = np.flatnonzero((node >= 0) & (left[at] > n))
+        if not len(more):
+            break
+        at, begin, begun, scale = at[more], begin[more], begun[more], scale[more]
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    size = int(edges[-1])
+    place, length, piece = np.empty(size, np.int32), np.empty(size, np.int64), np.empty(size, np.int64)
+    free = edges[:-1].copy()
+    for n, (p, x) in enumerate(zip(found_at, found, strict=True), 1):
+        to = free[p]
+        place[to], length[to], piece[to] = p, n, x
+        free[p] += 1
+    pieces, log_probs = vocabulary.ids[piece].astype(np.int32), (smoothing * vocabulary.log_probs[piece]).astype(np.float32)
+    spelled = np.flatnonzero(piece < 0)
+    actual = chars[source[place[spelled]]]
+    actual = np.where(actual == LITERAL, META, actual)
+    pieces[spelled] = FALLBACK + actual
+    log_probs[spelled] = smoothing * vocabulary.byte_log_prob * utf8_lengths(actual)
+    # Places in the order of what is left behind them: a place's beta needs shorter rests only.
+    short = left.astype(np.uint16) if int(left.max(initial=0)) < 1 << 16 else left  # sorted by radix
+    order = np.argsort(short, kind="stable")
+    cuts = np.searchsorted(short[order], np.arange(1, int(left.max(initial=0)) + 2))
+    begins = np.concatenate([[0], np.cumsum(counts[order])])
+    by_left = np.arange(size) + np.repeat(edges[order] - begins[:-1], counts[order])
+    target, weight = place + length, log_probs.astype(np.float64)
+    target_l, weight_l = target[by_left], weight[by_left]
     beta = np.zeros(total)
-    cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-    edges = np.searchsorted(row, np.arange(total + 1))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a == b:
             continue
-        e = slice(edges[a], edges[b])
-        ways, starts = weight[e] + beta[target[e]], edges[a:b] - edges[a]
-        top = np.maximum.reduceat(ways, starts)
-        ways -= np.repeat(top, np.diff(edges[a : b + 1]))
-        beta[order[a:b]] = top + np.log(np.add.reduceat(np.exp(ways), starts))
-    chosen = np.zeros((total, width), np.float32)
-    chosen[place, column] = np.exp(weight + beta[target] - beta[place])
-    np.cumsum(chosen, axis=1, out=chosen)
-    return Lattice(first, text, pieces, log_probs, beta, chosen)
+        e = slice(begins[a], begins[b])
+        ways, own = weight_l[e] + beta[target_l[e]], begins[a:b] - begins[a]
+        top = np.maximum.reduceat(ways, own)
+        ways -= np.repeat(top, counts[order[a:b]])
+        beta[order[a:b]] = top + np.log(np.add.reduceat(np.exp(ways, out=ways), own))
+    steps = weight + beta[target] - beta[place]
+    chosen = np.exp(steps).astype(np.float32)
+    later = np.flatnonzero(counts > 1)
+    for n in range(1, int(counts.max(initial=0))):
+        to = edges[later] + n
+        chosen[to] += chosen[to - 1]
+        later = later[counts[later] > n + 1]
+    return Lattice(first, edges, place, target, length, pieces, np.minimum(steps, 0.0, out=steps), chosen, counts > 0)
 
 
 def utf8_lengths(chars: np.ndarray) -> np.ndarray:

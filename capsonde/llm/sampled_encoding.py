@@ -54,42 +54,38 @@ class Search:
     def __init__(self, lat: L.Lattice, word: np.ndarray, first: np.ndarray, seeds: np.ndarray):
         self.lat, self.word, self.first, self.seeds = lat, word, first, seeds
         self.text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        self.pool = {n: np.zeros(0, t) for n, t in (("place", np.int64), ("column", np.int64), ("occurrence", np.int64),
-                                                    ("before", float), ("node", float), ("taken", np.int64))}
+        self.pool = {n: np.zeros(0, t) for n, t in (("edge", np.int32), ("occurrence", np.int32), ("before", float), ("node", float), ("taken", np.int64))}
         self.spans: list[np.ndarray] = []
         self.log_probs: list[np.ndarray] = []
 
-    def walk(self, occurrences: np.ndarray, places: np.ndarray, round_: int) -> tuple[np.ndarray, ...]:
-        """Draw pieces from each place to its word's end: (occurrence, place, column), in order."""
+    def walk(self, occurrences: np.ndarray, places: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray]:
+        """Draw pieces from each place to its word's end: (occurrence, edge), in order."""
         seed = self.seeds[self.text_of[occurrences]]
-        inside = occurrences - self.first[self.text_of[occurrences]]
+        inside = (occurrences - self.first[self.text_of[occurrences]]) << 32 | round_
         got: list = []
-        row = np.arange(len(occurrences))
-        at, step = places.copy(), 0
-        open_ = ~self.lat.ended(at)
-        row, at = row[open_], at[open_]
+        row = np.flatnonzero(self.lat.goes_on[places])
+        at, step = places[row], 0
         while len(row):
-            u = uniform(seed[row], inside[row] << 32 | step << 8 | round_).astype(np.float32)
-            table = self.lat.chosen[at]
-            column = (table < (u * table[:, -1])[:, None]).sum(1)
-            got.append((row, np.full(len(row), step), at, column))
-            at = at + column + 1
+            u = uniform(seed[row], inside[row] | step << 8).astype(np.float32)
+            edge = self.lat.draw(at, u)
+            got.append((row, np.full(len(row), step), edge))
+            at = self.lat.target[edge]
             step += 1
-            open_ = ~self.lat.ended(at)
+            open_ = np.flatnonzero(self.lat.goes_on[at])
             row, at = row[open_], at[open_]
         if not got:
             z = np.zeros(0, np.int64)
-            return z, z, z
-        row, steps, at, column = (np.concatenate(x) for x in zip(*got, strict=True))
+            return z, z
+        row, steps, edge = (np.concatenate(x) for x in zip(*got, strict=True))
         counts = np.bincount(row, minlength=len(occurrences))
         to = (np.cumsum(counts) - counts)[row] + steps
-        out = np.empty((3, len(row)), np.int64)
-        out[0, to], out[1, to], out[2, to] = occurrences[row], at, column
-        return out[0], out[1], out[2]
+        out = np.empty((2, len(row)), np.int64)
+        out[0, to], out[1, to] = occurrences[row], edge
+        return out[0], out[1]
 
     def add(self, texts: np.ndarray, kept: np.ndarray, parents: np.ndarray, branch: np.ndarray, walked: tuple, limit: np.ndarray, round_: int) -> None:
         """A sample for each of `texts`: `kept` decisions from pool places `parents` on, one at
-        (place, column) of `branch` unless that is -1, then what was walked."""
+        (occurrence, edge) of `branch` unless that is -1, then what was walked."""
         n = len(self.first) - 1
         text_w = self.text_of[walked[0]]
         rest = np.bincount(text_w, minlength=n)[texts]
@@ -100,24 +96,24 @@ class Search:
         new = {k: np.zeros(total, v.dtype) for k, v in self.pool.items()}
         inner = np.arange(int(kept.sum())) - np.repeat(np.cumsum(kept) - kept, kept)
         to, source = np.repeat(begin, kept) + inner, np.repeat(parents, kept) + inner
-        for k in ("place", "column", "occurrence", "before"):
+        for k in ("edge", "occurrence"):
             new[k][to] = self.pool[k][source]
         b = begin[has > 0] + kept[has > 0]
-        new["place"][b], new["column"][b], new["occurrence"][b] = (x[has > 0] for x in branch)
+        new["occurrence"][b], new["edge"][b] = (x[has > 0] for x in branch)
         inner = np.arange(len(text_w)) - np.repeat(np.cumsum(rest) - rest, rest)
-        to = np.repeat(begin + kept + has, rest) + inner
-        new["occurrence"][to], new["place"][to], new["column"][to] = walked
-        step = self.lat.conditional(new["place"], new["column"]) if total else np.zeros(0)
+        fresh = np.repeat(begin + kept + has, rest) + inner
+        new["occurrence"][fresh], new["edge"][fresh] = walked
+        step = self.lat.steps[new["edge"]]
         sums = np.concatenate([[0.0], np.cumsum(step)])
-        owner = np.repeat(np.arange(len(texts)), size)
-        new["before"] = sums[:-1] - sums[begin][owner]
-        new["taken"] = 1 << new["column"]
-        place_in = np.arange(total) - begin[owner]
-        fresh = place_in >= (kept + has)[owner]
-        u = uniform(self.seeds[texts][owner], place_in | 1 << 62 | round_ << 48)
-        node = below(limit[owner], new["before"] + left_over(step), u)
-        new["node"] = np.where(fresh & np.isfinite(node), node, -np.inf)
-        base = len(self.pool["place"])
+        new["before"] = sums[:-1] - np.repeat(sums[begin], size)
+        new["taken"] = 1 << (self.lat.lengths[new["edge"]] - 1)
+        # Only what was walked leaves new nodes.
+        owner = np.repeat(np.arange(len(texts)), rest)
+        u = uniform(self.seeds[texts][owner], (fresh - begin[owner]) | 1 << 62 | round_ << 48)
+        node = below(limit[owner], new["before"][fresh] + left_over(step[fresh]), u)
+        new["node"][:] = -np.inf
+        new["node"][fresh] = np.where(np.isfinite(node), node, -np.inf)
+        base = len(self.pool["edge"])
         span = np.full((n, 2), -1, np.int64)
         span[texts] = np.stack([base + begin, base + begin + size], 1)
         log_prob = np.full(n, -np.inf)
@@ -146,11 +142,24 @@ class Search:
             sample[texts[better]] = r
         return value, place, sample
 
+    def ways(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place a row of probabilities by the pieces' lengths, and one of edges, -1 where there is none."""
+        begin, counts = self.lat.edges[places], self.lat.edges[places + 1] - self.lat.edges[places]
+        row = np.repeat(np.arange(len(places)), counts)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        edge = begin[row] + inner
+        length = self.lat.lengths[edge]
+        lower = np.where(inner > 0, self.lat.chosen[edge - 1], np.float32(0))
+        odds, edges = np.zeros((len(places), int(length.max(initial=1)))), np.full((len(places), int(length.max(initial=1))), -1)
+        odds[row, length - 1] = self.lat.chosen[edge] - lower
+        edges[row, length - 1] = edge
+        return odds, edges
+
     def run(self, k: int) -> np.ndarray:
         """Adds up to k samples of every text; returns the best value that is left over."""
         n = len(self.first) - 1
         texts = np.arange(n)
-        nobody = np.full((3, n), -1, np.int64)
+        nobody = np.full((2, n), -1, np.int64)
         zero = np.zeros(n, np.int64)
         root = -np.log(-np.log(uniform(self.seeds, zero + (1 << 41))))
         self.add(texts, zero, zero, nobody, self.walk(np.arange(len(self.word)), self.lat.first[self.word], 0), root, 0)
@@ -161,9 +170,9 @@ class Search:
                 break
             at, limit = place[texts], value[texts]
             spans = np.stack(self.spans)[sample[texts], texts]
-            where, taken, before = self.pool["place"][at], self.pool["taken"][at], self.pool["before"][at]
-            odds = np.diff(self.lat.chosen[where], axis=1, prepend=np.float32(0)).astype(np.float64)
-            free = (self.lat.pieces[where] >= 0) & ((taken[:, None] >> np.arange(odds.shape[1])) & 1 == 0)
+            taken, before = self.pool["taken"][at], self.pool["before"][at]
+            odds, edges = self.ways(self.lat.place[self.pool["edge"][at]])
+            free = (edges >= 0) & ((taken[:, None] >> np.arange(odds.shape[1])) & 1 == 0)
             odds = np.where(free, np.maximum(odds, 1e-300), 0.0)
             total = np.cumsum(odds, 1)
             u = uniform(self.seeds[texts], at - spans[:, 0], np.full(len(texts), 1 << 42 | r))
@@ -176,13 +185,13 @@ class Search:
                 node = below(limit, before + np.log(rest), u)
             self.pool["node"][at] = np.where(rest > 0, node, -np.inf)
             self.pool["taken"][at] = taken | (1 << column)
-            occurrence = self.pool["occurrence"][at]
+            occurrence, edge = self.pool["occurrence"][at].astype(np.int64), edges[np.arange(len(texts)), column]
             later = self.first[texts + 1] - occurrence  # this word's rest and the words after it
             inner = np.arange(int(later.sum())) - np.repeat(np.cumsum(later) - later, later)
             occurrences = np.repeat(occurrence, later) + inner
-            places = np.where(inner == 0, np.repeat(where + column + 1, later), self.lat.first[self.word[occurrences]])
+            places = np.where(inner == 0, np.repeat(self.lat.target[edge], later), self.lat.first[self.word[occurrences]])
             walked = self.walk(occurrences, places, r)
-            self.add(texts, at - spans[:, 0], spans[:, 0], np.stack([where, column, occurrence]), walked, limit, r)
+            self.add(texts, at - spans[:, 0], spans[:, 0], np.stack([occurrence, edge]), walked, limit, r)
         return self.best_nodes()[0]
 
 
@@ -192,14 +201,19 @@ def encode_chunk(texts: list[str], keys: np.ndarray, vocabulary: L.Vocabulary, k
     chars = np.where(chars == L.META, L.LITERAL, chars)
     starts = np.flatnonzero(chars == L.SPACE)
     ends = np.append(starts[1:], len(chars))
-    hashes = W.run_hashes(W.prefix_sums(L.char_symbols(chars)), starts, ends)
-    _, one, word = np.unique(hashes, return_index=True, return_inverse=True)
-    lat = L.build(chars, starts[one], (ends - starts)[one], vocabulary, smoothing)
+    sums = W.prefix_sums(L.char_symbols(chars))
+    _, one, word = np.unique(W.run_hashes(sums, starts, ends), return_index=True, return_inverse=True)
+    # In the order of the text, words that are read together lie together.
+    order = np.argsort(one)
+    rank = np.empty(len(one), np.int64)
+    rank[order] = np.arange(len(one))
+    one, word = one[order], rank[word]
+    lat = L.build(chars, sums, starts[one], (ends - starts)[one], vocabulary, smoothing)
     borders = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     first = np.searchsorted(starts, borders)
     search = Search(lat, word, first, keys)
     spare = search.run(k)
-    ids, counts = L.expand_fallback(lat.pieces[search.pool["place"], search.pool["column"]], vocabulary)
+    ids, counts = L.expand_fallback(lat.pieces[search.pool["edge"]], vocabulary)
     at = np.concatenate([[0], np.cumsum(counts)])
     spans, log_probs = np.stack(search.spans, 1), np.stack(search.log_probs, 1)
     real = spans[:, :, 0] >= 0

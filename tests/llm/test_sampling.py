@@ -95,3 +95,16 @@ def test_all_ways_of_a_short_text(vocabulary):
     samples = S.encode_chunk(["at"], W.mix(np.array([5], np.uint64)), vocabulary, len(expected) + 3, 0.5).to_pylist()[0]
     assert {tuple(s["ids"]) for s in samples} == set(expected) and len(samples) == len(expected)
     assert all(s["inclusion"] == 1 for s in samples)
+
+
+def test_a_lattice_holds_edges_only(vocabulary):
+    text = " the cat sat on  the mat"
+    chars = np.array([ord(c) for c in text])
+    starts = np.flatnonzero(chars == L.SPACE)
+    ends = np.append(starts[1:], len(chars))
+    lat = L.build(chars, W.prefix_sums(L.char_symbols(chars)), starts, ends - starts, vocabulary, 0.5)
+    pieces = {vocabulary.texts[i].decode() for i in vocabulary.ids.tolist()}
+    words = [text[a:b] for a, b in zip(starts, ends, strict=True)]
+    expected = [w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1) if w[i:j] in pieces]
+    assert [vocabulary.texts[i].decode() for i in lat.pieces.tolist()] == expected
+    assert len(lat.chosen) == len(lat.steps) == len(lat.place) == len(expected)
