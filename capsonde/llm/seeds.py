@@ -26,6 +26,7 @@ WHOLE = -1  # end of a span that goes to the text's end
 LAST = (1 << 63) - 1  # stands for a null doc_id: later than every other
 FRAGMENT_BYTES = 32 << 20  # of text behind one fragment of keys
 LEAST_FRAGMENTS = 64
+TEXT_BYTES = 1 << 19  # of text whose windows a task looks at together: each byte takes some 80 of working arrays
 UNIT = 1 << 20  # runs that a task holds before it sends their keys off
 HELD_BYTES = 2 << 20  # of segments that a task holds to find copies
 PARSED_BYTES = 1 << 20  # of segments parsed together: whole groups, one at least
@@ -140,7 +141,7 @@ def key_rows(docs: DataFrame, windows: Windows, fragments: int, text: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in W.chunks(batches, text):
+        for batch in W.chunks(batches, text, TEXT_BYTES):
             _, _, key, of, twice = runs(windows.parse(batch.column(text), windows.size), windows.size, windows.gram)
             if windows.within:
                 key, of = np.concatenate([key, key[twice]]), np.concatenate([of, of[twice]])
@@ -248,7 +249,7 @@ def segments(docs: DataFrame, repeated: DataFrame, windows: Windows, text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in W.chunks(batches, text):
+        for batch in W.chunks(batches, text, TEXT_BYTES):
             rows = cut(batch)
             if rows.num_rows:
                 held.append(rows)

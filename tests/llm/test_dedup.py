@@ -1,5 +1,9 @@
 """Operators that look for repeats, on awkward rows, against brute force."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from capsonde.llm import components, decontamination, jaccard_join, repeat_dedup, substring_dedup
@@ -90,3 +94,19 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(61)} | {200 + i: 200 for i in range(50)} | {300: 300, 301: 300}
+
+
+def test_a_large_group_takes_little_memory():
+    text = np.random.default_rng(3).integers(97, 123, 100_000).astype(np.uint8).tobytes()
+    doc, zero = np.arange(3), np.zeros(3, np.int64)
+    tracemalloc.start()
+    row, start, end = repeat_dedup.parse_block(100)(zero, doc, zero, pa.array([text] * 3, pa.binary()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 170 * 3 * len(text)
+    for d in (1, 2):
+        gone = np.zeros(len(text), bool)
+        for a, b in zip(start[row == d], end[row == d], strict=True):
+            gone[a:b] = True
+        assert gone.all()
+    assert not (row == 0).any()
