@@ -158,8 +158,8 @@ def build(chars: np.ndarray, sums: np.ndarray, starts: np.ndarray, lengths: np.n
             alone = np.ones(total, bool)
             alone[left <= 0] = alone[place] = False
             place, piece = np.concatenate([place, np.flatnonzero(alone)]), np.concatenate([piece, np.full(int(alone.sum()), -1)])
-        found_at.append(place)
-        found.append(piece)
+        found_at.append(place.astype(np.int32))
+        found.append(piece.astype(np.int32))
         counts[place] += 1
         more = np.flatnonzero((node >= 0) & (left[at] > n))
         if not len(more):
@@ -167,12 +167,13 @@ def build(chars: np.ndarray, sums: np.ndarray, starts: np.ndarray, lengths: np.n
         at, begin, begun, scale = at[more], begin[more], begun[more], scale[more]
     edges = np.concatenate([[0], np.cumsum(counts)])
     size = int(edges[-1])
-    place, length, piece = np.empty(size, np.int32), np.empty(size, np.int64), np.empty(size, np.int64)
+    place, length, piece = np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size, np.int32)
     free = edges[:-1].copy()
     for n, (p, x) in enumerate(zip(found_at, found, strict=True), 1):
         to = free[p]
         place[to], length[to], piece[to] = p, n, x
         free[p] += 1
+    del found_at, found, free, at, begin, begun, scale
     pieces, log_probs = vocabulary.ids[piece].astype(np.int32), (smoothing * vocabulary.log_probs[piece]).astype(np.float32)
     spelled = np.flatnonzero(piece < 0)
     actual = chars[source[place[spelled]]]
@@ -185,8 +186,8 @@ def build(chars: np.ndarray, sums: np.ndarray, starts: np.ndarray, lengths: np.n
     cuts = np.searchsorted(short[order], np.arange(1, int(left.max(initial=0)) + 2))
     begins = np.concatenate([[0], np.cumsum(counts[order])])
     by_left = np.arange(size) + np.repeat(edges[order] - begins[:-1], counts[order])
-    target, weight = place + length, log_probs.astype(np.float64)
-    target_l, weight_l = target[by_left], weight[by_left]
+    target = place + length
+    target_l, weight_l = target[by_left], log_probs[by_left].astype(np.float64)
     beta = np.zeros(total)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a == b:
@@ -196,7 +197,9 @@ def build(chars: np.ndarray, sums: np.ndarray, starts: np.ndarray, lengths: np.n
         top = np.maximum.reduceat(ways, own)
         ways -= np.repeat(top, counts[order[a:b]])
         beta[order[a:b]] = top + np.log(np.add.reduceat(np.exp(ways, out=ways), own))
-    steps = weight + beta[target] - beta[place]
+    del by_left, target_l, weight_l
+    steps = log_probs + beta[target]
+    steps -= beta[place]
     chosen = np.exp(steps).astype(np.float32)
     later = np.flatnonzero(counts > 1)
     for n in range(1, int(counts.max(initial=0))):

@@ -106,7 +106,7 @@ class Search:
         step = self.lat.steps[new["edge"]]
         sums = np.concatenate([[0.0], np.cumsum(step)])
         new["before"] = sums[:-1] - np.repeat(sums[begin], size)
-        new["taken"] = 1 << (self.lat.lengths[new["edge"]] - 1)
+        new["taken"] = 1 << (self.lat.lengths[new["edge"]].astype(np.int64) - 1)
         # Only what was walked leaves new nodes.
         owner = np.repeat(np.arange(len(texts)), rest)
         u = uniform(self.seeds[texts][owner], (fresh - begin[owner]) | 1 << 62 | round_ << 48)
