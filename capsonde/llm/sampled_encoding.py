@@ -26,7 +26,7 @@ from capsonde.llm import tokens as W
 
 SAMPLES = 2
 SMOOTHING = 0.5  # log-probabilities are multiplied by it: below 1, samples differ more
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19  # of text encoded together: working arrays take some 150 times as much
 SAMPLE = "array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
 
 
