@@ -251,3 +251,29 @@ def test_texts_of_mentions_are_sorted_only_within_the_limits(spark):
     wide = [i for i, x in of("Sort") if any("definition" in line for line in x if line.startswith("Input"))]
     limited = [i for i, _ in of("BroadcastHashJoin")]
     assert wide and limited and min(limited) < min(wide)
+
+
+def test_few_mentions_remain_of_many_that_share_a_place(spark):
+    rows = [("nulls", None, f"n{i}") for i in range(600)] + [("copies", 4, "same")] * 600
+    rows += [("tied", 1, "first"), *[("tied", 2, f"t{i}") for i in range(600)]] + [("few", None, "x"), ("few", 9, "y")]
+    mentions = mention_rows(spark, rows).repartition(5).cache()
+    sizes = {r["cluster_id"]: r["count"] for r in J.early_mentions(mentions, 3).groupBy("cluster_id").count().collect()}
+    assert sizes["copies"] == 3 and sizes["few"] == 2 and 3 <= sizes["nulls"] < 100 and 3 <= sizes["tied"] < 100
+    got = {}
+    for r in sorted(J.representative_mentions(mentions, 3).collect(), key=lambda r: r["mention_no"]):
+        got.setdefault(r["cluster_id"], []).append(r["definition"])
+    assert got["copies"] == ["same"] * 3 and got["few"] == ["x", "y"] and got["tied"][0] == "first"
+    assert {c: len(set(d)) for c, d in got.items()} == {"nulls": 3, "copies": 1, "tied": 3, "few": 2}
+    again = J.representative_mentions(mentions.repartition(2), 3).collect()
+    assert sorted(r["definition"] for r in again) == sorted(d for t in got.values() for d in t)
+
+
+def test_bounds_of_places_take_no_sort(spark):
+    mentions = spark.range(5000).selectExpr("id % 3 AS cluster_id", "CASE WHEN id % 3 > 0 OR id % 30 > 0 THEN 9999 - id END AS pos")
+    bounds = J.least_bounds(mentions, ["cluster_id"], "pos", 10)
+    assert "Sort" not in bounds._jdf.queryExecution().executedPlan().toString().replace("sort_array", "")
+    rows = {r["cluster_id"]: r for r in bounds.collect()}
+    assert rows[0]["_nulls"] and not rows[1]["_nulls"]
+    for c in (1, 2):
+        up_to = mentions.filter(f"cluster_id = {c} AND pos <= {rows[c]['_bound']}").count()
+        assert 10 <= up_to < 40
