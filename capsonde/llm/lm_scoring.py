@@ -30,8 +30,11 @@ BATCH = 256
 RATE = 0.5
 SEED = 5
 BLANK = 0  # code beyond a text's border
+PIECE = 1 << 16  # bytes of texts whose words are found together: eight bytes for each stay in cache
+LOWER_SYMBOL = W.SYMBOL[W.LOWER]
 SLICE = 1 << 10  # words scored together: their logits stay in cache
 FREQUENT = 1 << 18  # a word with more than one in so many places is sent to all tasks: fewer words than this
+CELLS = np.arange(2 * REACH * DIGITS * DIGITS * HIDDEN).reshape(-1, HIDDEN)  # flat places of a table's rows
 UNSEEN = -np.log(2.0**64 / (DIGITS * DIGITS - 1))  # an uncounted word: one count, shared by all hashes of its code
 
 
@@ -55,13 +58,26 @@ def word_codes(hashes: np.ndarray) -> np.ndarray:
     return 1 + (hashes % np.uint64(DIGITS * DIGITS - 1)).astype(np.int64)
 
 
+def pieces(texts: W.Texts) -> Iterator[W.Texts]:
+    """Texts in pieces of about PIECE bytes; a text stays whole."""
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(texts.offsets, texts.offsets[at] + PIECE, "right")) - 1)
+        first, last = texts.offsets[at], texts.offsets[to]
+        yield W.Texts(texts.data[first:last], texts.offsets[at : to + 1] - first)
+        at = to
+
+
 def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word codes with blanks around every text; places, hashes and texts of the words."""
     texts = W.texts_of(column)
-    lower = W.LOWER[texts.data]
-    words = W.find_words(texts, W.NOT_SPACE)
-    hashes = W.word_hashes(lower, words)
-    of = words.text_of_word()
+    found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for piece in pieces(texts):
+        words = W.find_words(piece, W.NOT_SPACE)
+        found.append(W.run_hashes(W.prefix_sums(LOWER_SYMBOL[piece.data]), words.starts, words.ends))
+        counts.append(words.counts)
+    hashes = np.concatenate(found)
+    of = np.repeat(np.arange(len(texts)), np.concatenate(counts))
     codes = np.full(len(hashes) + REACH * (len(texts) + 1), BLANK, np.int64)
     places = np.arange(len(hashes)) + REACH * (of + 1)
     codes[places] = word_codes(hashes)
@@ -114,39 +130,55 @@ def count_words(docs: DataFrame, text: str = "text") -> WordCounts:
 
 
 def context_rows(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Rows of the context table for every place: one for each neighbour and side."""
-    steps = np.array([s for s in range(-REACH, REACH + 1) if s])
-    return codes[places[:, None] + steps] + np.arange(2 * REACH) * DIGITS * DIGITS
+    """Rows of the context table: one row of them for each neighbour and side, a place in a column."""
+    side = np.arange(2 * REACH)[:, None]
+    return codes[places + (side - REACH + (side >= REACH))] + side * DIGITS * DIGITS
 
 
 def hidden(w: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
-    total = w["context"][rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        total += w["context"][rows[:, k]]
+    total = w["context"].take(rows, 0).sum(0)
     return np.tanh(total, out=total)
 
 
+# Logits stand a digit's value in a row, a word in a column: steps over a word's logits are then
+# steps over whole rows, many times quicker than over 64 neighbours.
+
+
+def column_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the DIGITS rows, eighths first and then pairs, as numpy sums neighbours."""
+    total = x.reshape(DIGITS // 8, -1).sum(0).reshape(8, -1)
+    while len(total) > 1:
+        total = total[::2] + total[1::2]
+    return total[0]
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
-    e = x - x.max(1, keepdims=True)
-    np.exp(e, out=e)
-    e /= e.sum(1, keepdims=True)
-    return e
+    """Softmax of every column; x is overwritten."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= column_sums(x)
+    return x
 
 
-def log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """One column of each row's log-softmax; x is overwritten."""
-    x -= x.max(1, keepdims=True)
-    taken = x[np.arange(len(x)), column]
-    return taken - np.log(np.exp(x, out=x).sum(1))
+def log_softmax_at(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One row of each column's log-softmax; x is overwritten."""
+    x -= x.max(0)
+    taken = x[row, np.arange(x.shape[1])]
+    return taken - np.log(column_sums(np.exp(x, out=x)))
 
 
-def heads(w: dict[str, np.ndarray], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of both digits, and what those of the second one come from."""
-    h2 = h + w["digit"][first]
-    one, two = h @ w["out1"][:, :-1].T, h2 @ w["out2"][:, :-1].T
-    one += w["out1"][:, -1]
-    two += w["out2"][:, -1]
-    return one, two, h2
+def with_one(h: np.ndarray) -> np.ndarray:
+    """h and a column of ones, which the outputs' last column, their bias, belongs to."""
+    out = np.empty((len(h), HIDDEN + 1), np.float32)
+    out[:, :-1] = h
+    out[:, -1] = 1
+    return out
+
+
+def heads(w: dict[str, np.ndarray], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of both digits, and what each of them comes from."""
+    h1, h2 = with_one(h), with_one(h + w["digit"].take(first, 0))
+    return w["out1"] @ h1.T, w["out2"] @ h2.T, h1, h2
 
 
 def word_log_probs(w: dict[str, np.ndarray], codes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -154,15 +186,25 @@ def word_log_probs(w: dict[str, np.ndarray], codes: np.ndarray, places: np.ndarr
     for i in range(0, len(places), SLICE):
         at = places[i : i + SLICE]
         first, second = np.divmod(codes[at], DIGITS)
-        one, two, _ = heads(w, hidden(w, context_rows(codes, at)), first)
+        one, two, _, _ = heads(w, hidden(w, context_rows(codes, at)), first)
         out[i : i + len(at)] = log_softmax_at(one, first).astype(np.float64) + log_softmax_at(two, second)
     return out
 
 
 def subtract_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """np.subtract.at over whole rows; flat indices are quicker."""
-    at = rows[:, None] * table.shape[1] + np.arange(table.shape[1])
-    np.subtract.at(table.reshape(-1), at.ravel(), values.ravel())
+    """np.subtract.at of the values over whole rows, for each of several lists of rows.
+
+    Flat indices are quicker, above all when they are read from a table.
+    """
+    at = CELLS.take(rows, 0)
+    every = np.empty(at.shape, np.float32)
+    every[:] = values
+    np.subtract.at(table.reshape(-1), at.reshape(-1), every.reshape(-1))
+
+
+def lower_at(x: np.ndarray, row: np.ndarray) -> None:
+    """Takes 1 from one row of each column."""
+    x.reshape(-1)[row * x.shape[1] + np.arange(x.shape[1])] -= 1
 
 
 def round_of(hashes: np.ndarray, of: np.ndarray, n: int, rounds: int) -> np.ndarray:
@@ -176,23 +218,18 @@ def train_batch(w: dict[str, np.ndarray], codes: np.ndarray, at: np.ndarray, rat
     rows = context_rows(codes, at)
     first, second = np.divmod(codes[at], DIGITS)
     h = hidden(w, rows)
-    one, two, h2 = heads(w, h, first)
-    n = np.arange(len(at))
+    one, two, h1, h2 = heads(w, h, first)
     g1, g2 = softmax(one), softmax(two)
-    g1[n, first] -= 1
-    g2[n, second] -= 1
+    lower_at(g1, first)
+    lower_at(g2, second)
     step = np.float32(rate / len(at))
-    back2 = g2 @ w["out2"][:, :-1]
-    back = (g1 @ w["out1"][:, :-1] + back2) * (1 - h * h)
-    w["out1"][:, :-1] -= step * (g1.T @ h)
-    w["out1"][:, -1] -= step * g1.sum(0)
-    w["out2"][:, :-1] -= step * (g2.T @ h2)
-    w["out2"][:, -1] -= step * g2.sum(0)
-    subtract_rows(w["digit"], first, step * back2)
+    back2 = g2.T @ w["out2"][:, :-1]
+    back = (g1.T @ w["out1"][:, :-1] + back2) * (1 - h * h)
+    w["out1"] -= step * (h1.T @ g1.T).T
+    w["out2"] -= step * (h2.T @ g2.T).T
+    subtract_rows(w["digit"], first[None], step * back2)
     # A context word is rare within a batch: its rows take larger steps than the shared outputs.
-    moved = step * 8 * back
-    for k in range(rows.shape[1]):
-        subtract_rows(w["context"], rows[:, k], moved)
+    subtract_rows(w["context"], rows, step * 8 * back)
 
 
 def train_round(docs: DataFrame, weights: dict[str, np.ndarray], number: int, rounds: int, text: str) -> dict[str, np.ndarray]:

@@ -177,3 +177,53 @@ def test_a_task_trains_on_the_quick_path_of_ufunc_at():
     for w in (own, other):
         lm_scoring.train_batch(w, codes, at, 0.5)
     assert all(np.array_equal(own[n], other[n]) for n in own)
+
+
+def plain_step(w, codes, at, rate):
+    """A training step with a word's logits in a row, and one flat index for each neighbour."""
+    steps = np.array([s for s in range(-lm_scoring.REACH, lm_scoring.REACH + 1) if s])
+    rows = codes[at[:, None] + steps] + np.arange(len(steps)) * lm_scoring.DIGITS**2
+    h = np.tanh(sum(w["context"][rows[:, k]] for k in range(len(steps))))
+    first, second = np.divmod(codes[at], lm_scoring.DIGITS)
+    h2 = h + w["digit"][first]
+    grads = []
+    for out, x, digit in (("out1", h, first), ("out2", h2, second)):
+        g = x @ w[out][:, :-1].T + w[out][:, -1]
+        g = np.exp(g - g.max(1, keepdims=True))
+        g /= g.sum(1, keepdims=True)
+        g[np.arange(len(at)), digit] -= 1
+        grads.append((g, g @ w[out][:, :-1]))
+    step = np.float32(rate / len(at))
+    back = (grads[0][1] + grads[1][1]) * (1 - h * h)
+    for out, x, (g, _) in (("out1", h, grads[0]), ("out2", h2, grads[1])):
+        w[out][:, :-1] -= step * (g.T @ x)
+        w[out][:, -1] -= step * g.sum(0)
+    moved = [("digit", first, step * grads[1][1]), *(("context", rows[:, k], step * 8 * back) for k in range(len(steps)))]
+    for name, r, values in moved:
+        np.subtract.at(w[name].reshape(-1), (r[:, None] * lm_scoring.HIDDEN + np.arange(lm_scoring.HIDDEN)).ravel(), values.ravel())
+
+
+def test_training_step_is_quicker_than_the_plain_one_and_the_same():
+    import time
+
+    rng = np.random.default_rng(4)
+    codes = rng.zipf(1.3, 256 * 40 + 4) % 4095 + 1
+    took, trained = {}, {}
+    for step in (plain_step, lm_scoring.train_batch) * 4:
+        w = lm_scoring.start_weights()
+        began = time.perf_counter()
+        for i in range(40):
+            step(w, codes, np.arange(2 + 256 * i, 258 + 256 * i), 0.5)
+        took[step] = min(took.get(step, 9), time.perf_counter() - began)
+        trained[step] = w
+    for n, v in trained[plain_step].items():
+        np.testing.assert_allclose(trained[lm_scoring.train_batch][n], v, rtol=1e-3, atol=1e-5)
+    assert took[lm_scoring.train_batch] < 0.9 * took[plain_step]
+
+
+def test_hashes_do_not_depend_on_the_piece(monkeypatch):
+    texts = pa.array(["a b c", "", None, "d " * 50, "É e", "  ", "a"])
+    whole = lm_scoring.codes_of(texts)
+    monkeypatch.setattr(lm_scoring, "PIECE", 4)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, lm_scoring.codes_of(texts), strict=True))
+    assert [len(x) for x in lm_scoring.codes_of(pa.array([], pa.string()))] == [2, 0, 0, 0]
